@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
+from .near_dedup import near_dedup
 from .packing import harmonic_pack
 from .sstable import token_shards
 
@@ -14,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(_table(spark, sf_dir, "documents"), words=2)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -26,9 +31,47 @@ def op10_sorted_string_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op5_exact_dedup, op7_harmonic_packing, op10_sorted_string_tables)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op3_minmax_near_dedup,
+        op5_exact_dedup,
+        op7_harmonic_packing,
+        op10_sorted_string_tables,
+    )
+}
 
 ORACLE_SQL = {
+    "op3_minmax_near_dedup": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+            FROM documents
+        ), s AS (
+            SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
+                ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s
+            FROM w
+        ), n AS (SELECT doc_id, len(s) AS n FROM s
+        ), e AS (SELECT doc_id, unnest(s) AS x FROM s
+        ), r AS (
+            SELECT doc_id, x, row_number() OVER (PARTITION BY doc_id ORDER BY c, x) AS place
+            FROM e JOIN (SELECT x, count(*) AS c FROM e GROUP BY x) USING (x)
+        ), p AS (
+            SELECT doc_id, x, n FROM r JOIN n USING (doc_id) WHERE place <= n - ceil(0.8 * n) + 1
+        ), c AS (
+            SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM p a JOIN p b ON a.x = b.x AND a.doc_id < b.doc_id
+                AND a.n * 100 >= b.n * 80 AND b.n * 100 >= a.n * 80
+        ), l AS (
+            SELECT a, b FROM c JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b
+            WHERE 100 * len(list_intersect(x.s, y.s)) >= 80 * (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s)))
+        ), g AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+        ), t(d, r) AS (
+            SELECT doc_id, doc_id FROM n UNION SELECT t.d, g.b FROM t JOIN g ON g.a = t.r
+        )
+        SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept
+        FROM n JOIN (SELECT d AS doc_id, min(r) AS component_id FROM t GROUP BY d) USING (doc_id)
+    """,
     "op5_exact_dedup": r"""
         WITH n AS (
             SELECT doc_id, length(coalesce(text, '')) AS points,
