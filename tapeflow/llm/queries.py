@@ -6,9 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
+from .langid import language_id
 from .near_dedup import near_dedup
+from .neighbours import nearest
 from .packing import harmonic_pack
 from .sstable import token_shards
+from .toxicity import toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,14 +22,26 @@ def op3_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_table(spark, sf_dir, "documents"), words=2)
 
 
+def op4_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op6_kmeans_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harmonic_pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(_table(spark, sf_dir, "documents"))
+
+
 def op10_sorted_string_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -35,8 +50,11 @@ QUERIES = {
     f.__name__: f
     for f in (
         op3_minmax_near_dedup,
+        op4_ftrl_toxicity,
         op5_exact_dedup,
+        op6_kmeans_tree_search,
         op7_harmonic_packing,
+        op9_byte_cnn_language,
         op10_sorted_string_tables,
     )
 }
