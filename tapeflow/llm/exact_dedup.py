@@ -93,8 +93,20 @@ def exact_dedup(
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that :func:`exact_dedup` does not keep."""
+    """``docs`` without the documents that :func:`exact_dedup` does not keep. Of rows that
+    repeat a kept id and its text, one stays; a null id counts as an id of its own."""
     scratch = Scratch(docs.sparkSession, "copies")
-    found = exact_dedup(docs, id_col, text_col)
-    gone = scratch.write(found.where("NOT kept").select(F.col("doc_id").alias(id_col)), "dropped")
-    return docs.join(sized(gone, 16), id_col, "left_anti")
+    found = scratch.write(exact_dedup(docs, id_col, text_col).select("doc_id", "kept", "text_sha256"), "found")
+    ids = found.groupBy("doc_id").agg(F.bool_and("kept").alias("all"), F.count(F.lit(1)).alias("n"))
+    odd = scratch.write(ids.where("NOT all OR n > 1").select(F.col("doc_id").alias("_id"), "n"), "odd")
+    odd, same = sized(odd, 24), docs[id_col].cast("long").eqNullSafe(odd["_id"])
+    out = docs.join(odd, same, "left_anti")
+    again = odd.where("n > 1")
+    if again.isEmpty():
+        return out
+    # Ids of several rows: their rows are told apart by id and text.
+    bare = F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "[\\x20\\x09-\\x0D]+", "")
+    rows = docs.join(again, same, "left_semi").withColumn("_sha", F.sha2(bare.cast("binary"), 256))
+    kept = found.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_kept"))
+    rows = rows.join(kept.distinct(), rows[id_col].cast("long").eqNullSafe(kept["_id"]) & (F.col("_sha") == F.col("_kept")), "left_semi")
+    return out.union(rows.dropDuplicates([id_col, "_sha"]).select(*docs.columns))

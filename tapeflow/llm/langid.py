@@ -205,3 +205,24 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     net = train_bytenet(docs, id_col, text_col, lang_col)
     found = identify(docs, net, id_col, text_col)
     return found.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def drop_unidentified(docs: DataFrame, net: ByteNet, least: float = 0.3, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose text is null, has no letter, or whose best language
+    has a share below ``least``. All columns stay as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast((net.languages, net.p))
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        model = ByteNet(shared.value[0])
+        model.p = shared.value[1]
+        for batch in batches:
+            texts = batch.column(place).to_pylist()
+            known = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
+            keep = []
+            for at in range(0, len(known), 64):
+                some = known[at : at + 64]
+                keep += [i for i, p in zip(some, model.texts([texts[i] for i in some]), strict=True) if p.max() >= least]
+            yield batch.take(pa.array(keep, pa.int64()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from .exact_dedup import exact_dedup
 from .html_extract import extract_main_text
 from .langid import language_id
+from .mixing import mixing_rates
 from .near_dedup import near_dedup
 from .neighbours import nearest
 from .packing import harmonic_pack
+from .repeats import repeated_passages
 from .sstable import token_shards
 from .toxicity import toxicity
 
@@ -23,6 +25,10 @@ def op1_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(_table(spark, sf_dir, "pages"))
 
 
+def op2_sparse_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op3_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_table(spark, sf_dir, "documents"), words=2)
 
@@ -43,6 +49,10 @@ def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harmonic_pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_rates(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(_table(spark, sf_dir, "documents"))
 
@@ -55,11 +65,13 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_template_extraction,
+        op2_sparse_suffix_arrays,
         op3_minmax_near_dedup,
         op4_ftrl_toxicity,
         op5_exact_dedup,
         op6_kmeans_tree_search,
         op7_harmonic_packing,
+        op8_soft_mixing,
         op9_byte_cnn_language,
         op10_sorted_string_tables,
     )
