@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from .bars import exact, signed, total, window_end
 
 
+#: By how much a volume must exceed its limit, so that the order of a sum does not decide.
+TOLERANCE = 1e-9
+
+
 def sector(bounds: tuple[float, float] = (0.5, 1.0)) -> Column:
     return F.when(F.col("q") < bounds[0], "retail").when(F.col("q") < bounds[1], "mid").otherwise("whale")
 
@@ -94,7 +98,7 @@ def exhaustion(windows: DataFrame, factor: float = 2.5, history: int = 100) -> D
     while the price moved with the stronger side."""
     w = _history(history)
     mean, n = F.avg("volume").over(w), F.count("volume").over(w)
-    high = (n >= 5) & (F.col("volume") > mean * factor)
+    high = (n >= 5) & (F.col("volume") > mean * factor + TOLERANCE)
     up, down = F.col("close") > F.col("open"), F.col("close") < F.col("open")
     label = (
         F.when(high & up & (F.col("buy_volume") > F.col("sell_volume")), "buy_exhaustion")

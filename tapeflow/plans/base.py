@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -47,5 +49,5 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def nudged(statement: str) -> str:
-    """A statement whose ``round(x, 6)`` rounds as :func:`rounded` does."""
-    return statement.replace(", 6)", f" + {NUDGE}, 6)")
+    """A statement whose ``round(x, 6) AS`` (or 3, 4) rounds as :func:`rounded` does."""
+    return re.sub(r", ([346])\)(?= AS)", rf" + {NUDGE}, \1)", statement)

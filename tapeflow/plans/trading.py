@@ -181,7 +181,7 @@ ORACLE = {
         count(*) AS n FROM lineitem GROUP BY 1, 2""",
     "window_intra_delta": sql("trades", "sided", select="""SELECT symbol, window_end, min(d)::DOUBLE AS delta_min, max(d)::DOUBLE AS delta_max,
         arg_max(d, (t, seq))::DOUBLE AS delta_close, round(arg_max(d, (t, seq))::DOUBLE - min(d)::DOUBLE, 6) AS from_min,
-        round(arg_max(d, (t, seq))::DOUBLE - max(d)::DOUBLE, 6) AS from_max FROM r GROUP BY 1, 2""", more=f"""r AS (SELECT *, (t // 3600000 + 1) * 3600000 AS window_end,
+        round(max(d)::DOUBLE - arg_max(d, (t, seq))::DOUBLE, 6) AS from_max FROM r GROUP BY 1, 2""", more=f"""r AS (SELECT *, (t // 3600000 + 1) * 3600000 AS window_end,
         sum({_SIGNED}) OVER (PARTITION BY symbol, t // 3600000 ORDER BY t, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS d FROM sided)"""),
     "window_trade_speed": sql("trades", "sided", "hours", select="""SELECT symbol, window_end, n,
         CASE WHEN n >= 2 AND close_t > open_t THEN round(n / ((close_t - open_t) / 1000), 6) ELSE 0 END AS per_second,
@@ -208,8 +208,8 @@ ORACLE = {
         CASE WHEN i >= 0.6 THEN 'STRONG' WHEN i >= 0.3 THEN 'MODERATE' WHEN i >= 0.1 THEN 'WEAK' ELSE 'NONE' END AS intensity
         FROM (SELECT *, least(1.0::DOUBLE, abs(d) / volume) * least(1.0::DOUBLE, abs(d) / volume) AS i FROM (SELECT *, buy_volume - sell_volume AS d,
         CASE WHEN high > low THEN (close - low) / (high - low) ELSE 0.5 END AS cp FROM hours))"""),
-    "exhaustion_signal": sql("trades", "sided", "hours", select="""SELECT symbol, window_end, round(mv, 6) AS mean_volume, CASE WHEN c >= 5 AND volume > mv * 2.5 AND close > open AND buy_volume > sell_volume
-        THEN 'buy_exhaustion' WHEN c >= 5 AND volume > mv * 2.5 AND close < open AND sell_volume > buy_volume THEN 'sell_exhaustion' END AS exhaustion
+    "exhaustion_signal": sql("trades", "sided", "hours", select="""SELECT symbol, window_end, round(mv, 6) AS mean_volume, CASE WHEN c >= 5 AND volume > mv * 2.5 + 1e-9 AND close > open AND buy_volume > sell_volume
+        THEN 'buy_exhaustion' WHEN c >= 5 AND volume > mv * 2.5 + 1e-9 AND close < open AND sell_volume > buy_volume THEN 'sell_exhaustion' END AS exhaustion
         FROM (SELECT *, avg(volume) OVER w AS mv, count(volume) OVER w AS c FROM hours WINDOW w AS (PARTITION BY symbol ORDER BY window_end ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING))"""),
     "dynamic_delta_threshold": sql("trades", "sided", "hours", select="""SELECT symbol, window_end, round(d, 6) AS delta, round(th, 6) AS threshold, abs(d) > th AS passed FROM
         (SELECT symbol, window_end, d, CASE WHEN count(d) OVER w > 10 THEN greatest(0.5::DOUBLE, abs(avg(d) OVER w + stddev_pop(d) OVER w * 2)) ELSE 2.0 END AS th
