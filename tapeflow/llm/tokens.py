@@ -23,8 +23,8 @@ _WHOLE = regex.compile(r"\s\s|[\x1c-\x1f]|[\U00010000-\U0010ffff]")
 _BEYOND = re.compile("[\x1c-\x1f\U00010000-\U0010ffff]")
 #: The split pattern of byte-level BPE tokenizers that name none of their own. Fixed value.
 BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A run of Latin letters, after a space or not, and the ASCII signs that may follow it.
-_PLAIN = regex.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
+#: A run of Latin letters (not U+0130, whose lower case is two characters), after a space or not, and the ASCII signs that may follow it.
+_PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-&(-/:-@\\[-`{-~]*)")
 
 _LOADED: dict[tuple[str, bool], TokenCache] = {}
 
@@ -37,6 +37,23 @@ def byte_letters() -> dict[int, int]:
     return {b: b for b in printable} | {b: 256 + i for i, b in enumerate(others)}
 
 
+class _Remembered(dict):
+    """Ids of parts in two generations: when the younger is full it becomes the older."""
+
+    def __init__(self, make):
+        self.make, self.older = make, {}
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.older.get(part)
+        if ids is None:
+            ids = self.make(part)
+        if len(self) >= PARTS_KEPT:
+            self.older = self.copy()
+            self.clear()
+        self[part] = ids
+        return ids
+
+
 class TokenCache:
     def __init__(self, path: str, spaces: bool):
         """spaces: a space belongs to the word after it and a line break is a token of
@@ -51,83 +68,69 @@ class TokenCache:
         own = [x["pattern"]["Regex"] for x in split.get("pretokenizers", []) if x["type"] == "Split"]
         self.split = regex.compile(own[0] if own else BYTE_LEVEL_SPLIT)
         self.normalise = self.tokenizer.normalizer.normalize_str if self.tokenizer.normalizer else None
+        #: Whether the normaliser lower-cases; what it does to plain words is known then.
+        self.lower = self.normalise is not None and self.normalise("A\u00c9") == "a\u00e9"
         self.merge = self.tokenizer.model.tokenize
         self.letters = byte_letters()
         self.spaces = spaces
         self.line_break = self._ids("\n") if spaces else b""
-        #: Ids of parts, and of pieces as normalised and split.
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known = _Remembered(self._part)
         self.pieces: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        """Ids of a part that the split pattern leaves whole."""
-        if piece.isascii() and piece[0] != " " and piece.isalnum():
-            letters = piece
-        else:
-            letters = piece.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.merge(letters)]).tobytes()
-
-    def _learn(self, part: str) -> None:
-        if (ids := self.older.get(part)) is not None:
-            self.known[part] = ids
-            return
-        text = self.normalise(part) if self.normalise else part
-        start = b""
-        if text[:1] == "\n":
-            start, text = self.line_break, text[1:]
+        """Ids of what the split pattern leaves whole."""
+        ids = self.pieces.get(piece)
+        if ids is None:
+            letters = piece if piece.isascii() and piece.isalnum() else piece.encode().decode("latin-1").translate(self.letters)
+            ids = array("I", [t.id for t in self.merge(letters)]).tobytes()
+            if len(self.pieces) >= PARTS_KEPT:
+                self.pieces.clear()
+            self.pieces[piece] = ids
+        return ids
+
+    def _part(self, part: str) -> bytes:
+        """Ids of a part. With ``spaces`` it stands for itself after a space, or after a
+        line break where it begins with one."""
+        text, out = part, b""
+        if self.spaces:
+            if part[:1] == "\n":
+                text, out = part[1:], self.line_break
+            else:
+                text = " " + part
         if plain := _PLAIN.fullmatch(text):
-            pieces = [x for x in plain.groups() if x]
-        else:
-            pieces = self.split.findall(text)
-        out = start
-        for piece in pieces:
-            ids = self.pieces.get(piece)
-            if ids is None:
-                ids = self.pieces[piece] = self._piece(piece)
-            out += ids
-        self.known[part] = out
+            # Composed Latin letters: all that the normaliser can do to them is lower-casing.
+            word, signs = plain.groups()
+            out += self._piece(word.lower() if self.lower else word)
+            return out + self._piece(signs) if signs else out
+        for piece in self.split.findall(self.normalise(text) if self.normalise else text):
+            out += self._piece(piece)
+        return out
 
     def _whole(self, text: str, words: list[str]) -> bool:
         """Whether the text goes to the library whole. The usual text has one blank or
-        line break between words; only others are searched."""
-        if len(words) - 1 == text.count(" ") + text.count("\n") and not _BEYOND.search(text):
+        line break between words and no other white space; only others are searched."""
+        gaps = text.count(" ") + text.count("\n")
+        if len(words) - 1 == gaps == len(text) - sum(map(len, words)) and not _BEYOND.search(text):
             return False
         return bool(_WHOLE.search(text))
 
-    def _parts(self, text: str) -> list[str] | None:
-        """The parts of a text, or None if it must stay whole."""
+    def _text(self, text: str) -> bytes:
         words = text.split()
         if self._whole(text, words):
-            return None
+            return self._ids(text)
         if not self.spaces:
-            return words
+            return b"".join(map(self.known.__getitem__, words))
         # The line break in front of a word stays with it: its id comes first.
         first, *more = text.replace("\n", " \n").split(" ")
-        return ([first] if first else []) + [x if x[:1] == "\n" else " " + x for x in more]
+        start = self.known["\n" + first][len(self.line_break) :] if first[:1] != "\n" else self.known[first]
+        return start + b"".join(map(self.known.__getitem__, more))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null counts as empty."""
-        cut = [self._parts(x) if x else [] for x in texts]
-        get, out = self.known.__getitem__, []
-        for text, parts in zip(texts, cut, strict=True):
-            if parts is None:
-                out.append(self._ids(text))
-                continue
-            try:
-                out.append(b"".join(map(get, parts)))
-            except KeyError:
-                new = set(parts).difference(self.known)
-                if len(self.known) + len(new) > PARTS_KEPT:
-                    self.older, self.known, self.pieces = self.known, {}, {}
-                    get, new = self.known.__getitem__, set(parts)
-                for part in new:
-                    self._learn(part)
-                out.append(b"".join(map(get, parts)))
-        return out
+        return [self._text(x) if x else b"" for x in texts]
 
 
 def tokenizer(path: str, spaces: bool) -> TokenCache:
