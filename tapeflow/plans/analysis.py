@@ -336,7 +336,7 @@ def _similar(score: str) -> str:
 
 
 ORACLE = {
-    "book_impact": sql("book", more=_RANKED, select="""SELECT *, round(abs(average / best - 1) * 10000, 4) AS slippage_bps, filled >= value - 1e-6 AS complete FROM (SELECT snapshot, side, value, sum(CAST(part AS DECIMAL(28,6)))::DOUBLE AS filled,
+    "book_impact": sql("book", more=_RANKED, select="""SELECT snapshot, side, value, levels, round(filled, 4) AS filled, round(quantity, 4) AS quantity, round(best, 4) AS best, round(average, 4) AS average, round(abs(average / best - 1) * 10000, 4) AS slippage_bps, filled >= value - 1e-6 AS complete FROM (SELECT snapshot, side, value, sum(CAST(part AS DECIMAL(28,6)))::DOUBLE AS filled,
         sum(CAST(part / price AS DECIMAL(28,10)))::DOUBLE AS quantity, count(*) AS levels, arg_min(price, place) AS best, sum(CAST(part AS DECIMAL(28,6)))::DOUBLE / sum(CAST(part / price AS DECIMAL(28,10)))::DOUBLE AS average
         FROM (SELECT *, least(price * qty, greatest(value - (cv - price * qty), 0)) AS part FROM ranked, (SELECT unnest([10000.0, 100000.0])::DOUBLE AS value)) WHERE part > 0 GROUP BY 1, 2, 3)"""),
     "book_iceberg_reload": """WITH s AS (SELECT l_returnflag AS side, epoch_us(l_shipdate) // 1000 // 2592000000 AS n, floor(l_extendedprice / 10000)::BIGINT AS price, sum(l_quantity) AS qty FROM lineitem GROUP BY 1, 2, 3)
