@@ -13,6 +13,8 @@ WINDOW, WIDTHS, FILTERS, EMBEDDING = 192, (2, 3, 4), 16, 12
 #: the id), windows taken from each, languages at most.
 SAMPLE_PER_LANGUAGE, WINDOWS_EACH, LANGUAGES = 1200, 2, 200
 EPOCHS, BATCH, RATE = 6, 64, 0.004
+#: Steps that a small sample is repeated for at least.
+STEPS = 800
 UNDETERMINED = "und"
 
 
@@ -42,7 +44,7 @@ class ByteNet:
         rng, p = np.random.default_rng(seed), self.p
         moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
         step, places = 0, self.window - self.taps + 1
-        for _ in range(epochs):
+        for _ in range(max(epochs, -(-STEPS * batch // len(x)))):
             order = rng.permutation(len(x))
             for at in range(0, len(x), batch):
                 rows = order[at : at + batch]
