@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -103,9 +103,9 @@ def near_dedup(
     2. Nodes that share a band's values form a bucket. Each bucket compares all members
        with one pivot, the member that meets the most others over all bands; links are
        confirmed on full sets. Copies thus need one comparison for each bucket's pivot.
-    3. Pairs of a bucket that are still in different components are compared too, unless
-       their sizes and the number of shingles that no other such node has already rule a
-       link out. This bound is exact, so no link between bucket mates is lost.
+    3. Buckets that still hold several components are joined by their rarest shingles: the
+       prefix bound rules out only pairs that cannot be linked, so no link between bucket
+       mates is lost.
 
     A pair at the threshold shares no band with probability (1 - 0.8^4)^32 < 1e-7.
 
@@ -175,39 +175,43 @@ def near_dedup(
 
 
 def _unsettled(members: DataFrame, found: DataFrame, tried: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) of bucket mates in different components that may be linked.
+    """Pairs (a, b) in different components that may still be linked, of the nodes whose
+    bucket holds several components.
 
-    A shingle that only one of these nodes has is common to no pair, so a node of n
-    shingles with ``own`` of them shares n - own at most. A node whose bound stays below
-    the threshold with the best size in its bucket leaves before pairs are formed, and
-    only pairs of which one node is outside the bucket's largest component are formed.
+    Shingles are ordered from the rarest on. All that two sets share lies from their first
+    common shingle on, so a shingle at place i of n can be the first common one only with
+    sets whose sizes allow n - i shared shingles at the threshold. Edits make rare shingles,
+    so sets below the threshold mostly meet nothing; those inside one component are left out.
     """
     state = members.join(sized(found, 24), "node", "left").select(
         "key", "node", "n", F.coalesce("component", "node").alias("component")
     )
     state = scratch.write(state, "state")
     open_keys = state.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    state = scratch.write(state.join(sized(scratch.write(open_keys.select("key"), "open"), 16), "key", "left_semi"), "open")
-
-    nodes = scratch.write(state.select("node").distinct(), "nodes")
-    seen = sets.join(sized(nodes, 16), "node", "left_semi").select("node", F.explode("shingles").alias("shingle"))
-    single = seen.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).where("c = 1")
-    own = scratch.write(single.groupBy("node").agg(F.count(F.lit(1)).alias("own")), "own")
-    state = state.join(sized(own, 24), "node", "left").select("key", "node", "n", "component", (F.col("n") - F.coalesce("own", F.lit(0))).alias("most"))
-    state = scratch.write(state, "bounded")
-
-    counts = state.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
-    main = counts.groupBy("key").agg(F.max(F.struct("c", "component")).alias("top"))
-    ends = state.groupBy("key").agg(F.min("n").alias("n_low"), F.max("most").alias("most_high"))
-    keys = scratch.write(main.join(ends, "key").select("key", F.col("top.component").alias("main"), "n_low", "most_high"), "keys")
-
-    share = F.least("most", "most_high")
-    best = share * 100 >= (F.col("n") + F.greatest("n_low", share) - share) * percent
-    able = scratch.write(state.join(sized(keys, 40), "key").where(best), "able")
-    out = able.where("component <> main").select("key", *(F.col(x).alias(f"{x}_a") for x in ("node", "n", "most", "component")))
-    common = F.least("most", "most_a")
-    possible = (common * 100 >= (F.col("n") + F.col("n_a") - common) * percent) & (F.col("component") != F.col("component_a"))
-    pairs = able.join(sized(scratch.write(out, "outer"), 56), "key").where(possible)
+    nodes = state.join(sized(scratch.write(open_keys.select("key"), "open"), 16), "key", "left_semi").select("node", "n", "component").distinct()
+    nodes = scratch.write(nodes, "nodes")
+
+    seen = sets.join(sized(nodes, 32), "node").select("node", "n", "component", F.explode("shingles").alias("shingle"))
+    seen = scratch.write(seen, "seen")
+    counts = seen.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n_low")).where("c > 1")
+    common = seen.join(counts, "shingle")
+    of_node = Window.partitionBy("node")
+    place = F.col("n") - F.count(F.lit(1)).over(of_node) + F.row_number().over(of_node.orderBy("c", "shingle")) - 1
+    placed = common.withColumn("left", F.col("n") - place)
+
+    def enough(shared, size_a, size_b):
+        return shared * (100 + percent) >= (size_a + size_b) * percent
+
+    least = F.greatest("n_low", F.ceil(F.col("n") * percent / 100))
+    placed = placed.where(enough(F.col("left"), F.col("n"), least)).select("shingle", "node", "n", "component", "left")
+    placed = scratch.write(placed, "placed")
+    groups = placed.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("low"))
+    mains = groups.groupBy("shingle").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count(F.lit(1)).alias("k"), F.min("low").alias("low"))
+    mains = scratch.write(mains.where("k > 1").drop("k"), "mains")
+    placed = scratch.write(placed.join(sized(mains, 32), "shingle").where(enough(F.col("left"), F.col("n"), F.col("low"))), "able")
+    outer = placed.where("component <> main").select("shingle", *(F.col(x).alias(f"{x}_a") for x in ("node", "n", "component", "left")))
+    possible = enough(F.least("left", "left_a"), F.col("n"), F.col("n_a")) & (F.col("component") != F.col("component_a"))
+    pairs = placed.join(sized(scratch.write(outer, "outer"), 48), "shingle").where(possible)
     pairs = pairs.select(F.least("node", "node_a").alias("a"), F.greatest("node", "node_a").alias("b")).distinct()
     return pairs.join(tried, ["a", "b"], "left_anti")
 
