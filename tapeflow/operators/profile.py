@@ -114,8 +114,8 @@ def balance(profile: DataFrame) -> DataFrame:
     mean = profile.groupBy(*KEY).agg((F.sum(weight) / F.sum("volume")).alias("mean"))
     rows = profile.join(mean, [*KEY])
     return rows.groupBy(*KEY, "mean").agg(
-        total(F.when(F.col("price") < F.col("mean"), F.col("volume")).otherwise(0)).alias("below"),
-        total(F.when(F.col("price") >= F.col("mean"), F.col("volume")).otherwise(0)).alias("above"),
+        total(F.when(F.col("price") < F.col("mean") - 1e-9, F.col("volume")).otherwise(0)).alias("below"),
+        total(F.when(F.col("price") >= F.col("mean") - 1e-9, F.col("volume")).otherwise(0)).alias("above"),
         F.sqrt(F.sum(F.col("volume") * F.pow(F.col("price") - F.col("mean"), 2)) / F.sum("volume")).alias("spread"),
     )
 

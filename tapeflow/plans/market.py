@@ -212,7 +212,7 @@ ORACLE = {
         + """, round((twap - vwap) / vwap * 100, 4) AS divergence, CASE WHEN (twap - vwap) / vwap * 100 > 1 THEN 'twap_above' WHEN (twap - vwap) / vwap * 100 < -1 THEN 'twap_below' ELSE 'aligned' END AS signal FROM (SELECT *, sqrt(greatest(sq - vwap * vwap, 0)) AS dv FROM
         (SELECT symbol, (t // 86400000 + 1) * 86400000 AS window_end, sum(CAST(p * q AS DECIMAL(20,8)))::DOUBLE / sum(CAST(q AS DECIMAL(20,8)))::DOUBLE AS vwap, sum(CAST(p * p * q AS DECIMAL(20,8)))::DOUBLE / sum(CAST(q AS DECIMAL(20,8)))::DOUBLE AS sq,
         sum(CAST(p AS DECIMAL(20,8)))::DOUBLE / count(*) AS twap FROM sided GROUP BY 1, 2))"""),
-    "vp_balance": sql(*_S, more=_PROFILE, select="""SELECT symbol, window_end, round(mean, 4) AS mean, sum(CAST(CASE WHEN price < mean THEN volume ELSE 0 END AS DECIMAL(20,8)))::DOUBLE AS below, sum(CAST(CASE WHEN price >= mean THEN volume ELSE 0 END AS DECIMAL(20,8)))::DOUBLE AS above,
+    "vp_balance": sql(*_S, more=_PROFILE, select="""SELECT symbol, window_end, round(mean, 4) AS mean, sum(CAST(CASE WHEN price < mean - 1e-9 THEN volume ELSE 0 END AS DECIMAL(20,8)))::DOUBLE AS below, sum(CAST(CASE WHEN price >= mean - 1e-9 THEN volume ELSE 0 END AS DECIMAL(20,8)))::DOUBLE AS above,
         round(sqrt(sum(volume * (price - mean) ** 2) / sum(volume)), 4) AS spread FROM prof JOIN (SELECT symbol, window_end, sum(price * volume) / sum(volume) AS mean FROM prof GROUP BY 1, 2) USING (symbol, window_end) GROUP BY symbol, window_end, mean"""),
     "vp_bins": sql(*_S, more=_PROFILE, select="SELECT symbol, window_end, bin, round(price, 6) AS price, volume FROM prof"),
     "vp_static20": sql(*_S, more=_PROFILE, select="""SELECT symbol, window_end, bin AS poc_bin, round(price, 6) AS poc, round(volume / total, 6) AS poc_share, total AS volume FROM
