@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -104,3 +105,52 @@ def level_scores(rows: DataFrame) -> DataFrame:
     """0 to 100 from touches, recency, width and volume of a level."""
     points = F.least(F.col("touches"), F.lit(5)) * 5 + F.least(F.col("n"), F.lit(10)) * 3
     return rows.withColumn("score", F.least(F.lit(100), points + 45 - F.least(F.lit(45), F.floor(F.col("age_ms") / 86_400_000))))
+
+
+def price_targets(candidates: DataFrame, last: DataFrame, tolerance: float = 0.005, k: int = 10) -> DataFrame:
+    """Candidate prices (symbol, source, price, weight) chained to targets, weighted by source,
+    the ``k`` strongest of each symbol with their direction from the last price."""
+    joined = chained(candidates.select("symbol", "price"), tolerance, "mean")
+    slots = joined.select("symbol", "low", "high", "center", "n")
+    inside = candidates.join(slots, "symbol").where(F.col("price").between(F.col("low"), F.col("high")))
+    out = inside.groupBy("symbol", "low", "high").agg(
+        (F.sum(F.col("price") * F.col("weight")) / F.sum("weight")).alias("target"), F.sum("weight").alias("weight"), F.count_distinct("source").alias("sources")
+    )
+    rank = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("weight"), F.desc("sources"), "target"))
+    out = out.join(last, "symbol").withColumn("rank", rank).where(F.col("rank") <= k)
+    return out.select("symbol", "rank", "target", "weight", "sources", F.when(F.col("target") > F.col("last"), "up").otherwise("down").alias("direction"))
+
+
+def upsert_zones(zones: DataFrame, share: float = 0.0002, least: float = 8.0) -> DataFrame:
+    """Zones (symbol, kind, anchor, low, high, score, seq) merged in the order of arrival: one
+    that lies within max(share * anchor, least) of a zone of its kind widens it and raises its
+    score. Groups are the zones of one symbol and kind."""
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        held: list[list] = []
+        for r in pdf.sort_values("seq").itertuples():
+            near = [z for z in held if abs(z[0] - r.anchor) <= max(share * r.anchor, least)]
+            if near:
+                z = min(near, key=lambda z: abs(z[0] - r.anchor))
+                z[0], z[1], z[2], z[3], z[4] = (z[0] * z[4] + r.anchor) / (z[4] + 1), min(z[1], r.low), max(z[2], r.high), max(z[3], r.score), z[4] + 1
+            else:
+                held.append([r.anchor, r.low, r.high, r.score, 1])
+        rows = [(pdf["symbol"].iloc[0], pdf["kind"].iloc[0], *z) for z in held]
+        return pd.DataFrame(rows, columns=["symbol", "kind", "anchor", "low", "high", "score", "touches"])
+
+    kind = dict(zones.dtypes)["symbol"]
+    return zones.groupBy("symbol", "kind").applyInPandas(merge, f"symbol {kind}, kind string, anchor double, low double, high double, score double, touches bigint")
+
+
+def bootstrap(values: DataFrame, resamples: int = 1000, seed: int = 42) -> DataFrame:
+    """Mean of each symbol's values (a level's reactions) with a 95 % bootstrap interval and a normal one."""
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.sort(pdf["value"].to_numpy())
+        means = np.random.default_rng(seed).choice(x, (resamples, len(x))).mean(1)
+        half = 1.96 * x.std(ddof=1) / len(x) ** 0.5 if len(x) > 1 else float("nan")
+        row = (pdf["symbol"].iloc[0], x.mean(), *np.percentile(means, [2.5, 97.5]), x.mean() - half, x.mean() + half)
+        return pd.DataFrame([row], columns=["symbol", "mean", "low", "high", "normal_low", "normal_high"])
+
+    kind = dict(values.dtypes)["symbol"]
+    return values.groupBy("symbol").applyInPandas(draw, f"symbol {kind}, mean double, low double, high double, normal_low double, normal_high double")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import bars, models, profile
 from ..operators import decisions as dec
 from ..operators import indicators as ind
-from ..operators import scores
+from ..operators import levels
 from ..sources.tables import candles_from_orders, table
 from .base import DAY, rounded, sql
 from .trading import hours, sided
@@ -177,8 +177,31 @@ def label_quality_counts(spark, d):
     return table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "source"), "doc_id").groupBy("source", "quality", "toxic").agg(F.count(F.lit(1)).alias("n"))
 
 
+def lvl_price_targets(spark, d):
+    c = _candles(spark, d)
+    swing = ind.swings(c, 10).select("symbol", F.col("kind").alias("source"), "price", F.lit(1.0).alias("weight"))
+    pivots = levels.pivots(levels.periods(c, "month")).select("symbol", F.explode(F.array(*(F.struct(F.lit(n).alias("source"), F.col(n).alias("price")) for n in ("r1", "s1")))).alias("x"))
+    pivots = pivots.select("symbol", "x.source", "x.price", F.lit(0.8).alias("weight"))
+    return rounded(levels.price_targets(swing.unionByName(pivots), c.groupBy("symbol").agg(F.max_by("close", "ts").alias("last"))), 3)
+
+
+def lvl_registry(spark, d):
+    rows = ind.swings(_candles(spark, d), 3).select("symbol", "kind", F.col("price").alias("anchor"), (F.col("price") * 0.999).alias("low"), (F.col("price") * 1.001).alias("high"), F.lit(1.0).alias("score"), F.col("ts").alias("seq"))
+    return rounded(levels.upsert_zones(rows, 0.005), 3)
+
+
+def lvl_bootstrap(spark, d):
+    rows = levels.reactions(_candles(spark, d)).where("rise IS NOT NULL").select("symbol", "ts", F.col("rise").alias("value"))
+    return rounded(levels.bootstrap(rows.orderBy("symbol", "ts").select("symbol", "value")), 4)
+
+
+def heat_clusters(spark, d):
+    rows = sided(spark, d).select(F.concat_ws("|", "symbol", bars.window_end(F.col("t"), DAY).cast("string")).alias("symbol"), F.col("p").alias("price"))
+    return rounded(levels.chained(rows, 0.02, "mean", 5), 4)
+
+
 QUERIES = [
-    audit_windows, score_quality, anomaly_z, vwap_zones, ind_spread_percentile, regime_stability, model_bias, model_frozen, reversion_probability,
+    lvl_price_targets, lvl_registry, lvl_bootstrap, heat_clusters, audit_windows, score_quality, anomaly_z, vwap_zones, ind_spread_percentile, regime_stability, model_bias, model_frozen, reversion_probability,
     pat_triangle, ind_stoch_rsi, mdl_vol_forecast, ind_timeframe_trend, score_whale, decision_fusion, risk_positions, risk_counterparty,
     risk_compliance, risk_dynamic_limits, alerts_structured, funding_sentiment, lvl_strength_scores, lvl_asymmetry, sim_vectors, payload_compact,
     dataset_drop_constant, events_recent, label_quality_counts,
