@@ -18,6 +18,8 @@ TARGETS = {"good": 0.90, "poor": 0.08, "toxic": 0.02}
 SAMPLE, EPOCHS, FEATURES = 9_000, 2, 1 << 19
 #: Steps of the projected gradient at most, and the distance to the targets that ends them.
 STEPS, NEAR = 12, 1e-4
+#: How strongly rates are pulled to 1: the weight of their mean squared distance from 1.
+PULL = 0.005
 _LETTERS = bytes(range(256)).translate(None, bytes(b for b in range(256) if chr(b).isalnum() or b >= 128 or b in b" \n\t\r"))
 
 
@@ -102,12 +104,9 @@ def posteriors(docs: DataFrame, model: dict, domains: list[str], id_col: str, te
     return rows.mapInArrow(run, schema)
 
 
-def _rate(steps: list[np.ndarray], domains: list[str]):
-    """The rate after the steps so far: from 1, less the step's part for each domain, never below 0."""
-    rate = F.lit(1.0)
-    for y in steps:
-        rate = F.greatest(rate - sum(F.col(f"p_{d}") * float(v) for d, v in zip(domains, y, strict=True)), F.lit(0.0))
-    return rate
+def _rate(y: np.ndarray, domains: list[str]):
+    """The rate at the accumulated gradient ``y``: 1 less its part for each domain, never below 0."""
+    return F.greatest(1.0 - sum(F.col(f"p_{d}") * float(v) for d, v in zip(domains, y, strict=True)), F.lit(0.0))
 
 
 def mixing_rates(
@@ -118,10 +117,12 @@ def mixing_rates(
     A classifier fitted on the label table gives each whole text its domain posteriors.
     Rates start at 1 and follow the projected gradient of the squared distance between the
     expected domain totals, sum of rate * tokens * posterior, and the target shares of all
-    tokens; the gradient is scaled by the tokens and by the inverse Gram matrix of the
-    domains over the documents whose rate is not yet 0, so few steps do. A rate is a function of the posteriors and the steps so far:
-    a step is one aggregation that gives as many sums as there are domains, and no
-    state is kept between steps. Targets are scaled to add to 1.
+    tokens, plus ``PULL`` times the squared distance of the rates from 1: where the classifier
+    cannot tell domains apart, rates stay near 1 rather than few documents being repeated
+    without end. The gradient is scaled by the tokens and by the inverse Gram matrix of the
+    domains over the documents whose rate is not yet 0, so few steps do. A rate is a function
+    of the posteriors and the accumulated gradient, one number for each domain: a step is one
+    aggregation and no state is kept between steps. Targets are scaled to add to 1.
 
     Null texts count as empty (no tokens). Without labels the posteriors are even and the
     rates near 1. Repeated rows and null ids are kept, other columns ignored; an empty table
@@ -134,19 +135,20 @@ def mixing_rates(
     p, t = [F.col(f"p_{d}") for d in domains], F.col("tokens")
     total, k = float(table.agg(F.sum(t)).first()[0] or 0), len(domains)
     goal = np.array([targets[d] for d in domains]) / sum(targets.values())
-    steps: list[np.ndarray] = []
+    y = np.zeros(k)
     for _ in range(STEPS if total else 0):
-        rate = _rate(steps, domains)
+        rate = _rate(y, domains)
         free = F.when(rate > 0, t).otherwise(0)
         pairs = [F.sum(free * a * b) for i, a in enumerate(p) for b in p[i:]]
         sums = np.array(table.agg(*(F.sum(rate * t * x) for x in p), *pairs).first(), float) / total
-        if np.abs(sums[:k] - goal).max() < NEAR:
+        slope = PULL * y - (sums[:k] - goal)
+        if np.abs(slope).max() < NEAR:
             break
         gram = np.zeros((k, k))
         gram[np.triu_indices(k)] = sums[k:]
-        gram = gram + gram.T - np.diag(gram.diagonal()) + 1e-6 * np.eye(k)
-        steps.append(np.linalg.solve(gram, sums[:k] - goal))
-    return table.withColumn("rate", _rate(steps, domains))
+        gram = gram + gram.T - np.diag(gram.diagonal()) + PULL * np.eye(k)
+        y = y - np.linalg.solve(gram, slope)
+    return table.withColumn("rate", _rate(y, domains))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

