@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .indicators import line
 
+#: Bytes of the queries that are compared in one pass, and pairs whose scores are held at once.
+QUERY_BYTES, PAIRS = 8 << 20, 4 << 20
+
 
 def var_es(returns: DataFrame, level: float = 0.95) -> DataFrame:
     """Value at risk (interpolated percentile) and expected shortfall of each symbol."""
@@ -124,20 +131,86 @@ def outcome_probability(outcomes: DataFrame, least: int = 5) -> DataFrame:
     return out.where(F.col("n") >= least)
 
 
+def _top(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((ids, -scores))[:k]
+    return ids[order], scores[order]
+
+
 def similar(vectors: DataFrame, queries: DataFrame, k: int = 5, measure: str = "cosine") -> DataFrame:
-    """The ``k`` most similar vectors (vec_id, embedding) of each query. The queries are a
-    stated small set (their rows are counted by the caller); partial top-k precedes the shuffle."""
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("q"))
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).join(F.broadcast(q), F.col("vec_id") != F.col("query_id"))
-    plus = lambda a, x: a + x
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), plus)
-    if measure == "cosine":
-        score = dot("v", "q") / F.sqrt(dot("v", "v") * dot("q", "q"))
-    else:
-        score = -F.sqrt(F.aggregate(F.zip_with("v", "q", lambda x, y: (x - y) * (x - y)), F.lit(0.0), plus))
-    rows = rows.select("query_id", "vec_id", score.alias("score"))
+    """The ``k`` most similar vectors (vec_id, embedding) of each query, of all vectors with
+    another id. Queries are compared in blocks of at most ``QUERY_BYTES``; each block is one
+    pass over the vectors, in which a task keeps only the k best of its rows for each query.
+
+    Vectors that are null, of another length than the query or hold null or non-finite
+    components have no score and take no part, nor do rows without id; for the cosine, nor do
+    vectors that are zero. A query that repeats is searched once."""
+
+    def usable(df: DataFrame) -> DataFrame:
+        df = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+        df = df.where(F.col("vec_id").isNotNull() & F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))))
+        return df.where(F.exists("v", lambda x: x != 0)) if measure == "cosine" else df.where(F.size("v") > 0)
+
+    spark, rows, asked = vectors.sparkSession, usable(vectors), usable(queries).distinct()
+    sizes = [(r["d"], r["n"]) for r in asked.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    schema, parts = "query_id long, vec_id long, score double", []
+    for d, n in sizes:
+        blocks = -(-n * (8 * d + 8) // QUERY_BYTES)
+        for i in range(blocks):
+            block = asked.where((F.size("v") == d) & (F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)) == i)).orderBy("vec_id", "v").toArrow()
+            if block.num_rows:
+                q = block["v"].combine_chunks().flatten().to_numpy().reshape(-1, d)
+                shared = spark.sparkContext.broadcast((block["vec_id"].to_numpy(), q))
+                parts.append(rows.where(F.size("v") == d).mapInArrow(_nearest_of_task(shared, k, measure), schema))
+    found = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _nearest_of_task(shared, k: int, measure: str):
+    """Batches of (vec_id, v) to the k best of all of them for each query. A product of
+    matrices only picks the rows that can be among them; their scores are summed row by row."""
+
+    def run(batches):
+        query_ids, q = shared.value
+        q_norm = np.sqrt((q * q).sum(1))
+        unit = q / q_norm[:, None] if measure == "cosine" else q
+        best = [(np.zeros(0, np.int64), np.zeros(0))] * len(q)
+        least = np.full(len(q), -np.inf)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, x = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            square = (x * x).sum(1)
+            step = max(1, PAIRS // len(x))
+            for start in range(0, len(q), step):
+                at = slice(start, start + step)
+                if measure == "cosine":
+                    rough, near = unit[at] @ (x / np.sqrt(square)[:, None]).T, np.full(len(q[at]), 1e-9)
+                else:
+                    # The squared distance, negative; its error grows with the lengths.
+                    rough = 2 * (q[at] @ x.T) - square - (q_norm[at] ** 2)[:, None]
+                    near = 1e-9 * (square.max() + q_norm[at] ** 2)
+                rough[query_ids[at][:, None] == ids] = -np.inf
+                cut = np.partition(rough, -k, axis=1)[:, -k] if len(x) > k else np.full(len(rough), -np.inf)
+                known = least[at] if measure == "cosine" else np.where(np.isfinite(least[at]), -(least[at] ** 2), -np.inf)
+                cut = np.maximum(cut, known) - near
+                for i in np.flatnonzero(rough.max(1) >= cut):
+                    some = np.flatnonzero((rough[i] >= cut[i]) & (rough[i] > -np.inf))
+                    one = q[start + i]
+                    if measure == "cosine":
+                        score = (x[some] * one).sum(1) / np.sqrt(square[some] * (one * one).sum())
+                    else:
+                        score = -np.sqrt(((x[some] - one) ** 2).sum(1))
+                    held = best[start + i]
+                    best[start + i] = held = _top(np.append(held[0], ids[some]), np.append(held[1], score), k)
+                    if len(held[0]) == k:
+                        least[start + i] = held[1][-1]
+        counts = [len(b[0]) for b in best]
+        if sum(counts):
+            columns = [np.repeat(query_ids, counts), np.concatenate([b[0] for b in best]), np.concatenate([b[1] for b in best])]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
+
+    return run
 
 
 def train_direction(rows: DataFrame, features: list[str], cut: float = 0.8):

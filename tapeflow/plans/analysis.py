@@ -251,6 +251,16 @@ def sim_euclid_topk(spark, d):
     return rounded(scores.similar(v, v.where("vec_id < 5"), measure="euclid"))
 
 
+def sim_cosine_search(spark, d):
+    v = table(spark, d, "embeddings")
+    return rounded(scores.similar(v, v.where("vec_id % 100 = 0")))
+
+
+def sim_euclid_search(spark, d):
+    v = table(spark, d, "embeddings")
+    return rounded(scores.similar(v, v.where("vec_id % 100 = 0"), measure="euclid"))
+
+
 def ml_train_eval(spark, d):
     rows = joins.direction_labels(ind.price_features(_candles(spark, d)), 15, 0.002).withColumn("label", (F.col("label") > 0).cast("int"))
     _, quality = scores.train_direction(rows, ["return_1", "return_5", "return_15", "volume_ratio"])
@@ -311,7 +321,7 @@ QUERIES = [
     lvl_touches, lvl_reaction, lvl_zone_touch, asof_nearest, asof_backward, outcomes_horizons, outcome_probability, price_path_mfe_mae,
     corr_tail_aligned, backtest_exits, labels_direction, risk_var_es, risk_ratios, risk_drawdown, risk_hhi, risk_stress, risk_trade_gate,
     perf_profit_factor, alert_volume_spike, alert_vol_squeeze, session_calendar, score_confluence, score_regime, cot_signals, sim_cosine_topk,
-    sim_euclid_topk, ml_train_eval, ml_corr_prune, fn_parse_number, fn_epoch_ms, fn_time_triplet, fn_mojibake, fn_redact, fn_compact_number, fn_json_extract,
+    sim_euclid_topk, sim_cosine_search, sim_euclid_search, ml_train_eval, ml_corr_prune, fn_parse_number, fn_epoch_ms, fn_time_triplet, fn_mojibake, fn_redact, fn_compact_number, fn_json_extract,
 ]
 
 _V = "sum(CAST(CASE WHEN side = '{s}' AND place <= {n} THEN price * qty ELSE 0 END AS DECIMAL(28,6)))::DOUBLE"
@@ -335,6 +345,11 @@ def _similar(score: str) -> str:
         (SELECT q.vec_id AS query_id, v.vec_id, {score} AS score FROM embeddings v JOIN embeddings q ON q.vec_id < 5 AND v.vec_id <> q.vec_id)) WHERE rank <= 5"""
 
 
+def _search(score: str) -> str:
+    return f"""SELECT * FROM (SELECT query_id, vec_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM
+        (SELECT q.vec_id AS query_id, v.vec_id, {score} AS score FROM embeddings v JOIN embeddings q ON q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id)) WHERE rank <= 5"""
+
+
 ORACLE = {
     "book_impact": sql("book", more=_RANKED, select="""SELECT snapshot, side, value, levels, round(filled, 4) AS filled, round(quantity, 4) AS quantity, round(best, 4) AS best, round(average, 4) AS average, round(abs(average / best - 1) * 10000, 4) AS slippage_bps, filled >= value - 1e-6 AS complete FROM (SELECT snapshot, side, value, sum(CAST(part AS DECIMAL(28,6)))::DOUBLE AS filled,
         sum(CAST(part / price AS DECIMAL(28,10)))::DOUBLE AS quantity, count(*) AS levels, arg_min(price, place) AS best, sum(CAST(part AS DECIMAL(28,6)))::DOUBLE / sum(CAST(part / price AS DECIMAL(28,10)))::DOUBLE AS average
@@ -402,6 +417,8 @@ ORACLE = {
         CASE WHEN r < 0.5 THEN 'crowded_shorts' END, CASE WHEN f < 0 AND i > 0.05 THEN 'squeeze_risk' END) AS signals FROM (SELECT symbol, ts, (volume - 3) / 4000 AS f, close / lag(close, 4) OVER {_L} - 1 AS i, high / low AS r FROM candles)"""),
     "sim_cosine_topk": _similar("list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[])"),
     "sim_euclid_topk": _similar("-list_distance(v.embedding::DOUBLE[], q.embedding::DOUBLE[])"),
+    "sim_cosine_search": _search("list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[])"),
+    "sim_euclid_search": _search("-list_distance(v.embedding::DOUBLE[], q.embedding::DOUBLE[])"),
     "fn_parse_number": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN round(CAST(o_totalprice / 1000 AS DECIMAL(20,2))::DOUBLE * 1000, 4) WHEN o_orderkey % 3 = 1 THEN round(o_totalprice, 4) END AS number FROM orders",
     "fn_epoch_ms": sql("trades", select="SELECT seq, CASE WHEN seq % 2 = 0 THEN t ELSE t // 1000 * 1000 END AS ms FROM trades"),
     "fn_time_triplet": sql("trades", select="SELECT seq, strftime(make_timestamp(t * 1000), '%Y-%m-%dT%H:%M:%S') AS utc, strftime(make_timestamp((t - 18000000) * 1000), '%Y-%m-%dT%H:%M:%S') AS new_york, strftime(make_timestamp((t - 10800000) * 1000), '%Y-%m-%dT%H:%M:%S') AS sao_paulo FROM trades"),

@@ -4,7 +4,8 @@ import numpy as np
 import pandas as pd
 
 from tapeflow.functions import scalars
-from tapeflow.operators import bars, clean, flow, indicators, joins, levels, models, profile, running
+from tapeflow.operators import bars, clean, flow, indicators, joins, levels, models, profile, running, scores
+from tapeflow.plans import analysis
 from tapeflow.sources import sinks, tables
 
 TRADES = "symbol string, p double, q double, t bigint, m boolean, seq bigint"
@@ -135,3 +136,29 @@ def test_sources_and_sinks(spark, tmp_path):
     assert [r["timestamp_ms"] for r in sinks.recent_events(spark, str(tmp_path / "e"), 2, signals_only=True).collect()] == [2, 4]
     sinks.write_signals(spark.createDataFrame([("x", 1.0)], "symbol string, price double"), str(tmp_path / "s"))
     assert spark.read.option("header", True).csv(str(tmp_path / "s")).columns == sinks.SIGNAL_COLUMNS
+
+
+def similar_brute(ids, x, query, k, measure):
+    s = x @ x[query] / np.linalg.norm(x, axis=1) / np.linalg.norm(x[query]) if measure == "cosine" else -np.linalg.norm(x - x[query], axis=1)
+    order = [i for i in np.lexsort((ids, -s.round(9))) if ids[i] != ids[query]][:k]
+    return [(int(ids[i]), round(float(s[i]), 6)) for i in order]
+
+
+def test_similar_searches_all_due_queries(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(700, 8))
+    x[300:420] = x[300]  # a hot vector; a query among its copies
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    odd = spark.createDataFrame([(1000, None), (1100, [1.0, None] + [1.0] * 6), (None, [1.0] * 8), (1200, [float("nan")] * 8)], df.schema)
+    df.unionByName(odd).write.parquet(str(tmp_path / "embeddings.parquet"))
+    monkeypatch.setattr(scores, "QUERY_BYTES", 200)
+    monkeypatch.setattr(scores, "PAIRS", 500)
+    for query, measure in ((analysis.sim_cosine_search, "cosine"), (analysis.sim_euclid_search, "euclid")):
+        got = {}
+        for r in query(spark, str(tmp_path)).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append((r["vec_id"], round(r["score"], 6)))
+        assert got.keys() == {0, 100, 200, 300, 400, 500, 600}
+        for i, found in got.items():
+            want = similar_brute(np.arange(700), x, i, 5, measure)
+            assert [v for v, _ in found] == [v for v, _ in want]
+            assert np.allclose([s for _, s in found], [s for _, s in want], atol=2e-6)
