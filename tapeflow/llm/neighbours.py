@@ -129,7 +129,8 @@ def nearest(
     leaves a query visits, in best-bin-first order, is calibrated: for about
     ``CALIBRATION`` rows the true neighbours are found by comparing them with all rows
     in blocks, and the visits are widened until the share of true neighbours in visited
-    leaves reaches ``recall``. Leaves are cut to blocks of rows and of queries, so a leaf
+    leaves reaches ``recall``. A query goes on until its leaves also hold ``k`` rows with
+    another id, so fewer are returned only if there are fewer. Leaves are cut to blocks of rows and of queries, so a leaf
     with a third of all vectors is spread over tasks.
 
     Rows without id and vectors that are null, zero, of another length than most, or hold
@@ -160,18 +161,24 @@ def nearest(
     index = scratch.write(rows.mapInArrow(put, "leaf long, vec_id long, v array<double>"), "index")
     visits = _calibrated(index, tree, n, k, recall)
 
+    held = {r["leaf"]: r["count"] for r in index.groupBy("leaf").count().collect()}
+
     def order(batches):
         for batch in batches:
             x, leaves, at = _matrix(batch.column(1)) if batch.num_rows else [], [], []
-            for i, q in enumerate(x):
-                for _, leaf in zip(range(visits), shared.value.visit(q)):
+            for i, (q, own) in enumerate(zip(x, batch.column(2).to_pylist() if batch.num_rows else [], strict=True)):
+                rows = 0
+                for place, leaf in enumerate(shared.value.visit(q), 1):
                     leaves.append(leaf)
                     at.append(i)
+                    rows += held.get(leaf, 0)
+                    if place >= visits and rows >= k + own:
+                        break
             if leaves:
                 some = batch.take(pa.array(at))
                 yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.int64()), some.column(0), some.column(1)], ["leaf", "query_id", "q"])
 
-    queries = index.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+    queries = index.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("own"))
     asked = scratch.write(queries.mapInArrow(order, "leaf long, query_id long, q array<double>"), "visits")
 
     def blocks(df, name):

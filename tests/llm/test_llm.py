@@ -240,6 +240,18 @@ def test_nearest_recall_and_edges(spark):
     assert sorted(r["rank"] for r in neighbours.nearest(df.where("vec_id < 3"), every=1).collect()) == [1, 1, 1, 2, 2, 2]
 
 
+def test_nearest_finds_k_for_outliers(spark):
+    rng = np.random.default_rng(6)
+    hot = [1.0] * 8
+    rows = [(i, [float(v) for v in np.array(hot) + rng.normal(0, 1e-3, 8)] if i % 2 else hot) for i in range(1, 3000) if i % 50]
+    rows += [(i * 50, [float(v) for v in rng.normal(0, 1, 8)]) for i in range(12)] + [(600, hot)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(int)
+    for r in neighbours.nearest(df).collect():
+        got[r["query_id"]] += 1
+    assert got == {i * 50: 5 for i in range(13)}
+
+
 def test_language_held_out(docs, odd, empty):
     got = langid.language_id(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
     assert (got["lang"] == got["lang_pred"]).mean() > 0.95
