@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 
@@ -14,10 +15,9 @@ from pyspark.sql import functions as F
 from .shared import Scratch, sized
 
 #: Hosts with fewer pages share one template; least share of a group's pages that a template token is on;
-#: different pages that a text must stand on, once on every page, to count as template text.
-HOST_PAGES, SUPPORT, DIFFERENT = 3, 0.3, 5
-#: Template tokens of a group at most; the best supported stay.
-TEMPLATE_TOKENS = 1000
+#: different pages that a text must stand on, once a page, to count as template text; and the least share of
+#: a group's pages with content that it must stand on, and that must have an article for the others to be left out.
+HOST_PAGES, SUPPORT, DIFFERENT, COMMON = 3, 0.3, 5, 0.9
 
 # Names of HTML elements by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -123,14 +123,15 @@ def extract(page: str | None, slots: dict[int, bool], template_texts: set[int],
     the slot after it is kept; tags that are not in the template only part blocks, and
     elements that are left out on this page alone are skipped too."""
     blocks, held = [], []
-    keep = True
+    keep, found = True, list(events(page or ""))
+    main_only = main_only and any(main for *_, main in found)
 
     def close():
         if held and (text := _clean("".join(held))):
             blocks.append(text)
         held.clear()
 
-    for token, text, block, out, main in events(page or ""):
+    for token, text, block, out, main in found:
         if token:
             known = slots.get(_hash(token))
             if known is not None:
@@ -152,18 +153,20 @@ def nested_template(tokens: pd.DataFrame) -> pd.DataFrame:
     is_text, out, main, pages, different): classes of tokens with one occurrence vector,
     nested from the best supported down. A class is valid if each of its tokens is once on
     the pages that have it and all fall into one slot of the template so far, or, for the
-    first class, if it is on the most pages. Crossing classes are left out."""
+    first class, if it is on the most pages. Crossing classes are left out; texts that are
+    on nearly every page are template text wherever they stand."""
     tokens = tokens[tokens["most"] == 1].sort_values(["n", "place", "token"], ascending=[False, True, True])
-    tokens = tokens[~tokens["is_text"] | ((tokens["n"] == tokens["pages"]) & (tokens["different"] >= DIFFERENT))].head(TEMPLATE_TOKENS)
-    classes = [g for _, g in tokens.groupby(["n", "vector"], sort=False)]
-    template = classes[0] if classes else tokens
-    for c in classes[1:]:
-        places = template["place"].to_numpy()
-        slots = {int((places < p).sum()) for p in c["place"]}
-        if len(slots) == 1 or c["n"].iloc[0] == template["n"].iloc[0]:
-            template = pd.concat([template, c])
-            template = template.sort_values("place", kind="stable")
-    return template
+    common = (tokens["n"] >= tokens["pages"] * COMMON) & (tokens["different"] >= DIFFERENT)
+    tokens = tokens[~tokens["is_text"] | common]
+    kept, places = [], []
+    for (n, _), c in tokens.groupby(["n", "vector"], sort=False):
+        own = c["place"].tolist()
+        if n == tokens["n"].iloc[0] or len({bisect.bisect_left(places, p) for p in own}) == 1:
+            places = sorted(places + own)
+            kept.append(c)
+        elif c["is_text"].any():
+            kept.append(c[c["is_text"]])
+    return pd.concat(kept).sort_values("place", kind="stable") if kept else tokens
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -175,9 +178,9 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     2. Classes that occur once a page are nested into the host's template. Hosts with fewer
        than ``HOST_PAGES`` pages, and pages without a host, share one template.
     3. Template tokens part a page into slots. Slots inside menus, footers, adverts and the
-       like are dropped, as is text that stands once on every page of a host with at least
-       ``DIFFERENT`` different pages. If the template has an article or main element, only
-       its slots count. What the other slots hold is decoded and cut to blocks.
+       like are dropped, as is text that stands once a page on at least ``COMMON`` of a host's
+       pages with content, if it has ``DIFFERENT`` different ones. If so many pages have an
+       article or main element, only its slots count on the pages that have it. What the other slots hold is decoded and cut to blocks.
 
     Null html gives empty text; null ids and urls are carried; repeated rows are kept, and
     each gets its text. Other columns are ignored; an empty table gives an empty result.
@@ -198,8 +201,10 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
             found = []
             for group, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 number = _hash(page or "")
-                found += [(group, number, *x) for x in page_tokens(page)]
-                found.append((group, number, 0, 1, 0.0, True, True, False))
+                own = page_tokens(page)
+                found += [(group, number, *x) for x in own]
+                if any(x[3] for x in own):
+                    found.append((group, number, 0, 1, 0.0, True, True, False))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*found, strict=True)], names)
 
@@ -227,7 +232,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
             "tokens": inner["token"].tolist(),
             "keeps": (~inner["out"].astype(bool)).tolist(),
             "texts": t[t["is_text"]]["token"].tolist(),
-            "main_only": bool((inner["main"] & (inner["n"] == inner["pages"])).any()),
+            "main_only": bool((inner["main"] & (inner["n"] >= inner["pages"] * COMMON)).any()),
         }
         return pd.DataFrame([row])
 

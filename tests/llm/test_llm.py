@@ -343,6 +343,20 @@ def test_html_template_text_is_dropped(spark):
     assert {r["text"] for r in html_extract.extract_main_text(df).collect()} == {f"Story {i} body" for i in range(8)}
 
 
+def test_html_template_despite_odd_pages(spark):
+    page = "<html><body><h2>Site name</h2><div><p>Story {i} body</p></div><div>All rights reserved</div></body></html>"
+    article = "<html><body><p>Teaser {i}</p><article><p>Story {i} body</p></article></body></html>"
+    rows = [(i, f"http://a.example.com/{i}", page.format(i=i)) for i in range(30)]
+    rows += [(100 + i, f"http://b.example.com/{i}", article.format(i=i)) for i in range(30)]
+    for at, host in ((40, "a"), (140, "b")):
+        rows += [(at + i, f"http://{host}.example.com/odd{i}", x) for i, x in enumerate([None, "", "<html></html>", None, "", "502 bad gateway"])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_main_text(df).collect()}
+    for i in range(30):
+        assert got[i] == got[100 + i] == f"Story {i} body"
+    assert got[45] == got[145] == "502 bad gateway" and got[40] == got[141] == ""
+
+
 def test_pipeline_stages(spark, docs, odd, sf_dir):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, odd, sf_dir)
