@@ -16,10 +16,13 @@ from .toxicity import Ftrl, features
 TARGETS = {"good": 0.90, "poor": 0.08, "toxic": 0.02}
 #: Labelled rows that the classifier is fitted on (about, by a hash of the id), passes, hashed features.
 SAMPLE, EPOCHS, FEATURES = 9_000, 2, 1 << 19
-#: Steps of the projected gradient at most, and the distance to the targets that ends them.
-STEPS, NEAR = 12, 1e-4
-#: How strongly rates are pulled to 1: the weight of their mean squared distance from 1.
-PULL = 0.005
+#: Steps at most, and the distance to the targets that ends them, and as a share of each.
+STEPS, NEAR, NEAR_SHARE = 60, 1e-4, 1e-3
+#: How strongly rates are pulled to 1 (the weight of their mean squared distance from 1) at
+#: first, and by what it is divided, down to the last, while targets are not reached.
+PULL, SHRINK, LAST_PULL = 0.005, 20.0, 1e-7
+#: Parts of a step that are tried together.
+PARTS = (1.0, 0.5, 0.2, 0.05, 0.01)
 _LETTERS = bytes(range(256)).translate(None, bytes(b for b in range(256) if chr(b).isalnum() or b >= 128 or b in b" \n\t\r"))
 
 
@@ -117,12 +120,15 @@ def mixing_rates(
     A classifier fitted on the label table gives each whole text its domain posteriors.
     Rates start at 1 and follow the projected gradient of the squared distance between the
     expected domain totals, sum of rate * tokens * posterior, and the target shares of all
-    tokens, plus ``PULL`` times the squared distance of the rates from 1: where the classifier
-    cannot tell domains apart, rates stay near 1 rather than few documents being repeated
-    without end. The gradient is scaled by the tokens and by the inverse Gram matrix of the
-    domains over the documents whose rate is not yet 0, so few steps do. A rate is a function
-    of the posteriors and the accumulated gradient, one number for each domain: a step is one
-    aggregation and no state is kept between steps. Targets are scaled to add to 1.
+    tokens. Among rates that fit equally well those nearest to 1 are taken: a pull to 1, the
+    weight of the squared distance from 1, shrinks until the totals are within ``NEAR`` and
+    ``NEAR_SHARE`` of each target. Targets that no rates reach with these posteriors (a classifier of few labels) would
+    be approached by repeating few documents without end; there the first pull stays. The
+    gradient is scaled by the inverse Gram matrix of the domains over the documents whose rate
+    is not yet 0, and of the parts of a step the best is taken, so few steps do; without
+    convergence in ``STEPS`` an error is raised. A rate is a function of the posteriors and the
+    accumulated gradient, one number for each domain: a step is one aggregation and no state
+    is kept between steps. Targets are scaled to add to 1.
 
     Null texts count as empty (no tokens). Without labels the posteriors are even and the
     rates near 1. Repeated rows and null ids are kept, other columns ignored; an empty table
@@ -132,25 +138,49 @@ def mixing_rates(
     scratch = Scratch(docs.sparkSession, "mixing")
     model = train_domains(docs, domain_labels(labels), domains, id_col, text_col)
     table = scratch.write(posteriors(docs, model, domains, id_col, text_col), "posteriors")
-    p, t = [F.col(f"p_{d}") for d in domains], F.col("tokens")
-    total, k = float(table.agg(F.sum(t)).first()[0] or 0), len(domains)
+    total = float(table.agg(F.sum("tokens")).first()[0] or 0)
     goal = np.array([targets[d] for d in domains]) / sum(targets.values())
-    y = np.zeros(k)
-    for _ in range(STEPS if total else 0):
-        rate = _rate(y, domains)
-        free = F.when(rate > 0, t).otherwise(0)
-        pairs = [F.sum(free * a * b) for i, a in enumerate(p) for b in p[i:]]
-        sums = np.array(table.agg(*(F.sum(rate * t * x) for x in p), *pairs).first(), float) / total
-        slope = PULL * y - (sums[:k] - goal)
-        if np.abs(slope).max() < NEAR:
-            break
-        gram = np.zeros((k, k))
-        gram[np.triu_indices(k)] = sums[k:]
-        gram = gram + gram.T - np.diag(gram.diagonal()) + PULL * np.eye(k)
-        y = y - np.linalg.solve(gram, slope)
+    y = fitted(table, domains, goal, total) if total else np.zeros(len(domains))
     return table.withColumn("rate", _rate(y, domains))
 
 
+def fitted(table: DataFrame, domains: list[str], goal: np.ndarray, total: float) -> np.ndarray:
+    """The accumulated gradient at which the domain totals meet ``goal``; if none do, that of the first pull."""
+    p, t, k = [F.col(f"p_{d}") for d in domains], F.col("tokens"), len(domains)
+
+    def measured(points):
+        """For each point: half the tokens' mean squared rate, the totals and the Gram matrix."""
+        columns = []
+        for y in points:
+            rate = _rate(y, domains)
+            free = F.when(rate > 0, t).otherwise(0)
+            columns += [F.sum(t * rate * rate) / 2, *(F.sum(rate * t * x) for x in p), *(F.sum(free * a * b) for i, a in enumerate(p) for b in p[i:])]
+        values = np.array(table.agg(*(c.alias(f"c{i}") for i, c in enumerate(columns))).first(), float).reshape(len(points), -1) / total
+        for row in values:
+            gram = np.zeros((k, k))
+            gram[np.triu_indices(k)] = row[k + 1 :]
+            yield row[0], row[1 : k + 1], gram + gram.T - np.diag(gram.diagonal())
+
+    y, first, pull, near = np.zeros(k), None, PULL, np.minimum(NEAR, NEAR_SHARE * goal) + 1e-9
+    (_, sums, gram), *_ = measured([y])
+    for _ in range(STEPS):
+        if (np.abs(sums - goal) <= near).all():
+            return y
+        slope = pull * y - (sums - goal)
+        if (np.abs(slope) <= near / 4).all():
+            first = y if first is None else first
+            if pull <= LAST_PULL:
+                return first  # the targets cannot be reached
+            pull = max(LAST_PULL, pull / SHRINK)
+            slope = pull * y - (sums - goal)
+        step = np.linalg.solve(gram + pull * np.eye(k), slope)
+        points = [y - part * step for part in PARTS]
+        found = list(measured(points))
+        at = min(range(len(points)), key=lambda i: found[i][0] + goal @ points[i] + pull / 2 * points[i] @ points[i])
+        y, (_, sums, gram) = points[at], found[at]
+    raise ValueError(f"the mixing rates did not converge in {STEPS} steps: totals {dict(zip(domains, sums.tolist(), strict=True))}")
+
+
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with each row as often as its rate says: the whole part, and once more where
     a hash of the id falls below the rest."""

@@ -320,6 +320,28 @@ def test_mixing_reaches_targets(spark, sf_dir, odd, empty):
     assert mixing.mixing_rates(empty, labels).count() == 0 and mixing.mix(empty, labels).count() == 0
 
 
+def test_mixing_meets_rare_targets(spark):
+    # Shares of tokens far from the targets; posteriors as a classifier gives them.
+    rng = np.random.default_rng(3)
+    domains, targets = ["good", "poor", "toxic"], {"good": 0.90, "poor": 0.08, "toxic": 0.02}
+    for shares in ((0.88, 0.007, 0.113), (0.994, 0.005, 0.001), (0.3, 0.4, 0.3)):
+        kinds = rng.choice(3, 4000, p=np.array(shares) / sum(shares))
+        p = rng.dirichlet([0.02, 0.01, 0.01], 4000) * 0.02
+        p[np.arange(4000), kinds] += 1 - p.sum(1)
+        rows = [(int(n), *map(float, x)) for n, x in zip(rng.integers(20, 400, 4000), p, strict=True)]
+        table = spark.createDataFrame(rows, "tokens long, p_good double, p_poor double, p_toxic double")
+        total = float(sum(r[0] for r in rows))
+        y = mixing.fitted(table, domains, np.array([targets[d] for d in domains]), total)
+        rate = np.maximum(0, 1 - p @ y)
+        for i, d in enumerate(domains):
+            reached = sum(r[0] * w * r[i + 1] for r, w in zip(rows, rate, strict=True)) / total
+            assert abs(reached - targets[d]) <= 0.01 * targets[d], (shares, d, reached)
+    # A classifier that cannot tell domains apart: no rate fits better than 1.
+    even = table.selectExpr("tokens", "1/3D AS p_good", "1/3D AS p_poor", "1/3D AS p_toxic")
+    y = mixing.fitted(even, domains, np.array([0.90, 0.08, 0.02]), total)
+    assert abs(sum(y) / 3) < 0.01
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T {i}</title><style>p{{}}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/x">Menu {i}</a></li></ul></nav>
 <div class="cookie-notice">We use cookies</div><!-- ad --><div class="ad">Buy {i}</div><article><h1>Head &amp; {i}</h1><p><b>First  para<br>graph {i}.<p>Second&nbsp;one
 {i}.</p><form><input>Mail</form></article><div id="comments"><p>Nice {i}</p></div><aside>Side</aside><footer>&copy; {i}</footer></body></html>"""
