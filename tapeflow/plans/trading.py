@@ -21,6 +21,10 @@ def valid_trades(spark, d):
     return rounded(clean.valid_trades(trades_from_lineitem(spark, d)).where("q < 10"))
 
 
+def valid_trades_all(spark, d):
+    return rounded(clean.valid_trades(trades_from_lineitem(spark, d)))
+
+
 def trade_reject_reasons(spark, d):
     rows = trades_from_events(spark, d).withColumn("q", F.when(F.col("seq") % 7 == 0, None).when(F.col("seq") % 11 == 0, -F.col("q")).otherwise(F.col("q")))
     return clean.reject_reason(rows).groupBy("symbol", F.coalesce("reason", F.lit("ok")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
@@ -141,7 +145,7 @@ def flow_bursts(spark, d):
 
 
 QUERIES = [
-    valid_trades, trade_reject_reasons, side_inferred, ohlc_checked, dedup_events, stale_trades, late_clamped, window_quality, window_ohlcv,
+    valid_trades, valid_trades_all, trade_reject_reasons, side_inferred, ohlc_checked, dedup_events, stale_trades, late_clamped, window_quality, window_ohlcv,
     window_ohlcv_daily, window_intra_delta, window_trade_speed, window_dwell, cvd_running, cvd_4h_reset, bars_event_anchored, flow_rolling_1_5_15,
     flow_sectors, flow_participants, flow_buy_sell_ratio, flow_absorption_label, exhaustion_signal, dynamic_delta_threshold, whale_events,
     whale_pressure, large_trades_1h, tick_rule_sum, passive_aggressive, flow_bursts,
@@ -159,6 +163,9 @@ ORACLE = {
     "valid_trades": """SELECT l_suppkey AS symbol, round(l_extendedprice / l_quantity, 6) AS p, l_quantity AS q, epoch_us(l_shipdate) // 1000 AS t,
         l_returnflag = 'R' AS m, l_orderkey * 10 + l_linenumber AS seq FROM lineitem
         WHERE l_extendedprice / l_quantity > 0 AND l_quantity > 0 AND l_quantity < 10""",
+    "valid_trades_all": """SELECT l_suppkey AS symbol, round(l_extendedprice / l_quantity, 6) AS p, l_quantity AS q, epoch_us(l_shipdate) // 1000 AS t,
+        l_returnflag = 'R' AS m, l_orderkey * 10 + l_linenumber AS seq FROM lineitem
+        WHERE l_extendedprice / l_quantity > 0 AND l_quantity > 0""",
     "trade_reject_reasons": sql("trades", select="""SELECT symbol, CASE WHEN seq % 7 = 0 THEN 'missing_q' WHEN seq % 11 = 0 THEN 'invalid_q_value' ELSE 'ok' END AS reason,
         count(*) AS n FROM trades GROUP BY 1, 2"""),
     "side_inferred": sql("trades", "sided", select="SELECT seq, symbol, m FROM sided"),
