@@ -43,7 +43,7 @@ def ohlcv(trades: DataFrame, width_ms: int) -> DataFrame:
         total(F.col("q")).alias("volume"),
         total(F.when(~F.col("m"), F.col("q")).otherwise(0)).alias("buy_volume"),
         total(F.when(F.col("m"), F.col("q")).otherwise(0)).alias("sell_volume"),
-        (total(F.col("p") * F.col("q")) / total(F.col("q"))).alias("vwap"),
+        F.try_divide(total(F.col("p") * F.col("q")), total(F.col("q"))).alias("vwap"),
         F.count(F.lit(1)).alias("n"),
         F.min("t").alias("open_t"),
         F.max("t").alias("close_t"),

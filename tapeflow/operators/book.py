@@ -36,7 +36,7 @@ def depth(book: DataFrame, tops: tuple[int, ...] = (1, 5, 10, 25)) -> DataFrame:
     )
     mid = (F.col("best_bid") + F.col("best_ask")) / 2
     out = out.withColumns({f"imbalance_{n}": F.try_divide(F.col(f"bid_{n}") - F.col(f"ask_{n}"), F.col(f"bid_{n}") + F.col(f"ask_{n}")) for n in tops})
-    return out.withColumns({"mid": mid, "spread_bps": (F.col("best_ask") - F.col("best_bid")) / mid * 10_000})
+    return out.withColumns({"mid": mid, "spread_bps": F.try_divide(F.col("best_ask") - F.col("best_bid"), mid) * 10_000})
 
 
 def weighted_imbalance(book: DataFrame) -> DataFrame:
@@ -63,19 +63,19 @@ def impact(book: DataFrame, values: tuple[float, ...]) -> DataFrame:
     rows = rows.withColumn("part", part).where("part > 0")
     out = rows.groupBy("snapshot", "side", "value").agg(
         F.sum(F.col("part").cast("decimal(28,6)")).cast("double").alias("filled"),
-        F.sum((F.col("part") / F.col("price")).cast("decimal(28,10)")).cast("double").alias("quantity"),
+        F.sum(F.try_divide("part", "price").cast("decimal(28,10)")).cast("double").alias("quantity"),
         F.count(F.lit(1)).alias("levels"),
         F.min_by("price", "place").alias("best"),
     )
-    out = out.withColumn("average", F.col("filled") / F.col("quantity"))
-    return out.withColumns({"slippage_bps": F.abs(F.col("average") / F.col("best") - 1) * 10_000, "complete": F.col("filled") >= F.col("value") - 1e-6})
+    out = out.withColumn("average", F.try_divide("filled", "quantity"))
+    return out.withColumns({"slippage_bps": F.abs(F.try_divide("average", "best") - 1) * 10_000, "complete": F.col("filled") >= F.col("value") - 1e-6})
 
 
 def concentration(book: DataFrame) -> DataFrame:
     """Herfindahl index and share of the largest and the three largest levels of each side."""
     value = F.col("price") * F.col("qty")
     w = Window.partitionBy("snapshot", "side")
-    rows = book.withColumn("share", value / F.sum(value.cast("decimal(28,6)")).over(w).cast("double"))
+    rows = book.withColumn("share", F.try_divide(value, F.sum(value.cast("decimal(28,6)")).over(w).cast("double")))
     rows = rows.withColumn("k", F.row_number().over(w.orderBy(F.desc("share"), "seq")))
     return rows.groupBy("snapshot", "side").agg(
         F.sum(F.col("share") * F.col("share")).alias("hhi"), F.max("share").alias("top_1"), F.sum(F.when(F.col("k") <= 3, F.col("share")).otherwise(0.0)).alias("top_3")
@@ -86,9 +86,9 @@ def microstructure(book: DataFrame) -> DataFrame:
     """Volume-weighted price of each side and its mean distance from the best price."""
     rows = ranked(book)
     best = Window.partitionBy("snapshot", "side").orderBy("place")
-    rows = rows.withColumn("away", F.abs(F.col("price") / F.first("price").over(best) - 1) * 10_000)
+    rows = rows.withColumn("away", F.abs(F.try_divide(F.col("price"), F.first("price").over(best)) - 1) * 10_000)
     return rows.groupBy("snapshot", "side").agg(
-        (F.sum((F.col("price") * F.col("qty")).cast("decimal(28,6)")).cast("double") / F.sum("qty")).alias("vwap"), F.avg("away").alias("mean_distance_bps")
+        F.try_divide(F.sum((F.col("price") * F.col("qty")).cast("decimal(28,6)")).cast("double"), F.sum("qty")).alias("vwap"), F.avg("away").alias("mean_distance_bps")
     )
 
 
@@ -130,5 +130,5 @@ def reloads(snapshots: DataFrame, least: float = 3.0) -> DataFrame:
 def liquidity_flow(depths: DataFrame, alert: float = 0.15) -> DataFrame:
     """Relative change of the five best levels' value from snapshot to snapshot (ordered by n)."""
     w = Window.partitionBy("symbol").orderBy("n")
-    change = F.col("value") / F.lag("value").over(w) - 1
+    change = F.try_divide(F.col("value"), F.lag("value").over(w)) - 1
     return depths.withColumn("change", change).withColumn("alert", F.abs("change") > alert)

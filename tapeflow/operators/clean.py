@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .running import filled, previous
+from .running import filled, previous, running_max
 
 ORDER = ["t", "seq"]
 
@@ -68,10 +68,9 @@ def stale(trades: DataFrame, as_of: int, max_age_ms: int) -> DataFrame:
     return trades.withColumn("age_ms", F.lit(as_of) - F.col("t")).withColumn("is_stale", F.col("age_ms") > max_age_ms)
 
 
-def clamp_late(trades: DataFrame, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """``trades`` with t raised to the largest t that arrived before."""
-    w = Window.partitionBy(*by).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return trades.withColumn("t", F.max("t").over(w))
+def clamp_late(trades: DataFrame, by: tuple[str, ...] = ("symbol",), bucket: int = 100_000) -> DataFrame:
+    """``trades`` with t raised to the largest t that arrived before, in runs of ``bucket`` sequence numbers."""
+    return running_max(trades, "t", list(by), ["seq"], bucket)
 
 
 def quality_score(windows: DataFrame) -> DataFrame:

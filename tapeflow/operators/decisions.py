@@ -170,8 +170,8 @@ def position_metrics(positions: DataFrame) -> DataFrame:
     rows = positions.withColumns(
         {
             "pnl": (F.col("price") - F.col("entry")) * F.col("size") * sign,
-            "to_stop": F.abs(F.col("price") - F.col("stop")) / F.col("price"),
-            "to_target": F.abs(F.col("target") - F.col("price")) / F.col("price"),
+            "to_stop": F.try_divide(F.abs(F.col("price") - F.col("stop")), "price"),
+            "to_target": F.try_divide(F.abs(F.col("target") - F.col("price")), "price"),
         }
     )
     return rows.withColumn("reward_risk", F.try_divide(F.abs(F.col("target") - F.col("entry")), F.abs(F.col("entry") - F.col("stop"))))
@@ -180,7 +180,7 @@ def position_metrics(positions: DataFrame) -> DataFrame:
 def counterparty(exposures: DataFrame, default: float = 0.01) -> DataFrame:
     """Exposure-weighted default probability, expected loss and concentration of each portfolio."""
     p = F.coalesce("probability", F.lit(default))
-    share = F.col("value") / F.sum("value").over(Window.partitionBy("portfolio"))
+    share = F.try_divide(F.col("value"), F.sum("value").over(Window.partitionBy("portfolio")))
     rows = exposures.withColumns({"_s": share, "_l": F.col("value") * p * 0.6, "_p": p})
     return rows.groupBy("portfolio").agg(
         F.sum(F.col("_s") * F.col("_p")).alias("probability"), F.sum(F.col("_l").cast("decimal(28,6)")).cast("double").alias("expected_loss"), F.sum(F.col("_s") * F.col("_s")).alias("hhi")
@@ -228,7 +228,7 @@ def level_strength(levels: DataFrame, price: DataFrame) -> DataFrame:
     are a small table; both sides are dealt by symbol and logarithmic price step."""
     slot = lambda c: F.floor(F.log(c) / 0.005)
     near = levels.select("symbol", F.col("source").alias("other"), F.col("price").alias("at"), F.explode(F.array(slot(F.col("price")) - 1, slot(F.col("price")), slot(F.col("price")) + 1)).alias("_s"))
-    met = levels.withColumn("_s", slot(F.col("price"))).join(near, ["symbol", "_s"]).where((F.col("other") != F.col("source")) & (F.abs(F.col("at") / F.col("price") - 1) <= 0.005))
+    met = levels.withColumn("_s", slot(F.col("price"))).join(near, ["symbol", "_s"]).where((F.col("other") != F.col("source")) & (F.abs(F.try_divide("at", "price") - 1) <= 0.005))
     counts = met.groupBy("symbol", "source", "price").agg(F.count_distinct("other").alias("agree"))
     rows = levels.join(counts, ["symbol", "source", "price"], "left").fillna(0, ["agree"]).join(price, "symbol")
     score = F.least("touches", F.lit(5)) * 5 + F.col("weight") * 25 + F.least("agree", F.lit(3)) * 10 + F.greatest(F.lit(0.0), 1 - F.abs(F.col("price") / F.col("last") - 1) * 10) * 20

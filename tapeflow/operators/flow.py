@@ -50,7 +50,7 @@ def participants(trades: DataFrame, width_ms: int) -> DataFrame:
     rows = sector_flow(trades, width_ms)
     of_window = Window.partitionBy("symbol", "window_end")
     volume = F.col("buy") + F.col("sell")
-    share = volume / F.sum(volume).over(of_window)
+    share = F.try_divide(volume, F.sum(volume).over(of_window))
     imbalance = F.try_divide(F.col("delta"), volume)
     activity = F.abs(imbalance) * 0.4 + share * 0.4 + F.least(F.lit(1.0), F.col("n") / 10) * 0.2
     return rows.withColumns({"share": share, "imbalance": imbalance, "activity": activity})
@@ -134,7 +134,7 @@ def whale_pressure(trades: DataFrame, least: float, width_ms: int) -> DataFrame:
         total(F.when(F.col("m"), F.col("value")).otherwise(0)).alias("sold"),
         F.max("value").alias("largest"),
     )
-    return out.withColumn("score", (F.col("bought") - F.col("sold")) / (F.col("bought") + F.col("sold")) * 100)
+    return out.withColumn("score", F.try_divide(F.col("bought") - F.col("sold"), F.col("bought") + F.col("sold")) * 100)
 
 
 def large_trades(trades: DataFrame, least_q: float, width_ms: int, k: int = 20) -> DataFrame:

@@ -58,7 +58,7 @@ def adx(candles: DataFrame, n: int = 14) -> DataFrame:
         }
     )
     s = lambda c: F.sum(c).over(over(n))
-    rows = rows.withColumns({"plus_di": full(s("_plus") / s("_tr") * 100, n), "minus_di": full(s("_minus") / s("_tr") * 100, n)})
+    rows = rows.withColumns({"plus_di": full(F.try_divide(s("_plus"), s("_tr")) * 100, n), "minus_di": full(F.try_divide(s("_minus"), s("_tr")) * 100, n)})
     dx = F.try_divide(F.abs(F.col("plus_di") - F.col("minus_di")), F.col("plus_di") + F.col("minus_di")) * 100
     rows = rows.withColumn("_dx", dx)
     rows = rows.withColumn("adx", F.when(F.count("_dx").over(over(n)) >= n, F.avg("_dx").over(over(n))))
@@ -84,7 +84,7 @@ def cci(candles: DataFrame, n: int = 20) -> DataFrame:
 
 
 def realized_volatility(candles: DataFrame, n: int = 20) -> DataFrame:
-    rows = candles.withColumn("_r", F.ln(F.col("close") / F.lag("close").over(line())))
+    rows = candles.withColumn("_r", F.ln(F.try_divide(F.col("close"), F.lag("close").over(line()))))
     scaled = F.stddev_pop("_r").over(over(n)) * float(np.sqrt(n))
     return rows.withColumn("vol_scaled", F.when(F.count("_r").over(over(n)) >= n, scaled)).drop("_r")
 
@@ -111,8 +111,8 @@ def regression_channel(candles: DataFrame, n: int = 50) -> DataFrame:
 def price_features(candles: DataFrame, windows: tuple[int, ...] = (1, 5, 15)) -> DataFrame:
     out = candles
     for n in windows:
-        out = out.withColumn(f"return_{n}", F.col("close") / F.lag("close", n).over(line()) - 1)
-    return out.withColumn("volume_ratio", F.least(F.lit(5.0), F.col("volume") / F.avg("volume").over(over(20))))
+        out = out.withColumn(f"return_{n}", F.try_divide(F.col("close"), F.lag("close", n).over(line())) - 1)
+    return out.withColumn("volume_ratio", F.least(F.lit(5.0), F.try_divide(F.col("volume"), F.avg("volume").over(over(20)))))
 
 
 def patterns(candles: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import previous
+
 
 def pivots(periods: DataFrame) -> DataFrame:
     """Classic, Camarilla, Woodie and Fibonacci pivots of a period's high, low and close."""
@@ -39,7 +41,7 @@ def reference_prices(candles: DataFrame, unit: str) -> DataFrame:
     w = Window.partitionBy("symbol").orderBy("period")
     done = done.select("symbol", "period", *(F.lag(x).over(w).alias(f"previous_{n}") for x, n in (("h", "high"), ("l", "low"), ("c", "close"))))
     out = rows.join(done, ["symbol", "period"])
-    return out.withColumns({"distance": F.col("close") / F.col("previous_close") - 1, "inside": F.col("close").between(F.col("previous_low"), F.col("previous_high"))})
+    return out.withColumns({"distance": F.try_divide("close", "previous_close") - 1, "inside": F.col("close").between(F.col("previous_low"), F.col("previous_high"))})
 
 
 def gap_clusters(prices: DataFrame, eps: float = 0.005, least: int = 2) -> DataFrame:
@@ -90,15 +92,19 @@ def touches(levels: DataFrame, candles: DataFrame, tolerance: float = 0.001) ->
 def reactions(candles: DataFrame, ahead: int = 10) -> DataFrame:
     """Greatest rise and fall from each close within the next ``ahead`` candles."""
     w = Window.partitionBy("symbol").orderBy("ts").rowsBetween(1, ahead)
-    return candles.withColumns({"rise": F.max("high").over(w) / F.col("close") - 1, "fall": 1 - F.min("low").over(w) / F.col("close")})
+    return candles.withColumns({"rise": F.try_divide(F.max("high").over(w), "close") - 1, "fall": 1 - F.try_divide(F.min("low").over(w), "close")})
 
 
 def zone_touches(zones: DataFrame, ticks: DataFrame, debounce_ms: int) -> DataFrame:
     """Ticks inside a zone (symbol, zone, low, high) that come at least ``debounce_ms`` after
-    the tick inside it before. ``zones`` is a small table, joined by symbol."""
-    inside = ticks.join(zones, "symbol").where(F.col("p").between(F.col("low"), F.col("high")))
-    before = F.lag("t").over(Window.partitionBy("symbol", "zone").orderBy("t", "seq"))
-    return inside.withColumn("_before", before).where(F.col("_before").isNull() | (F.col("t") - F.col("_before") >= debounce_ms)).drop("_before")
+    the tick inside it before. Both sides are dealt by symbol and price step, so a tick meets only
+    zones near its price; the tick before is carried over buckets of time (:func:`running.previous`)."""
+    step = 0.05
+    slot = lambda c: F.floor(F.log(F.greatest(F.col(c), F.lit(1e-9))) / step)
+    dealt = zones.withColumn("_slot", F.explode(F.sequence(slot("low"), slot("high"))))
+    inside = ticks.withColumn("_slot", slot("p")).join(dealt, ["symbol", "_slot"]).where(F.col("p").between(F.col("low"), F.col("high"))).drop("_slot")
+    inside = previous(inside, "t", "_before", ["symbol", "zone"], ["t", "seq"])
+    return inside.where(F.col("_before").isNull() | (F.col("t") - F.col("_before") >= debounce_ms)).drop("_before")
 
 
 def level_scores(rows: DataFrame) -> DataFrame:
@@ -114,7 +120,7 @@ def price_targets(candidates: DataFrame, last: DataFrame, tolerance: float = 0.0
     slots = joined.select("symbol", "low", "high", "center", "n")
     inside = candidates.join(slots, "symbol").where(F.col("price").between(F.col("low"), F.col("high")))
     out = inside.groupBy("symbol", "low", "high").agg(
-        (F.sum(F.col("price") * F.col("weight")) / F.sum("weight")).alias("target"), F.sum("weight").alias("weight"), F.count_distinct("source").alias("sources")
+        F.try_divide(F.sum(F.col("price") * F.col("weight")), F.sum("weight")).alias("target"), F.sum("weight").alias("weight"), F.count_distinct("source").alias("sources")
     )
     rank = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("weight"), F.desc("sources"), "target"))
     out = out.join(last, "symbol").withColumn("rank", rank).where(F.col("rank") <= k)

@@ -11,7 +11,7 @@ from .indicators import fold, line, over
 
 
 def returns(candles: DataFrame) -> DataFrame:
-    r = F.ln(F.col("close") / F.lag("close").over(line()))
+    r = F.ln(F.try_divide(F.col("close"), F.lag("close").over(line())))
     return candles.select("symbol", "ts", "close", r.alias("r")).where("r IS NOT NULL")
 
 

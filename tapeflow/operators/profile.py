@@ -21,7 +21,7 @@ def point_of_control(profile: DataFrame) -> DataFrame:
     """The bin with the most volume (the lowest of equals), its price and share."""
     top = F.max_by(F.struct("price", "volume", "bin"), F.struct("volume", (-F.col("bin")).alias("b")))
     out = profile.groupBy(*KEY).agg(top.alias("x"), F.sum(F.col("volume").cast("decimal(20,8)")).cast("double").alias("volume"))
-    return out.select(*KEY, F.col("x.bin").alias("poc_bin"), F.col("x.price").alias("poc"), (F.col("x.volume") / F.col("volume")).alias("poc_share"), "volume")
+    return out.select(*KEY, F.col("x.bin").alias("poc_bin"), F.col("x.price").alias("poc"), F.try_divide("x.volume", "volume").alias("poc_share"), "volume")
 
 
 def value_area_greedy(profile: DataFrame, share: float = 0.70) -> DataFrame:
@@ -73,8 +73,8 @@ def shape(profile: DataFrame, bins: int = 20) -> DataFrame:
     out = profile.groupBy(*KEY).agg(third(0, a).alias("bottom"), third(a, b).alias("middle"), third(b, bins).alias("top"))
     whole = F.col("bottom") + F.col("middle") + F.col("top")
     label = (
-        F.when(F.col("top") / whole > 0.45, "P").when(F.col("bottom") / whole > 0.45, "b").when(F.col("middle") / whole > 0.5, "D")
-        .when((F.col("top") / whole > 0.32) & (F.col("bottom") / whole > 0.32), "B").otherwise("Thin")
+        F.when(F.try_divide("top", whole) > 0.45, "P").when(F.try_divide("bottom", whole) > 0.45, "b").when(F.try_divide("middle", whole) > 0.5, "D")
+        .when((F.try_divide("top", whole) > 0.32) & (F.try_divide("bottom", whole) > 0.32), "B").otherwise("Thin")
     )
     return out.withColumn("shape", label)
 
@@ -102,7 +102,7 @@ def rounded_profile(trades: DataFrame, width_ms: int, step: float = 1.0) -> Data
 def no_mans_land(node_rows: DataFrame, least_gap: float = 0.003, k: int = 10) -> DataFrame:
     """The widest gaps between neighbouring high volume nodes of a window."""
     w = Window.partitionBy(*KEY).orderBy("price")
-    rows = node_rows.where("kind = 'HVN'").withColumn("upper", F.lead("price").over(w)).withColumn("gap", F.col("upper") / F.col("price") - 1)
+    rows = node_rows.where("kind = 'HVN'").withColumn("upper", F.lead("price").over(w)).withColumn("gap", F.try_divide("upper", "price") - 1)
     rank = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("gap"), "price"))
     rows = rows.where(F.col("gap") > least_gap).withColumn("rank", rank).where(F.col("rank") <= k)
     return rows.select(*KEY, F.col("price").alias("lower"), "upper", "gap", "rank")
@@ -111,12 +111,12 @@ def no_mans_land(node_rows: DataFrame, least_gap: float = 0.003, k: int = 10) ->
 def balance(profile: DataFrame) -> DataFrame:
     """Volume below and above the volume-weighted price, and the moments of the profile."""
     weight = F.col("price") * F.col("volume")
-    mean = profile.groupBy(*KEY).agg((F.sum(weight) / F.sum("volume")).alias("mean"))
+    mean = profile.groupBy(*KEY).agg(F.try_divide(F.sum(weight), F.sum("volume")).alias("mean"))
     rows = profile.join(mean, [*KEY])
     return rows.groupBy(*KEY, "mean").agg(
         total(F.when(F.col("price") < F.col("mean") - 1e-9, F.col("volume")).otherwise(0)).alias("below"),
         total(F.when(F.col("price") >= F.col("mean") - 1e-9, F.col("volume")).otherwise(0)).alias("above"),
-        F.sqrt(F.sum(F.col("volume") * F.pow(F.col("price") - F.col("mean"), 2)) / F.sum("volume")).alias("spread"),
+        F.sqrt(F.try_divide(F.sum(F.col("volume") * F.pow(F.col("price") - F.col("mean"), 2)), F.sum("volume"))).alias("spread"),
     )
 
 
@@ -160,9 +160,9 @@ def vwap_bands(trades: DataFrame, width_ms: int) -> DataFrame:
     """Volume-weighted price of each window with bands of one to three deviations, and the plain mean."""
     rows = trades.withColumn("window_end", window_end(F.col("t"), width_ms))
     q, pq, ppq = (total(c) for c in (F.col("q"), F.col("p") * F.col("q"), F.col("p") * F.col("p") * F.col("q")))
-    out = rows.groupBy(*KEY).agg((pq / q).alias("vwap"), (ppq / q).alias("square"), (total(F.col("p")) / F.count(F.lit(1))).alias("twap"))
+    out = rows.groupBy(*KEY).agg(F.try_divide(pq, q).alias("vwap"), F.try_divide(ppq, q).alias("square"), (total(F.col("p")) / F.count(F.lit(1))).alias("twap"))
     out = out.withColumn("deviation", F.sqrt(F.greatest(F.col("square") - F.col("vwap") * F.col("vwap"), F.lit(0.0))))
     bands = {f"{side}_{k}": F.col("vwap") + sign * k * F.col("deviation") for k in (1, 2, 3) for side, sign in (("upper", 1), ("lower", -1))}
-    apart = (F.col("twap") - F.col("vwap")) / F.col("vwap") * 100
+    apart = F.try_divide(F.col("twap") - F.col("vwap"), "vwap") * 100
     signal = F.when(F.col("divergence") > 1, "twap_above").when(F.col("divergence") < -1, "twap_below").otherwise("aligned")
     return out.withColumns(bands).withColumn("divergence", apart).withColumn("signal", signal).drop("square")

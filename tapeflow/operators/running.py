@@ -39,6 +39,17 @@ def previous(df: DataFrame, column: str, name: str, by: list[str], order: list[s
     return rows.withColumn(name, value).select(*df.columns, name)
 
 
+def running_max(df: DataFrame, column: str, by: list[str], order: list[str], bucket: int) -> DataFrame:
+    """``df`` with ``column`` raised to the greatest value of the group so far; ``bucket`` is in units of the first order column."""
+    rows = _bucketed(df, order[0], bucket)
+    tops = rows.groupBy(*by, "_bucket").agg(F.max(column).alias("_top"))
+    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tops.select(*by, "_bucket", F.max("_top").over(before).alias("_carried"))
+    inside = Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.join(carried, [*by, "_bucket"])
+    return rows.withColumn(column, F.greatest("_carried", F.max(column).over(inside))).select(*df.columns)
+
+
 def filled(df: DataFrame, column: str, name: str, by: list[str], order: list[str], bucket_ms: int = DAY_MS) -> DataFrame:
     """``df`` with the last value of ``column`` that is not null, the current row's included."""
     rows = _bucketed(df, order[0], bucket_ms)

@@ -38,7 +38,7 @@ def ratios(returns: DataFrame, periods: int = 252) -> DataFrame:
 def drawdown(candles: DataFrame) -> DataFrame:
     """Greatest fall from a running peak of each symbol, and its time."""
     peak = F.max("close").over(line().rowsBetween(Window.unboundedPreceding, 0))
-    rows = candles.withColumn("fall", 1 - F.col("close") / peak)
+    rows = candles.withColumn("fall", 1 - F.try_divide("close", peak))
     return rows.groupBy("symbol").agg(F.max("fall").alias("max_drawdown"), F.min_by("ts", F.struct(-F.col("fall"), "ts")).alias("at"))
 
 
@@ -53,7 +53,7 @@ def profit_factor(trades: DataFrame) -> DataFrame:
 
 def herfindahl(positions: DataFrame) -> DataFrame:
     """Concentration of each portfolio's (portfolio, asset, value) exposure."""
-    share = F.abs("value") / F.sum(F.abs("value")).over(Window.partitionBy("portfolio"))
+    share = F.try_divide(F.abs("value"), F.sum(F.abs("value")).over(Window.partitionBy("portfolio")))
     rows = positions.withColumn("share", share)
     return rows.groupBy("portfolio").agg(F.sum(F.col("share") * F.col("share")).alias("hhi"), F.max("share").alias("largest"), F.count(F.lit(1)).alias("n"))
 
@@ -112,7 +112,7 @@ def macro_regime(rows: DataFrame) -> DataFrame:
 
 def cot(points: DataFrame) -> DataFrame:
     """Signals of derivatives points (symbol, ts, funding, interest, ratio)."""
-    change = F.col("interest") / F.lag("interest", 4).over(line()) - 1
+    change = F.try_divide(F.col("interest"), F.lag("interest", 4).over(line())) - 1
     rows = points.withColumn("interest_change", change)
     rules = {
         "funding_high": F.col("funding") > 0.0005, "funding_negative": F.col("funding") < 0, "interest_rising": F.col("interest_change") > 0.05,
