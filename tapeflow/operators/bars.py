@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .running import running_sum
+from .running import ALWAYS, NOTHING, OPEN, running_sum, with_states
 
 
 def order() -> Column:
@@ -119,28 +120,38 @@ def anchored_bars(trades: DataFrame, width_ms: int, chunk_ms: int = 86_400_000)
     """Bars that open with the first trade after the one before closed and close with the
     first trade at least ``width_ms`` later, which belongs to no bar.
 
-    Where a bar opens depends on all bars before, so each chunk of time (a day) is folded on
-    its own and its first trade opens a bar; a group is bounded by a symbol's chunk.
+    Where a bar opens depends on all bars before. Each chunk of time first says which bar is open at
+    its end for any bar open where it begins (:func:`running.with_states`), then is folded from its
+    true state, so bars run on over the borders of chunks; a group is bounded by a symbol's chunk.
     """
 
+    def summarise(pdf: pd.DataFrame) -> list[tuple[int, int, int, int]]:
+        t = pdf["t"].to_numpy()
+        closes = np.searchsorted(t, t + width_ms)
+        last: list[tuple[int, int]] = [(NOTHING, 0)] * (len(t) + 2)  # the state at the end if a bar opens at trade i
+        for i in range(len(t) - 1, -1, -1):
+            last[i] = (OPEN, int(t[i])) if closes[i] == len(t) else last[closes[i] + 1]
+        first = int(np.searchsorted(t, t[0] + width_ms))
+        return [(NOTHING, ALWAYS, *last[0]), *((OPEN, int(t[c]) - width_ms, *last[c + 1]) for c in range(min(first + 1, len(t))))]
+
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["t", "seq"])
-        start, bar, out = None, -1, []
+        start, out = (int(pdf["_since"].iloc[0]) if pdf["_state"].iloc[0] == OPEN else None), []
         for t in pdf["t"]:
             if start is None:
-                start, bar = t, bar + 1
+                start = t
             if t - start >= width_ms:
                 start = None
-                out.append(-1)
+                out.append(None)
             else:
-                out.append(bar)
-        return pdf.assign(bar=out)[["symbol", "chunk", "bar", "p", "q", "t", "m", "seq"]]
+                out.append(start)
+        return pdf.assign(bar=pd.array(out, "Int64"))[["symbol", "bar", "p", "q", "t", "m", "seq"]]
 
-    rows = trades.withColumn("chunk", F.floor(F.col("t") / chunk_ms))
+    rows = with_states(trades.withColumn("chunk", F.floor(F.col("t") / chunk_ms)), summarise)
     kind = dict(trades.dtypes)["symbol"]
-    schema = f"symbol {kind}, chunk bigint, bar bigint, p double, q double, t bigint, m boolean, seq bigint"
-    kept = rows.groupBy("symbol", "chunk").applyInPandas(fold, schema).where("bar >= 0")
-    bars = kept.groupBy("symbol", "chunk", "bar").agg(
+    schema = f"symbol {kind}, bar bigint, p double, q double, t bigint, m boolean, seq bigint"
+    kept = rows.groupBy("symbol", "chunk").applyInPandas(fold, schema).where("bar IS NOT NULL")
+    bars = kept.groupBy("symbol", "bar").agg(
         F.min("t").alias("open_t"),
         F.min_by("p", order()).alias("open"),
         F.max("p").alias("high"),
@@ -150,4 +161,4 @@ def anchored_bars(trades: DataFrame, width_ms: int, chunk_ms: int = 86_400_000)
         F.count(F.lit(1)).alias("n"),
     )
     out = running_sum(bars, F.col("d"), "cumulative_delta", ["symbol"], ["open_t", "bar"], 30 * chunk_ms)
-    return out.withColumns({"delta": F.col("d").cast("double"), "cumulative_delta": F.col("cumulative_delta").cast("double")}).drop("d", "chunk", "bar")
+    return out.withColumns({"delta": F.col("d").cast("double"), "cumulative_delta": F.col("cumulative_delta").cast("double")}).drop("d", "bar")

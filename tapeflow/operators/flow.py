@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bars import exact, signed, total, window_end
-
+from .running import ALWAYS, ENDED, NOTHING, OPEN, with_states
 
 #: By how much a volume must exceed its limit, so that the order of a sum does not decide.
 TOLERANCE = 1e-9
@@ -162,17 +163,55 @@ def passive_aggressive(windows: DataFrame) -> DataFrame:
 
 def bursts(trades: DataFrame, width_ms: int, threshold: float, end_ratio: float = 0.5, cooldown_ms: int = 200, chunk_ms: int = 86_400_000) -> DataFrame:
     """Bursts: the volume of the last ``width_ms`` reaches ``threshold``; one ends below
-    ``end_ratio`` of it and the next starts after the cooldown. Folded by symbol and chunk."""
+    ``end_ratio`` of it and the next starts after the cooldown. A burst that never ends is not given.
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    Volumes of the last ``width_ms`` are summed in chunks of time that also hold a copy of the
+    rows just before. Each chunk then says what it makes of a burst that is open, or ended at any time,
+    where it begins (:func:`running.with_states`), and is folded from its true state, so bursts and
+    cooldowns run on over the borders of chunks."""
+    kind = dict(trades.dtypes)["symbol"]
+    own = F.floor(F.col("t") / chunk_ms)
+    reach = F.floor((F.col("t") + width_ms - 1) / chunk_ms)
+    rows = trades.select("symbol", F.explode(F.sequence(own, reach)).alias("chunk"), "t", "seq", "q", own.alias("own"))
+
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["t", "seq"])
-        out, start, ended, first, volume, peak = [], None, None, 0, 0.0, 0.0
         times, sizes = pdf["t"].to_numpy(), pdf["q"].to_numpy()
+        volumes, first, volume = np.empty(len(pdf)), 0, 0.0
         for i, t in enumerate(times):
             volume += sizes[i]
             while t - times[first] >= width_ms:
                 volume -= sizes[first]
                 first += 1
+            volumes[i] = volume
+        return pdf.assign(volume=volumes)[pdf["own"] == pdf["chunk"]][["symbol", "chunk", "t", "seq", "volume"]]
+
+    rows = rows.groupBy("symbol", "chunk").applyInPandas(sums, f"symbol {kind}, chunk bigint, t bigint, seq bigint, volume double")
+
+    def summarise(pdf: pd.DataFrame) -> list[tuple[int, int, int, int]]:
+        t, v = pdf["t"].to_numpy(), pdf["volume"].to_numpy()
+        hot, cold = np.flatnonzero(v >= threshold), np.flatnonzero(v < threshold * end_ratio)
+
+        def ended(i: int) -> tuple[int, int]:
+            """The state at the end if a burst ends at trade i."""
+            at = np.searchsorted(hot, max(i + 1, np.searchsorted(t, t[i] + cooldown_ms)))
+            return last[at] if at < len(hot) else (ENDED, int(t[i]))
+
+        last: list[tuple[int, int]] = [(NOTHING, 0)] * len(hot)  # the state at the end if a burst starts at the h-th hot trade
+        for h in range(len(hot) - 1, -1, -1):
+            at = np.searchsorted(cold, hot[h] + 1)
+            last[h] = ended(cold[at]) if at < len(cold) else (OPEN, int(t[hot[h]]))
+        return [
+            *((NOTHING, ALWAYS, *x) for x in last[:1]),
+            *((OPEN, ALWAYS, *ended(i)) for i in cold[:1]),
+            *((ENDED, int(t[i]) - cooldown_ms, *x) for i, x in zip(hot, last, strict=True)),
+        ]
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["t", "seq"])
+        state, since = int(pdf["_state"].iloc[0]), int(pdf["_since"].iloc[0])
+        out, start, ended, peak = [], since if state == OPEN else None, since if state == ENDED else None, 0.0
+        for t, volume in zip(pdf["t"], pdf["volume"], strict=True):
             if start is None and volume >= threshold and (ended is None or t - ended >= cooldown_ms):
                 start, peak = t, volume
             elif start is not None:
@@ -180,8 +219,9 @@ def bursts(trades: DataFrame, width_ms: int, threshold: float, end_ratio: float
                 if volume < threshold * end_ratio:
                     out.append((pdf["symbol"].iloc[0], start, t, peak))
                     start, ended = None, t
-        return pd.DataFrame(out, columns=["symbol", "start_t", "end_t", "peak"])
+        if start is not None:
+            out.append((pdf["symbol"].iloc[0], start, None, peak))
+        return pd.DataFrame(out, columns=["symbol", "start_t", "end_t", "peak"]).astype({"end_t": "Int64"})
 
-    kind = dict(trades.dtypes)["symbol"]
-    rows = trades.withColumn("chunk", F.floor(F.col("t") / chunk_ms))
-    return rows.groupBy("symbol", "chunk").applyInPandas(fold, f"symbol {kind}, start_t bigint, end_t bigint, peak double")
+    pieces = with_states(rows, summarise).groupBy("symbol", "chunk").applyInPandas(fold, f"symbol {kind}, start_t bigint, end_t bigint, peak double")
+    return pieces.groupBy("symbol", "start_t").agg(F.max("end_t").alias("end_t"), F.max("peak").alias("peak")).where("end_t IS NOT NULL")

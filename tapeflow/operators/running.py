@@ -7,10 +7,17 @@ only these rows are scanned in order.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DAY_MS = 86_400_000
+#: States that a fold over time can be in where a chunk begins: nothing yet, open since a time, ended at a time.
+NOTHING, OPEN, ENDED = 0, 1, 2
+#: A limit that every time is below.
+ALWAYS = (1 << 63) - 1
 
 
 def _bucketed(df: DataFrame, time: str, bucket_ms: int) -> DataFrame:
@@ -60,3 +67,38 @@ def filled(df: DataFrame, column: str, name: str, by: list[str], order: list[str
     inside = Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.join(carried, [*by, "_bucket"])
     return rows.withColumn(name, F.coalesce(F.last(column, True).over(inside), "_carried")).select(*df.columns, name)
+
+
+def with_states(rows: DataFrame, summarise: Callable[[pd.DataFrame], list[tuple[int, int, int, int]]]) -> DataFrame:
+    """``rows`` (symbol, chunk, ...) with the state (_state, _since) of a fold where their chunk begins.
+
+    A fold in time order depends on all rows before. Each chunk first says what it makes of any
+    state: ``summarise`` gives (state, limit, new state, new time) in order of limits, and the first
+    entry of the state whose limit the time does not exceed applies; without one the state stays.
+    Only these entries are then followed through a symbol's chunks, one small list for each."""
+    kind = dict(rows.dtypes)["symbol"]
+
+    def entries(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for entry in summarise(pdf.sort_values(["t", "seq"])):
+            if out and out[-1][:2] == entry[:2]:
+                continue  # the first of rows at one time decides
+            if out and out[-1][0] == entry[0] and out[-1][2:] == entry[2:]:
+                out.pop()  # the same outcome up to a larger limit
+            out.append(entry)
+        frame = pd.DataFrame(out or [(-1, 0, 0, 0)], columns=["state", "limit", "new_state", "new_since"])
+        return frame.assign(symbol=pdf["symbol"].iloc[0], chunk=pdf["chunk"].iloc[0])
+
+    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
+        now, out = (NOTHING, 0), []
+        for chunk, some in pdf.groupby("chunk", sort=True):
+            out.append((pdf["symbol"].iloc[0], chunk, *now))
+            for state, limit, *new in sorted(zip(some["state"], some["limit"], some["new_state"], some["new_since"], strict=True)):
+                if state == now[0] and now[1] <= limit:
+                    now = tuple(new)
+                    break
+        return pd.DataFrame(out, columns=["symbol", "chunk", "_state", "_since"])
+
+    found = rows.groupBy("symbol", "chunk").applyInPandas(entries, f"state bigint, limit bigint, new_state bigint, new_since bigint, symbol {kind}, chunk bigint")
+    states = found.groupBy("symbol").applyInPandas(follow, f"symbol {kind}, chunk bigint, _state bigint, _since bigint")
+    return rows.join(states, ["symbol", "chunk"])

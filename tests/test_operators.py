@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from tapeflow.functions import scalars
 from tapeflow.operators import bars, clean, flow, indicators, joins, levels, models, profile, running, scores
@@ -58,6 +59,97 @@ def test_anchored_bars(spark):
     assert got == [(0, 2), (80, 1), (210, 1)]
 
 
+def bars_brute(rows, width):
+    out, start = {}, None
+    for _, _, _, t, _, _ in rows:
+        start = t if start is None else start
+        if t - start >= width:
+            start = None
+        else:
+            out[start] = out.get(start, 0) + 1
+    return out
+
+
+def bursts_brute(rows, width, threshold, ratio, cooldown):
+    out, start, ended, held = [], None, None, []
+    for _, _, q, t, _, _ in rows:
+        held = [(a, b) for a, b in [*held, (t, q)] if t - a < width]
+        volume = sum(b for _, b in held)
+        if start is None and volume >= threshold and (ended is None or t - ended >= cooldown):
+            start, peak = t, volume
+        elif start is not None:
+            peak = max(peak, volume)
+            if volume < threshold * ratio:
+                out.append((start, t, peak))
+                start, ended = None, t
+    return out
+
+
+def test_folds_run_on_over_chunks(spark):
+    rng = np.random.default_rng(11)
+    for gap in (3, 40):
+        times = np.cumsum(rng.integers(0, gap, 400))
+        rows = [("a", 1.0, float(rng.integers(1, 6)), int(t), False, i) for i, t in enumerate(times)]
+        df = spark.createDataFrame(rows + [("b", *r[1:]) for r in rows[50:]], TRADES)
+        for chunk in (25, 170, 10**9):
+            got = {r["open_t"]: r["n"] for r in bars.anchored_bars(df, 60, chunk).where("symbol = 'a'").collect()}
+            assert got == bars_brute(rows, 60), chunk
+            for cooldown in (0, 90):
+                found = flow.bursts(df, 30, 12.0, 0.5, cooldown, chunk)
+                for symbol, own in (("a", rows), ("b", rows[50:])):
+                    got = sorted((r["start_t"], r["end_t"], r["peak"]) for r in found.where(f"symbol = '{symbol}'").collect())
+                    assert got == bursts_brute(own, 30, 12.0, 0.5, cooldown), (chunk, cooldown)
+
+
+def test_joins_in_time(spark):
+    rng = np.random.default_rng(12)
+    ticks = [("a", float(rng.integers(0, 9)), 1.0, int(t), False, i) for i, t in enumerate(np.sort(rng.integers(0, 4000, 300)))]
+    signals = [(i, "a", int(t), float(p)) for i, (t, p) in enumerate(zip(rng.integers(-50, 4100, 120), rng.integers(0, 5, 120), strict=True))]
+    signals.append((998, "none", 5, 1.0))
+    left = spark.createDataFrame(signals, "id long, symbol string, t long, price double")
+    table = spark.createDataFrame(ticks, TRADES)
+    right = table.selectExpr("symbol", "t AS rt", "seq AS rid", "p AS value")
+    for bucket in (100, 10**7):
+        for r in joins.asof_nearest(left, right, 20, bucket_ms=bucket).collect():
+            near = min(((abs(x[3] - r["t"]), x[3], x[5]) for x in ticks if r["symbol"] == "a" and abs(x[3] - r["t"]) <= 20), default=(None, None, None))
+            assert (r["rt"], r["rid"]) == near[1:]
+    hour = 3_600_000
+    due = left.withColumn("t", F.col("t") - hour)
+    got = {r["id"]: r["later"] for r in joins.horizons(due, table, (1,), 0.1, span_ms=15, bucket_ms=100).collect()}
+    want = {i: min(((x[3], x[5], x[1]) for x in ticks if s == "a" and t <= x[3] <= t + 15), default=(0, 0, None))[2] for i, s, t, _ in signals}
+    assert got == want
+    for horizon, grains in ((700, 32), (37, 32), (500, 7), (1, 4)):
+        for r in joins.price_path(left, table, horizon, grains).collect():
+            _, symbol, t, price = next(s for s in signals if s[0] == r["id"])
+            path = [x[1] for x in ticks if symbol == "a" and t < x[3] <= t + horizon]
+            assert r["ticks"] == len(path)
+            if path and price:
+                assert (r["mfe"], r["mae"]) == (max(path) / price - 1, min(path) / price - 1)
+            else:
+                assert r["mfe"] is None and r["mae"] is None
+
+
+def test_late_and_zones(spark):
+    rng = np.random.default_rng(13)
+    rows = [("a", float(rng.integers(1, 200)), 1.0, int(rng.integers(0, 900)), False, i) for i in range(300)]
+    df = spark.createDataFrame(rows, TRADES)
+    top, want = -1, {}
+    for r in rows:
+        top = max(top, r[3])
+        want[r[5]] = top
+    assert {r["seq"]: r["t"] for r in clean.clamp_late(df, bucket=17).collect()} == want
+    zones = spark.createDataFrame([("a", 1, 10.0, 40.0), ("a", 2, 35.0, 36.0), ("a", 3, -5.0, 2.0)], "symbol string, zone int, low double, high double")
+    want = set()
+    for zone, low, high in ((1, 10, 40), (2, 35, 36), (3, -5, 2)):
+        last = None
+        for r in sorted(rows, key=lambda r: (r[3], r[5])):
+            if low <= r[1] <= high:
+                if last is None or r[3] - last >= 20:
+                    want.add((zone, r[5]))
+                last = r[3]
+    assert {(r["zone"], r["seq"]) for r in levels.zone_touches(zones, df, 20).collect()} == want
+
+
 def test_value_area_ties(spark):
     df = spark.createDataFrame([("a", 1, b, float(b), v) for b, v in enumerate([1.0, 5.0, 9.0, 5.0, 1.0])], "symbol string, window_end bigint, bin bigint, price double, volume double")
     up = profile.value_area_expand(df, 0.6).first()
