@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import analysis, decisions, market, trading
+from . import analysis, decisions, enrichment, market, trading
 from .base import nudged
 
-_GROUPS = (trading, market, analysis, decisions)
+_GROUPS = (trading, market, analysis, decisions, enrichment)
 
 QUERIES = {f.__name__: f for group in _GROUPS for f in group.QUERIES}
 ORACLE_SQL = {k: nudged(v) for group in _GROUPS for k, v in group.ORACLE.items()}
