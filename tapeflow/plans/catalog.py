@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import analysis, decisions, enrichment, market, trading
+from . import twins as _twins  # adds to the twins of the others
 from .base import nudged
 
 _GROUPS = (trading, market, analysis, decisions, enrichment)
