@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, sized
+from .shared import Scratch, sized, staying
 
 #: Bytes of the first digit, and how many times wider each later digit is.
 FIRST_DIGIT, WIDEN = 64, 16
@@ -34,7 +34,7 @@ def exact_dedup(
     """
     scratch = Scratch(docs.sparkSession, "exact")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rest = F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", "").cast("binary")
+    rest = _bare(text_col)
     state = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.length(text).cast("long").alias("points"), rest.alias("rest")
     ).select(
@@ -92,21 +92,22 @@ def exact_dedup(
     )
 
 
+def _bare(text: str):
+    """The bytes of a text without white space; null counts as empty."""
+    return F.regexp_replace(F.coalesce(F.col(text).cast("string"), F.lit("")), "[\\x20\\x09-\\x0D]+", "").cast("binary")
+
+
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that :func:`exact_dedup` does not keep. Of rows that
-    repeat a kept id and its text, one stays; a null id counts as an id of its own."""
-    scratch = Scratch(docs.sparkSession, "copies")
-    found = scratch.write(exact_dedup(docs, id_col, text_col).select("doc_id", "kept", "text_sha256"), "found")
-    ids = found.groupBy("doc_id").agg(F.bool_and("kept").alias("all"), F.count(F.lit(1)).alias("n"))
-    odd = scratch.write(ids.where("NOT all OR n > 1").select(F.col("doc_id").alias("_id"), "n"), "odd")
-    odd, same = sized(odd, 24), docs[id_col].cast("long").eqNullSafe(odd["_id"])
-    out = docs.join(odd, same, "left_anti")
-    again = odd.where("n > 1")
-    if again.isEmpty():
-        return out
-    # Ids of several rows: their rows are told apart by id and text.
-    bare = F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "[\\x20\\x09-\\x0D]+", "")
-    rows = docs.join(again, same, "left_semi").withColumn("_sha", F.sha2(bare.cast("binary"), 256))
-    kept = found.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_kept"))
-    rows = rows.join(kept.distinct(), rows[id_col].cast("long").eqNullSafe(kept["_id"]) & (F.col("_sha") == F.col("_kept")), "left_semi")
-    return out.union(rows.dropDuplicates([id_col, "_sha"]).select(*docs.columns))
+    """``docs`` without the documents that :func:`exact_dedup` does not keep.
+
+    Of each class of equal texts one row stays; null, empty and blank texts are one class. Rows that
+    share an id are told apart by their texts, and of those that repeat a kept id and its text the
+    longest stays. A null id counts as an id of its own. All columns stay as they are, whatever their
+    names; an empty table gives an empty result.
+    """
+    found = exact_dedup(docs, id_col, text_col).select("doc_id", F.col("text_sha256").alias("key"), F.col("kept").alias("stays"))
+
+    def keyed(rows: DataFrame, name: str) -> DataFrame:
+        return rows.withColumn(name, F.sha2(_bare(text_col), 256))
+
+    return staying(docs, id_col, text_col, found, keyed, Scratch(docs.sparkSession, "copies"))

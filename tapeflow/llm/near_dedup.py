@@ -7,9 +7,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import components
-from .shared import Scratch, shingle_ids, sized, word_ids
+from .shared import Scratch, bounded, ranges, shingle_ids, sized, staying, tidy, word_ids
 
 #: Bands, and values of the signature in each.
 BANDS, BAND_VALUES = 32, 4
@@ -17,8 +18,14 @@ BANDS, BAND_VALUES = 32, 4
 PERCENT = 80
 
 
-def _set_of(text: str | None, words: int) -> np.ndarray:
-    return np.unique(shingle_ids(word_ids(text), words))
+def _hash(shingles: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(shingles.tobytes())
+
+
+def _sets_of(texts: pa.Array, words: int):
+    """The shingle set of each text, one run of texts after the other: (first row, sets)."""
+    for at, n in ranges(texts):
+        yield at, [np.unique(shingle_ids(w, words)) for w in word_ids(texts.slice(at, n))]
 
 
 class MinMax:
@@ -43,18 +50,6 @@ class MinMax:
         return np.array([xxhash.xxh3_64_intdigest(v.tobytes(), i) for i, v in enumerate(values)], np.uint64).view(np.int64)
 
 
-def _bounded(batch, column: int, chars: int = 4_000_000):
-    """Slices of a batch with about so many characters of text."""
-    start = size = 0
-    for i, x in enumerate(batch.column(column)):
-        size += len(x.as_py() or "")
-        if size >= chars:
-            yield batch.slice(start, i + 1 - start)
-            start, size = i + 1, 0
-    if start < batch.num_rows:
-        yield batch.slice(start)
-
-
 def _longs(arrays: list[np.ndarray]) -> pa.Array:
     sizes = np.cumsum([0, *map(len, arrays)])
     values = np.concatenate(arrays) if arrays else np.empty(0, np.int64)
@@ -65,26 +60,24 @@ def _signed(docs: DataFrame, words: int, bands: int, values: int) -> DataFrame:
     def run(batches):
         scheme = MinMax(bands, values)
         for batch in batches:
-            for part in _bounded(batch, 1):
-                sets = [_set_of(x.as_py(), words) for x in part.column(1)]
+            for at, sets in _sets_of(batch.column(1), words):
                 keys = [scheme.band_keys(s) if len(s) else np.empty(0, np.int64) for s in sets]
-                hashes = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-                columns = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(hashes, pa.binary()), _longs(keys)]
+                hashes = [_hash(s) for s in sets]
+                columns = [batch.column(0).slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(hashes, pa.binary()), _longs(keys)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "set_hash", "keys"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, set_hash binary, keys array<long>")
+    return bounded(docs).mapInArrow(tidy(run), "doc_id long, n long, set_hash binary, keys array<long>")
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            for part in _bounded(batch, 1):
-                sets = [_set_of(x.as_py(), words) for x in part.column(1)]
-                hashes = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+            for _, sets in _sets_of(batch.column(1), words):
+                hashes = [_hash(s) for s in sets]
                 columns = [pa.array(hashes, pa.binary()), _longs([s.view(np.int64) for s in sets])]
                 yield pa.RecordBatch.from_arrays(columns, ["set_hash", "shingles"])
 
-    return docs.mapInArrow(run, "set_hash binary, shingles array<long>")
+    return bounded(docs).mapInArrow(tidy(run), "set_hash binary, shingles array<long>")
 
 
 def near_dedup(
@@ -117,6 +110,14 @@ def near_dedup(
 
     Returns doc_id, n_shingles, component_id (smallest id of the group), kept.
     """
+    rows = _grouped(docs, words, percent, bands, values, id_col, text_col)
+    component = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
+    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def _grouped(docs: DataFrame, words: int, percent: int, bands: int, values: int, id_col: str, text_col: str) -> DataFrame:
+    """A row for each of ``docs``: doc_id, n_shingles, set_hash, and of its group the number, the
+    smallest id and, of that id's sets, the smallest hash. A document without shingles has no group."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -167,11 +168,11 @@ def near_dedup(
         "set_hash", "least", F.coalesce("component", "node").alias("component")
     )
     groups = scratch.write(groups, "groups")
-    first = groups.groupBy("component").agg(F.min("least").alias("component_id"))
-    groups = scratch.write(groups.join(first, "component").select("set_hash", "component_id"), "least")
-    out = signed.select("doc_id", F.col("n").alias("n_shingles"), "set_hash").join(sized(groups, 48), "set_hash", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    smallest = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "set_hash"))
+    first = groups.groupBy("component").agg(smallest.alias("first"))
+    first = first.select("component", F.col("first.least").alias("least"), F.col("first.set_hash").alias("first_hash"))
+    groups = scratch.write(groups.drop("least").join(first, "component"), "least")
+    return signed.select("doc_id", F.col("n").alias("n_shingles"), "set_hash").join(sized(groups, 72), "set_hash", "left")
 
 
 def _unsettled(members: DataFrame, found: DataFrame, tried: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
@@ -216,9 +217,36 @@ def _unsettled(members: DataFrame, found: DataFrame, tried: DataFrame, sets: Dat
     return pairs.join(tried, ["a", "b"], "left_anti")
 
 
-def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """``docs`` with one document, the smallest id, of each group that :func:`near_dedup` finds."""
+def drop_near(
+    docs: DataFrame,
+    words: int = 5,
+    percent: int = PERCENT,
+    bands: int = BANDS,
+    values: int = BAND_VALUES,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """``docs`` with one row of each group that :func:`near_dedup` finds, that of the smallest id.
+
+    Rows are told apart by id and shingle set: of rows that share an id each goes or stays with its
+    own group, and of those with one set as well the longest text stays. A null id is larger than
+    any other. Documents without words (null, empty, blank) are in no group and all stay. All columns
+    stay as they are, whatever their names; an empty table gives an empty result.
+    """
     scratch = Scratch(docs.sparkSession, "drop-near")
-    found = near_dedup(docs, id_col=id_col, text_col=text_col, **settings)
-    gone = scratch.write(found.where("NOT kept").select(F.col("doc_id").alias(id_col)), "dropped")
-    return docs.join(sized(gone, 16), id_col, "left_anti")
+    rows = _grouped(docs, words, percent, bands, values, id_col, text_col)
+    alone = F.col("n_shingles") == 0
+    stays = alone | (F.col("doc_id").eqNullSafe(F.col("least")) & (F.col("set_hash") == F.col("first_hash")))
+    found = rows.select("doc_id", F.when(~alone, F.col("set_hash")).alias("key"), stays.alias("stays"))
+    place = docs.columns.index(text_col)
+
+    def keyed(some: DataFrame, name: str) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                texts = batch.column(place)
+                keys = [_hash(s) if len(s) else None for _, sets in _sets_of(texts.cast(pa.string()), words) for s in sets]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], [*batch.schema.names, name])
+
+        return bounded(some).mapInArrow(tidy(run), T.StructType([*some.schema.fields, T.StructField(name, T.BinaryType())]))
+
+    return staying(docs, id_col, text_col, found, keyed, scratch)

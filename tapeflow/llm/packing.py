@@ -11,11 +11,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import slices, tokenizer
+from .shared import bounded, tidy
+from .tokens import tokenizer
 
 #: Tokens of a sequence; least length to which a document's rest is cut before its tail.
 CAPACITY, LEAST_CUT = 1024, 32
 END_ID = 0
+#: Pieces that a task gives out together.
+ROWS = 20_000
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -114,19 +117,18 @@ def harmonic_pack(
         def table(rows):
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names)
 
+        rows = []
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                rows = []
-                for doc, data in zip(ids[a:b], encode(texts[a:b]), strict=True):
-                    data += end
-                    total, at = len(data) // 4, 0
-                    for length in cut_lengths(total, capacity, least_cut):
-                        rows += bins.add((doc, at, length, data[4 * at : 4 * (at + length)], total))
-                        at += length
-                if rows:
+            for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
+                data = ids.tobytes() + end
+                total, at = len(data) // 4, 0
+                for length in cut_lengths(total, capacity, least_cut):
+                    rows += bins.add((doc, at, length, data[4 * at : 4 * (at + length)], total))
+                    at += length
+                if len(rows) >= ROWS:
                     yield table(rows)
-        if rows := bins.rest():
+                    rows = []
+        if rows := rows + bins.rest():
             yield table(rows)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(pack, PIECE)
+    return bounded(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))).mapInArrow(tidy(pack), PIECE)

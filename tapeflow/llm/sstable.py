@@ -31,11 +31,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Scratch, sized
-from .tokens import slices, tokenizer
+from .shared import Scratch, bounded, sized, tidy
+from .tokens import tokenizer
 
 END_ID = 1
 BLOCK_BYTES = 64 << 10
+#: Blocks that a task gives out together.
+BLOCKS = 64
 #: Bytes of text that a shard is meant to hold, and bits of the Bloom filter for each key.
 SHARD_TEXT_BYTES, BLOOM_BITS, BLOOM_PROBES = 24 << 20, 10, 7
 MAGIC, VERSION = b"SSTTOKEN", 1
@@ -72,9 +74,9 @@ class ShardWriter:
         self.offset += len(data) + 1
         return data
 
-    def add(self, doc_id: int | None, data: bytes) -> list[bytes]:
-        """data: the ids as little-endian 32-bit integers. Gives the sections that are complete."""
-        ids, key = np.frombuffer(data, "<u4"), key_of(doc_id)
+    def add(self, doc_id: int | None, ids: np.ndarray) -> list[bytes]:
+        """ids: unsigned 32-bit integers. Gives the sections that are complete."""
+        key = key_of(doc_id)
         width = 2 if not len(ids) or ids.max() < 1 << 16 else 4
         shared = 0
         if self.first is None:
@@ -188,7 +190,7 @@ def write_shards(
     def write(batches):
         encode = tokenizer(tokenizer_path, spaces=False).encode
         shard = ShardWriter(TaskContext.get().partitionId())
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.uint32(end_id)
         held: list[bytes] = []
 
         def given():
@@ -197,16 +199,14 @@ def write_shards(
             return batch
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                for doc, data in zip(ids[a:b], encode(texts[a:b]), strict=True):
-                    held += shard.add(doc, data + end)
-                if held:
+            for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
+                held += shard.add(doc, np.append(ids, end))
+                if len(held) >= BLOCKS:
                     yield given()
         held += shard.finish()
         yield given()
 
-    sections = rows.mapInArrow(write, "section binary")
+    sections = bounded(rows).mapInArrow(tidy(write), "section binary")
     sections.select(F.col("section").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
 
 

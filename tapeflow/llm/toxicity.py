@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .langid import held_out
-from .shared import mix, sized
+from .shared import bounded, mix, sized, slices, tidy, word_ids
 
 #: Hashed features (a power of two), labelled rows that are learned from (about, by a hash
 #: of the id), passes over them.
@@ -19,29 +18,18 @@ ALPHA, BETA, L1, L2 = 1.0, 1.0, 3.0, 1.0
 THRESHOLD = 0.3
 #: Everything but letters, digits and bytes beyond ASCII separates words; A-Z is lower-cased.
 _SIGNS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-WORDS_KEPT = 400_000
 
 
-class _Ids(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_IDS = _Ids()
-
-
-def features(text: str | None, size: int = FEATURES) -> np.ndarray:
-    """Distinct hashed features of a text: words, neighbouring pairs, and pairs that skip a word."""
-    words = text.encode("utf-8", "replace").translate(_SIGNS).split() if text else []
-    w = np.fromiter(map(_IDS.__getitem__, words), np.uint64, len(words))
-    parts = [w]
-    for gap, salt in ((1, 0x9E3779B97F4A7C15), (2, 0xC2B2AE3D27D4EB4F)):
-        if len(w) > gap:
-            parts.append(mix(w[:-gap] * np.uint64(salt) + w[gap:]))
-    return np.unique((np.concatenate(parts) >> np.uint64(20)).astype(np.uint32) & np.uint32(size - 1))
+def features(texts: pa.Array, size: int = FEATURES):
+    """The words (64-bit ids) and the distinct hashed features of each text of a string array, one text
+    after the other: words, neighbouring pairs, and pairs that skip a word."""
+    for some in slices(texts):
+        for w in word_ids(some, _SIGNS):
+            parts = [w]
+            for gap, salt in ((1, 0x9E3779B97F4A7C15), (2, 0xC2B2AE3D27D4EB4F)):
+                if len(w) > gap:
+                    parts.append(mix(w[:-gap] * np.uint64(salt) + w[gap:]))
+            yield w, np.unique((np.concatenate(parts) >> np.uint64(20)).astype(np.uint32) & np.uint32(size - 1))
 
 
 class Ftrl:
@@ -84,8 +72,7 @@ def train_toxicity(
     def run(batches):
         model, kept = Ftrl(size), []
         for batch in batches:
-            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                at = features(text, size)
+            for label, (_, at) in zip(batch.column(0).to_pylist(), features(batch.column(1), size), strict=True):
                 kept.append((at, int(label > 0)))
                 model.learn(at, kept[-1][1])
         for _ in range(EPOCHS - 1):
@@ -95,7 +82,8 @@ def train_toxicity(
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w[at], pa.float64())], ["at", "w"])
 
-    fitted = rows.repartition(1).sortWithinPartitions("place", "text").select("label", "text").mapInArrow(run, "at long, w double").toArrow()
+    fitted = rows.repartition(1).sortWithinPartitions("place", "text").select("label", "text")
+    fitted = bounded(fitted).mapInArrow(tidy(run), "at long, w double").toArrow()
     return fitted["at"].to_numpy(), fitted["w"].to_numpy()
 
 
@@ -110,12 +98,12 @@ def score_toxicity(
         w = np.zeros(size + 1)
         w[shared.value[0]] = shared.value[1]
         for batch in batches:
-            sums = np.array([w[features(t.as_py(), size)].sum() for t in batch.column(1)]) + w[size]
+            sums = np.array([w[at].sum() for _, at in features(batch.column(1), size)]) + w[size]
             scores = 1 / (1 + np.exp(-np.clip(sums, -35, 35)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    scored = rows.mapInArrow(run, "doc_id long, score double")
+    scored = bounded(rows).mapInArrow(tidy(run), "doc_id long, score double")
     return scored.select("doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
