@@ -50,7 +50,7 @@ def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing_rates(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return mixing_rates(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op9_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
