@@ -9,14 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Scratch, sized
+from .shared import Scratch, bounded, sized, tidy
 
 #: Vectors that the tree is fitted on (about, by a hash), children of a node, rows meant for a leaf, leaves at most.
-SAMPLE, BRANCHING, LEAF_ROWS, MAX_LEAVES = 20_000, 8, 256, 2048
+SAMPLE, BRANCHING, LEAF_ROWS, MAX_LEAVES = 64_000, 8, 256, 8192
 #: Calibration queries (about), and the recall that the number of leaf visits is calibrated to.
 CALIBRATION, RECALL = 256, 0.98
-#: Most rows and most queries that meet in one group.
-BLOCK = 4096
+#: Most rows and most queries that meet in one group, and numbers of a product that a task holds at once.
+BLOCK, PRODUCT = 4096, 1 << 20
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -95,18 +95,35 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1) if len(flat) else np.zeros((0, 1))
 
 
-def _best(ids: np.ndarray, x: np.ndarray, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest rows by exact cosine, ties to the smaller id. A fast product only
-    picks what can be among them; scores are summed row by row, so equal vectors tie."""
-    rough = x @ q
-    rough[ids == query_id] = -np.inf
-    some = np.flatnonzero(rough > -np.inf)
-    if len(some) > k:
-        cut = np.partition(rough[some], len(some) - k)[len(some) - k]
-        some = some[rough[some] >= cut - 1e-9]
-    scores = (x[some] * q).sum(1)
-    order = np.lexsort((ids[some], -scores))[:k]
-    return some[order], scores[order]
+def _cosine(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Cosines of pairs of original vectors; of those whose squares leave the range of doubles, of scaled ones."""
+    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+        of_x, of_q = (x * x).sum(1), (q * q).sum(1)
+        out = (x * q).sum(1) / (np.sqrt(of_x) * np.sqrt(of_q))
+    odd = np.flatnonzero((np.minimum(of_x, of_q) < 1e-290) | (np.maximum(of_x, of_q) > 1e290))
+    if len(odd):
+        out[odd] = (_unit(x[odd]) * _unit(q[odd])).sum(1)
+    return out
+
+
+def _best(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each query the k nearest rows with another id, ties to the smaller id: (query, row, score).
+    Products of unit vectors pick what can be among them; the scores of those come from the original vectors."""
+    rows, queries, scores = [], [], []
+    ux, uq = _unit(x), _unit(q)
+    step = max(1, PRODUCT // max(1, len(x)))
+    for at in range(0, len(q), step):
+        rough = uq[at : at + step] @ ux.T
+        rough[query_ids[at : at + step, None] == ids[None, :]] = -np.inf
+        cut = np.partition(rough, max(0, rough.shape[1] - k), 1)[:, max(0, rough.shape[1] - k), None]
+        i, j = np.nonzero((rough >= cut - 1e-9) & (rough > -np.inf))
+        exact = _cosine(x[j], q[at + i])
+        order = np.lexsort((ids[j], -exact, i))
+        i, j, exact = i[order], j[order], exact[order]
+        first = np.searchsorted(i, i)
+        keep = np.arange(len(i)) - first < k
+        rows.append(j[keep]), queries.append(at + i[keep]), scores.append(exact[keep])
+    return np.concatenate(queries), np.concatenate(rows), np.concatenate(scores)
 
 
 def valid_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -131,10 +148,12 @@ def nearest(
     in blocks, and the visits are widened until the share of true neighbours in visited
     leaves reaches ``recall``. A query goes on until its leaves also hold ``k`` rows with
     another id, so fewer are returned only if there are fewer. Leaves are cut to blocks of rows and of queries, so a leaf
-    with a third of all vectors is spread over tasks.
+    with a third of all vectors is spread over tasks. Leaves hold about ``LEAF_ROWS`` rows up to
+    ``MAX_LEAVES`` times as many vectors (two million), and more beyond.
 
     Rows without id and vectors that are null, zero, of another length than most, or hold
-    null or non-finite components take no part. Rows that share the query's id are not its
+    null or non-finite components take no part. Scores are cosines of the original vectors in double
+    precision. Rows that share the query's id are not its
     candidates; a query id that repeats is searched once, with its smallest vector. Other
     columns are ignored. An empty table gives an empty result.
 
@@ -153,19 +172,17 @@ def nearest(
     def put(batches):
         for batch in batches:
             if batch.num_rows:
-                x = _unit(_matrix(batch.column(1)))
-                leaf = shared.value.assign(x)
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(leaf), batch.column(0), flat], ["leaf", "vec_id", "v"])
+                leaf = shared.value.assign(_unit(_matrix(batch.column(1))))
+                yield pa.RecordBatch.from_arrays([pa.array(leaf), batch.column(0), batch.column(1)], ["leaf", "vec_id", "v"])
 
-    index = scratch.write(rows.mapInArrow(put, "leaf long, vec_id long, v array<double>"), "index")
+    index = scratch.write(bounded(rows).mapInArrow(tidy(put), "leaf long, vec_id long, v array<double>"), "index")
     visits = _calibrated(index, tree, n, k, recall)
 
     held = {r["leaf"]: r["count"] for r in index.groupBy("leaf").count().collect()}
 
     def order(batches):
         for batch in batches:
-            x, leaves, at = _matrix(batch.column(1)) if batch.num_rows else [], [], []
+            x, leaves, at = _unit(_matrix(batch.column(1))) if batch.num_rows else [], [], []
             for i, (q, own) in enumerate(zip(x, batch.column(2).to_pylist() if batch.num_rows else [], strict=True)):
                 rows = 0
                 for place, leaf in enumerate(shared.value.visit(q), 1):
@@ -179,7 +196,7 @@ def nearest(
                 yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.int64()), some.column(0), some.column(1)], ["leaf", "query_id", "q"])
 
     queries = index.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("own"))
-    asked = scratch.write(queries.mapInArrow(order, "leaf long, query_id long, q array<double>"), "visits")
+    asked = scratch.write(queries.mapInArrow(tidy(order), "leaf long, query_id long, q array<double>"), "visits")
 
     def blocks(df, name):
         return df.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias(name))
@@ -196,13 +213,11 @@ def nearest(
     right = dealt(asked, "query_id", "query_blocks", "row_blocks").groupBy("leaf", "row_blocks", "query_blocks")
 
     def meet(rows: pa.Table, queries: pa.Table) -> pa.Table:
-        out = [[], [], []]
+        columns = [], [], []
         if rows.num_rows and queries.num_rows:
-            ids, x = rows["vec_id"].to_numpy(), _matrix(rows["v"])
-            for query_id, q in zip(queries["query_id"].to_pylist(), _matrix(queries["q"]), strict=True):
-                at, scores = _best(ids, x, query_id, q, k)
-                out[0].append(np.full(len(at), query_id)), out[1].append(ids[at]), out[2].append(scores)
-        columns = [np.concatenate(c) if c else [] for c in out]
+            ids, query_ids = rows["vec_id"].to_numpy(), queries["query_id"].to_numpy()
+            i, j, scores = _best(ids, _matrix(rows["v"]), query_ids, _matrix(queries["q"]), k)
+            columns = query_ids[i], ids[j], scores
         types = (pa.int64(), pa.int64(), pa.float64())
         return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["query_id", "vec_id", "score"])
 
@@ -227,22 +242,18 @@ def _calibrated(index: DataFrame, tree: KMeansTree, n: int, k: int, recall: floa
             if not batch.num_rows:
                 continue
             leaves, ids, x = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2))
-            out = [[], [], [], []]
-            for i, (query_id, q) in enumerate(zip(*queries.value, strict=True)):
-                at, scores = _best(ids, x, query_id, q, k)
-                for column, values in zip(out, (np.full(len(at), i), leaves[at], ids[at], scores), strict=True):
-                    column.append(values)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names)
-
-    near = index.mapInArrow(compare, "query long, leaf long, vec_id long, score double")
+            i, j, scores = _best(ids, x, *queries.value, k)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (i, leaves[j], ids[j], scores)], names)
+
+    near = index.mapInArrow(tidy(compare), "query long, leaf long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     true = near.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "leaf").collect()
     wanted: dict[int, list[int]] = {}
     for r in true:
         wanted.setdefault(r["query"], []).append(r["leaf"])
-    at = []
+    at, unit = [], _unit(queries.value[1])
     for i, leaves in wanted.items():
-        places = {leaf: place for place, leaf in enumerate(tree.visit(queries.value[1][i]), 1)}
+        places = {leaf: place for place, leaf in enumerate(tree.visit(unit[i]), 1)}
         at += [places[leaf] for leaf in leaves]
     at.sort()
     return at[min(len(at) - 1, int(np.ceil(recall * len(at))) - 1)] if at else tree.n_leaves
