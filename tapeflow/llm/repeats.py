@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Scratch, mix, sized, word_ids
+from .shared import Scratch, bounded, mix, ranges, sized, slices, tidy, word_ids
 
 #: Least words of a passage, words of the runs that minimisers are chosen among.
 PASSAGE, GRAM = 50, 8
@@ -28,39 +28,48 @@ def run_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix((sums[k:] - sums[:-k]) * shift)
 
 
+def run_names(words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each run of k words, as two numbers: equal runs have equal names, and no two others in practice."""
+    return run_hashes(words, k), run_hashes(mix(words ^ np.uint64(0xA0761D6478BD642F)), k)
+
+
 def minimisers(words: np.ndarray, gram: int, runs: int) -> np.ndarray:
-    """Places whose run of ``gram`` words has the least hash of some ``runs`` neighbouring
-    runs (the first of equals): chosen by content, so equal passages keep equal places."""
+    """For each window of ``runs`` neighbouring runs of ``gram`` words the place of the least hash (the
+    first of equals): chosen by content, so equal passages choose equal places."""
     hashes = run_hashes(words, gram)
     if len(hashes) < runs:
         return np.empty(0, np.int64)
     windows = np.lib.stride_tricks.sliding_window_view(hashes, runs)
-    return np.unique(np.concatenate([np.arange(a, min(a + 65536, len(windows))) + windows[a : a + 65536].argmin(1) for a in range(0, len(windows), 65536)]))
+    return np.concatenate([np.arange(a, min(a + 65536, len(windows))) + windows[a : a + 65536].argmin(1) for a in range(0, len(windows), 65536)])
 
 
 def suffixes(words: np.ndarray, passage: int, gram: int, runs: int) -> tuple[np.ndarray, np.ndarray]:
     """Retained places and the sort keys of their suffixes (a hash of the words that a
     passage at least has from its first minimiser on)."""
     right = passage - runs + 1
-    places, keys = minimisers(words, gram, runs), run_hashes(words, right)
+    places, keys = np.unique(minimisers(words, gram, runs)), run_hashes(words, right)
     places = places[places < len(keys)]
     return places, keys[places].view(np.int64)
 
 
+def _hashes(texts: list[np.ndarray]) -> pa.Array:
+    return pa.array([xxhash.xxh3_128_digest(w.tobytes()) for w in texts], pa.binary())
+
+
 def _array(parts: list[np.ndarray]) -> pa.Array:
     flat = np.concatenate(parts).astype(np.int64) if parts else np.empty(0, np.int64)
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(flat))
 
 
 def _neighbours(batches):
-    """Rows (key, doc, part) of one sorted partition whose key a neighbour of another document shares,
+    """Rows (key, row, edge) of one sorted partition whose key a neighbour of another text shares,
     and the partition's first and last rows with every key of the ends, marked for the next step."""
     held = None
     ends: list[tuple[int, int, bool]] = []
 
     def out(keys, docs, edge):
         return pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.int64()), pa.array(docs, pa.int64()), pa.array(edge, pa.bool_())], ["key", "doc", "edge"]
+            [pa.array(keys, pa.int64()), pa.array(docs, pa.int64()), pa.array(edge, pa.bool_())], ["key", "row", "edge"]
         )
 
     for batch in batches:
@@ -90,17 +99,18 @@ def repeated_passages(
 
     1. Suffixes are retained at minimisers only. A repeated passage has its first
        minimiser in its first half, at the same place in all its documents.
-    2. The retained suffixes of distinct texts are sorted over the cluster by key and
-       document, so a key that a third of all rows has is spread over tasks, and each is
-       compared with its neighbours; only those with a neighbour in another document stay.
-    3. Around these the match is extended left and right word by word: each run of
-       ``passage`` words that holds such a minimiser is compared with all others by a hash
-       (64 bits) that is counted with partial aggregation; runs that overlap are one passage.
-
-    Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased. Equal texts are one document in
-    steps 2 and 3, and each is a passage as a whole. Rows that share an id are one document
-    (null counts as an id of its own). Texts below ``passage`` words, null and empty texts
-    have no passage. Other columns are ignored; an empty table gives an empty result.
+    2. The retained suffixes of distinct texts are sorted over the cluster by the hash of their
+       first words and their text, so a key that a third of all rows has is spread over tasks, and each is
+       compared with its neighbours; only those with a neighbour in another text stay.
+    3. Around these the match is extended left and right word by word: each run of ``passage``
+       words whose first minimiser stayed is compared with all others by its name (128
+       bits), counted with partial aggregation; runs that overlap are one passage.
+
+    Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased. Each row is a document, whatever ids it shares;
+    rows that repeat an id and a text have one result. Equal texts are one in steps 2 and 3, and each
+    is a passage as a whole. Texts below ``passage`` words, null and empty texts have no passage;
+    long texts are read whole. Null ids are kept. Other columns are ignored, whatever their names; an
+    empty table gives an empty result.
 
     Returns doc_id, start_word, n_words (of the passage), doc_words, first_doc_id (the
     smallest id that the passage, or a part of it, stands in). Only documents with a
@@ -108,70 +118,75 @@ def repeated_passages(
     """
     runs = passage // 2 + 1
     scratch = Scratch(docs.sparkSession, "repeats")
-    none = -(1 << 63)
-    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(none)).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc"), text.alias("text"), F.xxhash64(text).alias("raw"))
 
     def sign(batches):
         for batch in batches:
-            some = [word_ids(t.as_py()) for t in batch.column(1)]
-            keys = [np.unique(suffixes(w, passage, gram, runs)[1]) for w in some]
-            hashes = pa.array([xxhash.xxh3_128_digest(w.tobytes()) for w in some], pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(w) for w in some], pa.int64()), hashes, _array(keys)], ["doc", "words", "hash", "keys"]
-            )
-
-    signed = docs.mapInArrow(sign, "doc long, words long, hash binary, keys array<long>").where(F.col("words") >= passage)
-    signed = scratch.write(signed, "signed")
-    copies = signed.groupBy("hash").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last")
+            for at, n in ranges(batch.column(1)):
+                some = word_ids(batch.column(1).slice(at, n))
+                keys = [np.unique(suffixes(w, passage, gram, runs)[1]) for w in some]
+                columns = [batch.column(0).slice(at, n), batch.column(2).slice(at, n), pa.array([len(w) for w in some], pa.int64()), _hashes(some), _array(keys)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc", "raw", "words", "hash", "keys"])
+
+    signed = bounded(docs).mapInArrow(tidy(sign), "doc long, raw long, words long, hash binary, keys array<long>").where(F.col("words") >= passage)
+    signed = scratch.write(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
+    copies = signed.groupBy("hash").agg(F.min("row").alias("node"), F.min("doc").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     copies = scratch.write(copies, "copies")
     marked = signed.join(sized(copies, 48), "hash", "left")
-    wholes = marked.where("first IS NOT NULL").select("doc", F.lit(0).cast("long").alias("start"), "words", F.col("words").alias("n"), "first").distinct()
+    wholes = marked.where("node IS NOT NULL").select("doc", F.lit(0).cast("long").alias("start"), "words", F.col("words").alias("n"), "least")
 
-    rows = marked.where("first IS NULL OR first = doc").select(F.explode("keys").alias("key"), "doc")
+    own = marked.where("node IS NULL OR node = row")
+    rows = own.select(F.explode("keys").alias("key"), "row")
     parts = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    rows = rows.repartitionByRange(int(parts), "key", "doc").sortWithinPartitions("key", "doc")
-    compared = scratch.write(rows.mapInArrow(_neighbours, "key long, doc long, edge boolean"), "compared")
+    rows = rows.repartitionByRange(int(parts), "key", "row").sortWithinPartitions("key", "row")
+    compared = scratch.write(bounded(rows).mapInArrow(tidy(_neighbours), "key long, row long, edge boolean"), "compared")
     # The two ends of every partition (two rows each) are compared with those of the others.
-    edges = compared.where("edge").select("key", "doc").distinct()
-    both = edges.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low <> high").select("key")
-    live = compared.where("NOT edge").select("key", "doc").union(edges.join(both, "key"))
-    live = scratch.write(live.groupBy("doc").agg(F.collect_set("key").alias("keys")), "live")
-    texts = docs.join(sized(live.select("doc"), 16), "doc", "left_semi").join(sized(live, 512), "doc").select("doc", "text", "keys")
+    edges = compared.where("edge").select("key", "row").distinct()
+    both = edges.groupBy("key").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low <> high").select("key")
+    live = compared.where("NOT edge").select("key", "row").union(edges.join(both, "key")).groupBy("row").agg(F.collect_set("key").alias("keys"))
+    of_row = own.select("row", "doc", "raw", F.col("hash").alias("own"), F.coalesce("least", "doc").alias("least"))
+    live = scratch.write(live.join(of_row, "row"), "live")
+    # Texts are found again by id and hash; those without an id by the hash alone, once each.
+    known = docs.alias("d").join(sized(live.where("doc IS NOT NULL"), 512).alias("l"), ["doc", "raw"])
+    unknown = docs.where("doc IS NULL").drop("doc").join(sized(live.where("doc IS NULL"), 512), "raw").dropDuplicates(["row"])
+    texts = known.select("row", "text", "keys", "own", "least").union(unknown.select("row", "text", "keys", "own", "least"))
 
     def extend(batches):
+        names = ["run", "more", "row", "least", "start"]
         for batch in batches:
-            found, owners, starts = [], [], []
-            for doc, text, keys in zip(batch.column(0).to_numpy(), batch.column(1), batch.column(2), strict=True):
-                words = word_ids(text.as_py())
-                places, own = suffixes(words, passage, gram, runs)
-                places = places[np.isin(own, keys.values.to_numpy())]
-                hashes = run_hashes(words, passage)
-                if len(places) and len(hashes):
-                    at = np.zeros(len(hashes) + 1, np.int64)
-                    np.add.at(at, np.minimum(np.maximum(places - runs + 1, 0), len(hashes)), 1)
-                    np.add.at(at, np.minimum(places + 1, len(hashes)), -1)
-                    at = np.flatnonzero(np.cumsum(at[:-1]) > 0)
-                    found.append(hashes[at].view(np.int64)), owners.append(np.full(len(at), doc)), starts.append(at)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (found, owners, starts)], ["run", "doc", "start"])
-
-    runs_at = scratch.write(texts.mapInArrow(extend, "run long, doc long, start long"), "runs")
-    shared = runs_at.groupBy("run").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last")
-    shared = scratch.write(shared.select("run", "first"), "shared")
-    hits = runs_at.join(sized(shared, 24), "run").select("doc", "start", "first")
-    in_doc = Window.partitionBy("doc").orderBy("start")
-    islands = hits.withColumn("new", (F.col("start") > F.lag("start").over(in_doc) + passage).cast("int"))
-    islands = islands.withColumn("island", F.sum(F.coalesce("new", F.lit(0))).over(in_doc.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = islands.groupBy("doc", "island").agg(
+            for first, n in ranges(batch.column(1)):
+                some = word_ids(batch.column(1).slice(first, n))
+                found, least_of = [[], [], [], []], []
+                given = zip(batch.column(0).slice(first, n).to_pylist(), some, batch.column(2).slice(first, n), batch.column(3).slice(first, n), _hashes(some), batch.column(4).slice(first, n).to_pylist(), strict=True)
+                for row, words, keys, own_hash, hashed, least in given:
+                    if own_hash != hashed:
+                        continue
+                    places, own_keys = suffixes(words, passage, gram, runs)
+                    stayed = places[np.isin(own_keys, keys.values.to_numpy())]
+                    run, more = run_names(words, passage)
+                    at = np.flatnonzero(np.isin(minimisers(words, gram, runs)[: len(run)], stayed))
+                    for column, values in zip(found, (run[at].view(np.int64), more[at].view(np.int64), np.full(len(at), row), at), strict=True):
+                        column.append(pa.array(values))
+                    least_of.append(pa.array([least] * len(at), pa.int64()))
+                if least_of:
+                    run, more, row, at = map(pa.concat_arrays, found)
+                    yield pa.RecordBatch.from_arrays([run, more, row, pa.concat_arrays(least_of), at], names)
+
+    schema = "run long, more long, row long, least long, start long"
+    runs_at = scratch.write(bounded(texts).mapInArrow(tidy(extend), schema), "runs")
+    shared = runs_at.groupBy("run", "more").agg(F.min("row").alias("low"), F.max("row").alias("high"), F.min("least").alias("first")).where("low <> high")
+    shared = scratch.write(shared.select("run", "more", "first"), "shared")
+    hits = runs_at.join(sized(shared, 32), ["run", "more"]).select("row", "start", "first")
+    of_text = Window.partitionBy("row").orderBy("start")
+    islands = hits.withColumn("new", (F.col("start") > F.lag("start").over(of_text) + passage).cast("int"))
+    islands = islands.withColumn("island", F.sum(F.coalesce("new", F.lit(0))).over(of_text.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = islands.groupBy("row", "island").agg(
         F.min("start").alias("start"), (F.max("start") + passage - F.min("start")).alias("n"), F.min("first").alias("first")
     )
-    lengths = signed.groupBy("doc").agg(F.max("words").alias("words"))
-    own = spans.join(wholes.select("doc").distinct(), "doc", "left_anti").join(lengths, "doc").select("doc", "start", "words", "n", "first")
-    out = own.union(wholes)
-    return out.select(
-        F.nullif("doc", F.lit(none)).alias("doc_id"),
-        F.col("start").alias("start_word"),
-        F.col("n").alias("n_words"),
-        F.col("words").alias("doc_words"),
-        F.nullif("first", F.lit(none)).alias("first_doc_id"),
+    # Copies of a text are passages as a whole; the others have what was found in their text.
+    alone = marked.where("node IS NULL").select("row", "doc", "words")
+    out = spans.join(alone, "row").select("doc", "start", "words", "n", "first").union(wholes.select("doc", "start", "words", "n", "least"))
+    return out.distinct().select(
+        F.col("doc").alias("doc_id"), F.col("start").alias("start_word"), F.col("n").alias("n_words"), F.col("words").alias("doc_words"), F.col("first").alias("first_doc_id")
     )
