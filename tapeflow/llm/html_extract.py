@@ -5,6 +5,7 @@ from __future__ import annotations
 import bisect
 import html
 import re
+from collections import defaultdict
 
 import pandas as pd
 import pyarrow as pa
@@ -12,9 +13,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, sized
+from .shared import Scratch, bounded, sized, tidy
 
-#: Hosts with fewer pages share one template; least share of a group's pages that a template token is on;
+#: Hosts with fewer pages have no template; least share of a group's pages that a template token is on;
 #: different pages that a text must stand on, once a page, to count as template text; and the least share of
 #: a group's pages with content that it must stand on, and that must have an article for the others to be left out.
 HOST_PAGES, SUPPORT, DIFFERENT, COMMON = 3, 0.3, 5, 0.9
@@ -60,12 +61,15 @@ def _left_out(name: str, attributes: str, inside: bool) -> tuple[bool, str]:
 def events(page: str):
     """The page as (token, text, block, out, main): a tag's token or a text, whether a tag
     ends a block, whether what follows lies in an element that is left out, and in an
-    article or main element. A token is the tag and the path of the elements around it."""
-    stack: list[tuple[str, bool, bool]] = []
-    path, out, main, at = "", False, False, 0
+    article or main element. A token is the tag and a hash of the whole path of the elements around it."""
+    # Of each open element: its name, the hash of the path to it, and what holds inside it.
+    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+    opened: dict[str, int] = defaultdict(int)
+    at = 0
     while True:
         tag = _TAG.search(page, at)
         end = tag.start() if tag else len(page)
+        _, path, out, main = stack[-1]
         if end > at:
             yield "", page[at:end], False, out, main
         if not tag:
@@ -84,14 +88,14 @@ def events(page: str):
             no_part, marks = _left_out(name, attributes, main)
             token = f"{path}<{name} {marks}>"
             if name in CONTAINERS and not attributes.rstrip().endswith("/"):
-                stack.append((name, no_part, name in ("article", "main")))
-        elif any(x[0] == name for x in stack):
-            while stack.pop()[0] != name:
-                pass
-        if name in CONTAINERS:
-            path = "/".join(x[0] for x in stack[-6:])
-            out, main = any(x[1] for x in stack), any(x[2] for x in stack)
-        yield token, "", name in BLOCKS, out, main
+                stack.append((name, _hash(f"{path}/{name}"), out or no_part, main or name in ("article", "main")))
+                opened[name] += 1
+        elif opened[name]:
+            last = ""
+            while last != name:
+                last = stack.pop()[0]
+                opened[last] -= 1
+        yield token, "", name in BLOCKS, *stack[-1][2:]
 
 
 def _hash(value: str) -> int:
@@ -175,15 +179,16 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     1. Every page gives its tokens: tags with the path around them, and texts. For each
        host and token, sums over all pages give the fingerprint of its occurrence vector;
        equal fingerprints make a class. A host with a third of all pages is only summed.
-    2. Classes that occur once a page are nested into the host's template. Hosts with fewer
-       than ``HOST_PAGES`` pages, and pages without a host, share one template.
+    2. Classes that occur once a page are nested into the host's template. Hosts with fewer than
+       ``HOST_PAGES`` pages show no recurrence, so they have no template; nor have pages without a host.
     3. Template tokens part a page into slots. Slots inside menus, footers, adverts and the
        like are dropped, as is text that stands once a page on at least ``COMMON`` of a host's
        pages with content, if it has ``DIFFERENT`` different ones. If so many pages have an
        article or main element, only its slots count on the pages that have it. What the other slots hold is decoded and cut to blocks.
 
     Null html gives empty text; null ids and urls are carried; repeated rows are kept, and
-    each gets its text. Other columns are ignored; an empty table gives an empty result.
+    each gets its text. Long and deep pages are read whole. Other columns are ignored, whatever
+    their names; an empty table gives an empty result.
     """
     scratch = Scratch(pages.sparkSession, "template")
     url = F.col(url_col).cast("string")
@@ -209,7 +214,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*found, strict=True)], names)
 
     schema = "host string, page long, token long, n long, place double, is_text boolean, out boolean, main boolean"
-    counted = rows.select("host", "html").mapInArrow(tokens, schema).groupBy("host", "token").agg(
+    counted = bounded(rows.where("host <> ''").select("host", "html")).mapInArrow(tidy(tokens), schema).groupBy("host", "token").agg(
         F.sum(F.xxhash64("page", "n").cast("decimal(38,0)")).cast("string").alias("vector"),
         F.count(F.lit(1)).alias("n"),
         F.max("n").alias("most"),
@@ -257,4 +262,4 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
             )
 
     kind = dict(rows.dtypes)["page_id"]
-    return joined.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return bounded(joined).mapInArrow(tidy(run), f"page_id {kind}, url string, text string, n_chars long")
