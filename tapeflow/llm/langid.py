@@ -7,11 +7,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import bounded, tidy
+
 #: Bytes of a window, widths of the filters and filters of each width.
 WINDOW, WIDTHS, FILTERS, EMBEDDING = 192, (2, 3, 4), 16, 12
 #: Labelled documents of each language that the network is fitted on (about; by a hash of
-#: the id), windows taken from each, languages at most.
-SAMPLE_PER_LANGUAGE, WINDOWS_EACH, LANGUAGES = 1200, 2, 200
+#: the id), documents of all languages at most (many languages share them), windows taken from each.
+SAMPLE_PER_LANGUAGE, SAMPLE, WINDOWS_EACH = 1200, 60_000, 2
+#: Windows that are convolved together.
+BLOCK = 32
 EPOCHS, BATCH, RATE = 6, 64, 0.004
 #: Steps that a small sample is repeated for at least.
 STEPS = 800
@@ -97,11 +101,12 @@ class ByteNet:
         places = self.window - self.taps + 1
         pair = (x[:, :-1].astype(np.int32) << 8) | x[:, 1:]
         out = np.empty((len(x), self.pairs[0].shape[1]), np.float32)
-        for i, row in enumerate(pair):
-            conv = self.pairs[0][row[:places]]
+        for at in range(0, len(x), BLOCK):
+            rows = pair[at : at + BLOCK]
+            conv = self.pairs[0][rows[:, :places]]
             for k, table in enumerate(self.pairs[1:], 1):
-                conv += table[row[2 * k : 2 * k + places]]
-            conv.max(0, out=out[i])
+                conv += table[rows[:, 2 * k : 2 * k + places]]
+            conv.max(1, out=out[at : at + BLOCK])
         logits = np.maximum(out + self.p["bias"], 0) @ self.p["out"] + self.p["out_bias"]
         logits = np.exp(logits - logits.max(1, keepdims=True))
         return logits / logits.sum(1, keepdims=True)
@@ -143,17 +148,18 @@ def held_out(id_col: str = "doc_id"):
 def train_bytenet(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> ByteNet:
     """A network fitted on a bounded sample of labelled rows that are not held out.
 
-    All labelled rows are counted by language. About ``per_language`` documents of each
-    (all of a rarer one) are taken by a hash of id and text, and ``WINDOWS_EACH`` pieces of
+    All labelled rows are counted by language, and every language can be predicted. About ``per_language``
+    documents of each (all of a rarer one), fewer if there are more than ``SAMPLE`` of them, are taken by a hash of id and text, and ``WINDOWS_EACH`` pieces of
     each at hashed places, so at most a few megabytes reach the driver.
     """
     text = F.col(text_col).cast("string")
     rows = docs.where(~F.coalesce(held_out(id_col), F.lit(False)) & F.col(lang_col).isNotNull() & (F.length(text) > 0))
     rows = rows.select(text.alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().collect()  # one small row a language
     if not counts:
         return ByteNet([UNDETERMINED])
     languages = sorted(r["lang"] for r in counts)
+    per_language = min(per_language, max(1, SAMPLE // len(languages)))
     place = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) / float(1 << 30)
     share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(per_language / r["count"]))])
     sample = rows.where(place < share[F.col("lang")])
@@ -198,7 +204,7 @@ def identify(docs: DataFrame, net: ByteNet, id_col: str = "doc_id", text_col: st
             )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return bounded(rows).mapInArrow(tidy(run), "doc_id long, lang_pred string, score double")
 
 
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -211,7 +217,9 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_unidentified(docs: DataFrame, net: ByteNet, least: float = 0.3, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose text is null, has no letter, or whose best language
-    has a share below ``least``. All columns stay as they are."""
+    has a share below ``least``. Every other row stays, repeated ones and those with a null id too, and
+    long texts are read whole. All columns stay as they are, whatever their names; an empty table gives an
+    empty result."""
     shared = docs.sparkSession.sparkContext.broadcast((net.languages, net.p))
     place = docs.columns.index(text_col)
 
@@ -227,4 +235,4 @@ def drop_unidentified(docs: DataFrame, net: ByteNet, least: float = 0.3, text_co
                 keep += [i for i, p in zip(some, model.texts([texts[i] for i in some]), strict=True) if p.max() >= least]
             yield batch.take(pa.array(keep, pa.int64()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(tidy(run), docs.schema)
