@@ -52,3 +52,49 @@ def json_double(c: str, path: str) -> Column:
 def ratio01(c: Column) -> Column:
     """A share given as 0-1 or 0-100 as 0-1."""
     return F.when(F.abs(c) > 1, c / 100).otherwise(c)
+
+
+def percent100(c: Column) -> Column:
+    """A share given as 0-1 or 0-100 as 0-100."""
+    return F.when(F.abs(c) <= 1, c * 100).otherwise(c)
+
+
+def half_up(c: Column, digits: int) -> Column:
+    """Rounded away from zero at the half, exactly, in decimals."""
+    return F.round(c.cast("decimal(28,10)"), digits).cast(f"decimal(28,{digits})")
+
+
+def triplet_ok(ms: Column, utc: Column, other: Column, seconds: float = 2.0) -> Column:
+    """Whether two times with their offsets name the same moment as an epoch, up to ``seconds``."""
+    same = lambda c: F.coalesce(F.abs(F.unix_millis(F.try_to_timestamp(c)) - ms) <= seconds * 1000, F.lit(False))
+    return same(utc) & same(other)
+
+
+def shown_percent(c: Column, digits: int = 2) -> Column:
+    return F.concat(F.format_string(f"%.{digits}f", F.round(c + 1.7e-10, digits)), F.lit("%"))
+
+
+def _braces(depth: int) -> str:
+    inner = r'[^{}"]|"(?:[^"\\]|\\.)*"'
+    return r"\{(?:" + inner + ("|" + _braces(depth - 1) if depth else "") + r")*\}"
+
+
+#: An object with objects inside it, up to six deep; braces in strings do not count.
+JSON_OBJECT = _braces(5)
+
+
+def json_object(c: Column) -> Column:
+    """The first JSON object in a text that may hold thoughts, fences and other words; null without one."""
+    bare = F.regexp_replace(c, r"(?is)<think>.*?</think>", "")
+    found = F.regexp_extract(bare, JSON_OBJECT, 0)
+    return F.when(found != "", found)
+
+
+def json_truncated(c: Column) -> Column:
+    """Whether a text begins an object that it does not end."""
+    return c.contains("{") & json_object(c).isNull()
+
+
+def canonical_hash(names: list[str]) -> Column:
+    """SHA-256 of the fields as JSON in the order of their names."""
+    return F.sha2(F.to_json(F.struct(*sorted(names))), 256)
