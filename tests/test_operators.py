@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tapeflow.functions import scalars
-from tapeflow.operators import bars, clean, flow, indicators, joins, levels, models, profile, running, scores
+from tapeflow.operators import bars, clean, flow, indicators, joins, levels, models, profile, repair, reports, running, scores
 from tapeflow.plans import analysis
 from tapeflow.sources import sinks, tables
 
@@ -254,3 +254,47 @@ def test_similar_searches_all_due_queries(spark, tmp_path, monkeypatch):
             want = similar_brute(np.arange(700), x, i, 5, measure)
             assert [v for v, _ in found] == [v for v, _ in want]
             assert np.allclose([s for _, s in found], [s for _, s in want], atol=2e-6)
+
+
+def test_local_extrema(spark):
+    x = [10.0, 10.0, 10.0, 14.0, 10.0, 10.0, 10.0, 10.0, 10.0, 6.0, 10.0, 10.0, 10.0, 10.0, 14.1, 10.0, 10.0, 10.0]
+    df = spark.createDataFrame([("a", i, v) for i, v in enumerate(x)] + [("b", i, 1.0) for i in range(5)], "symbol string, ts bigint, close double")
+    got = sorted((r["symbol"], r["kind"], r["ts"], r["price"]) for r in reports.local_extrema(df).collect())
+    assert got == [("a", "high", 3, 14.0), ("a", "high", 14, 14.1), ("a", "low", 9, 6.0)]
+    near = [10.0] * 4 + [14.0, 10.0, 10.0, 15.0] + [10.0] * 5
+    df = spark.createDataFrame([("a", i, v) for i, v in enumerate(near)], "symbol string, ts bigint, close double")
+    assert [r["ts"] for r in reports.local_extrema(df).where("kind = 'high'").collect()] == [7]
+
+
+def test_ranked_levels(spark):
+    df = spark.createDataFrame([("a", 99.0, 5.0), ("a", 98.5, 9.0), ("a", 90.0, 1.0), ("a", 103.0, 2.0), ("a", 105.0, 2.0)], "symbol string, price double, score double")
+    last = spark.createDataFrame([("a", 100.0)], "symbol string, last double")
+    got = sorted((r["side"], r["rank"], r["price"]) for r in reports.ranked_levels(df, last).collect())
+    assert got == [("resistance", 1, 103.0), ("resistance", 2, 105.0), ("support", 1, 98.5), ("support", 2, 90.0)]
+    assert reports.ranked_levels(df, last, k=1).count() == 2
+
+
+def test_icebergs(spark):
+    def rows(side, quantities):
+        return [(side, 1, n, float(q)) for n, q in enumerate(quantities) if q]
+
+    df = spark.createDataFrame(rows("bid", [10, 1, 10, 2, 9, 9]) + rows("ask", [10, 1, 3, 3, 3, 3]) + [("end", 0, 5, 1.0)], "side string, bucket bigint, n bigint, qty double")
+    # 10 is eaten to 1; 1 grows to 10, about the quantity before; eaten and refilled once more.
+    got = [(r["side"], r["first_n"], r["last_n"], r["refills"], round(r["mean_qty"], 3), r["confidence"]) for r in reports.icebergs(df).collect()]
+    assert got == [("bid", 1, 5, 2, 9.6, 0.5)]
+
+
+def test_rounded_by_name(spark):
+    df = spark.createDataFrame([(1.23456789, (2.3456, float("nan")), [1.23456, float("inf")])], "price double, part struct<ratio double, other double>, prices_percent array<double>")
+    r = repair.rounded_by_name(df).first()
+    assert r["price"] == 1.2346 and r["part"]["ratio"] == 2.3456 and r["part"]["other"] is None and r["prices_percent"] == [1.23, None]
+
+
+def test_checked_frame(spark):
+    import pytest
+
+    df = spark.createDataFrame([(1.0, None), (0.0, 2.0)], "a double, b double")
+    r = repair.checked_frame(df, ["a", "b"], 1, ["a"]).first()
+    assert (r["n"], r["nulls"], r["not_positive"], r["sound"]) == (2, 1, 1, False)
+    with pytest.raises(ValueError):
+        repair.checked_frame(df, ["c"])
