@@ -32,10 +32,14 @@ def compact_number(c: Column, digits: int = 1) -> Column:
     return F.when(size >= 1e9, show(1e9, "B")).when(size >= 1e6, show(1e6, "M")).when(size >= 1e3, show(1e3, "K")).otherwise(show(1.0, ""))
 
 
+#: Text all of whose characters are UTF-8 read as Latin-1, with at least one sequence of several bytes.
+_MISREAD = "^(?=[^\u0080-ÿ]*[Â-ô])(?:[\u0000-\u007f]|[Â-ß][\u0080-¿]|[à-ï][\u0080-¿]{2}|[ð-ô][\u0080-¿]{3})*+$"
+
+
 def repair_mojibake(c: Column) -> Column:
-    """UTF-8 that was read as Latin-1, decoded again; other text as it is."""
-    broken = c.rlike("[ÂÃ][\u0080-¿]") & ~c.rlike("[^\u0000-ÿ]")
-    return F.when(broken, F.decode(F.encode(c, "ISO-8859-1"), "UTF-8")).otherwise(c)
+    """UTF-8 that was read as Latin-1, decoded again. Text that is not wholly so, with characters that
+    Latin-1 cannot hold or sequences that UTF-8 does not know, stays as it is."""
+    return F.when(c.rlike(_MISREAD), F.decode(F.encode(c, "ISO-8859-1"), "UTF-8")).otherwise(c)
 
 
 def redact(c: Column) -> Column:

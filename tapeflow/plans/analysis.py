@@ -243,12 +243,12 @@ def cot_signals(spark, d):
 
 def sim_cosine_topk(spark, d):
     v = table(spark, d, "embeddings")
-    return rounded(scores.similar(v, v.where("vec_id < 5")))
+    return rounded(scores.similar(v, v.where("vec_id % 100 = 0")))
 
 
 def sim_euclid_topk(spark, d):
     v = table(spark, d, "embeddings")
-    return rounded(scores.similar(v, v.where("vec_id < 5"), measure="euclid"))
+    return rounded(scores.similar(v, v.where("vec_id % 100 = 0"), measure="euclid"))
 
 
 def sim_cosine_search(spark, d):
@@ -299,8 +299,7 @@ def fn_time_triplet(spark, d):
 def fn_mojibake(spark, d):
     text = F.col("text")
     broken = F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
-    rows = table(spark, d, "conversations").where(~text.rlike("[\u0080-\u009f]") & text.rlike("^[\u0000-ÿ]*$"))
-    return rows.select("conv_id", "turn", F.md5(scalars.repair_mojibake(broken)).alias("hash"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.md5(scalars.repair_mojibake(broken)).alias("hash"))
 
 
 def fn_redact(spark, d):
@@ -340,11 +339,6 @@ _OUT = _SIG + f""", due AS (SELECT sig.*, h, t + h * {HOUR} AS due FROM sig, (SE
 _POS = "pos AS (SELECT c_mktsegment AS portfolio, c_nationkey AS asset, c_acctbal AS value FROM customer)"
 
 
-def _similar(score: str) -> str:
-    return f"""SELECT * FROM (SELECT query_id, vec_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM
-        (SELECT q.vec_id AS query_id, v.vec_id, {score} AS score FROM embeddings v JOIN embeddings q ON q.vec_id < 5 AND v.vec_id <> q.vec_id)) WHERE rank <= 5"""
-
-
 def _search(score: str) -> str:
     return f"""SELECT * FROM (SELECT query_id, vec_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM
         (SELECT q.vec_id AS query_id, v.vec_id, {score} AS score FROM embeddings v JOIN embeddings q ON q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id)) WHERE rank <= 5"""
@@ -415,14 +409,14 @@ ORACLE = {
         + CASE WHEN c_nationkey + 40 > 55 THEN -1 ELSE 1 END + CASE WHEN c_acctbal < 0 THEN -1 ELSE 1 END AS points FROM customer)""",
     "cot_signals": sql("candles", select=f"""SELECT symbol, ts, concat_ws(',', CASE WHEN f > 0.0005 THEN 'funding_high' END, CASE WHEN f < 0 THEN 'funding_negative' END, CASE WHEN i > 0.05 THEN 'interest_rising' END, CASE WHEN r > 2 THEN 'crowded_longs' END,
         CASE WHEN r < 0.5 THEN 'crowded_shorts' END, CASE WHEN f < 0 AND i > 0.05 THEN 'squeeze_risk' END) AS signals FROM (SELECT symbol, ts, (volume - 3) / 4000 AS f, close / lag(close, 4) OVER {_L} - 1 AS i, high / low AS r FROM candles)"""),
-    "sim_cosine_topk": _similar("list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[])"),
-    "sim_euclid_topk": _similar("-list_distance(v.embedding::DOUBLE[], q.embedding::DOUBLE[])"),
+    "sim_cosine_topk": _search("list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[])"),
+    "sim_euclid_topk": _search("-list_distance(v.embedding::DOUBLE[], q.embedding::DOUBLE[])"),
     "sim_cosine_search": _search("list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[])"),
     "sim_euclid_search": _search("-list_distance(v.embedding::DOUBLE[], q.embedding::DOUBLE[])"),
     "fn_parse_number": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN round(CAST(o_totalprice / 1000 AS DECIMAL(20,2))::DOUBLE * 1000, 4) WHEN o_orderkey % 3 = 1 THEN round(o_totalprice, 4) END AS number FROM orders",
     "fn_epoch_ms": sql("trades", select="SELECT seq, CASE WHEN seq % 2 = 0 THEN t ELSE t // 1000 * 1000 END AS ms FROM trades"),
     "fn_time_triplet": sql("trades", select="SELECT seq, strftime(make_timestamp(t * 1000), '%Y-%m-%dT%H:%M:%S') AS utc, strftime(make_timestamp((t - 18000000) * 1000), '%Y-%m-%dT%H:%M:%S') AS new_york, strftime(make_timestamp((t - 10800000) * 1000), '%Y-%m-%dT%H:%M:%S') AS sao_paulo FROM trades"),
-    "fn_mojibake": "SELECT conv_id, turn, md5(text) AS hash FROM conversations WHERE regexp_matches(text, '^[\\x{0}-\\x{7f}\\x{a0}-\\x{ff}]*$')",
+    "fn_mojibake": "SELECT conv_id, turn, md5(text) AS hash FROM conversations",
     "fn_compact_number": "SELECT o_orderkey, CASE WHEN o_totalprice >= 1e6 THEN printf('%.1fM', round(o_totalprice / 1e6 + 1.7e-10, 1)) WHEN o_totalprice >= 1e3 THEN printf('%.1fK', round(o_totalprice / 1e3 + 1.7e-10, 1)) ELSE printf('%.1f', round(o_totalprice + 1.7e-10, 1)) END AS short FROM orders",
     "fn_json_extract": "SELECT event_id, json_extract_string(props, '$.k')::DOUBLE AS k, json_extract_string(props, '$.none')::DOUBLE AS none FROM events",
 }
