@@ -100,10 +100,11 @@ def posteriors(docs: DataFrame, model: dict, text_col: str, tokenizer_path: str,
         w = np.zeros((PLACES + 1, len(names)))
         for i, (at, values) in shared.value.items():
             w[at, i] = values
+        some = (w != 0).any(1)  # few weights are not zero; this smaller table stays in the cache
         count = tokenizer(tokenizer_path, spaces=True).counts
         for batch in batches:
             texts = batch.column(place).cast(pa.string())
-            sums = np.array([w[at].sum(0) for at in domain_features(texts)]).reshape(-1, len(names)) + w[PLACES]
+            sums = np.array([w[at[some[at]]].sum(0) for at in domain_features(texts)]).reshape(-1, len(names)) + w[PLACES]
             p = 1 / (1 + np.exp(-np.clip(sums, -35, 35)))
             p /= p.sum(1, keepdims=True)
             added = [pa.array(count(texts) + 1, pa.int64()), *(pa.array(p[:, i].copy()) for i in range(len(names)))]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .shared import Scratch, bounded, ranges, shingle_ids, sized, staying, tidy, word_ids
+from .shared import Scratch, bounded, distinct, ranges, shingle_ids, sized, staying, tidy, word_ids
 
 #: Bands, and values of the signature in each.
 BANDS, BAND_VALUES = 32, 4
@@ -25,7 +25,7 @@ def _hash(shingles: np.ndarray) -> bytes:
 def _sets_of(texts: pa.Array, words: int):
     """The shingle set of each text, one run of texts after the other: (first row, sets)."""
     for at, n in ranges(texts):
-        yield at, [np.unique(shingle_ids(w, words)) for w in word_ids(texts.slice(at, n))]
+        yield at, [distinct(shingle_ids(w, words)) for w in word_ids(texts.slice(at, n))]
 
 
 class MinMax:

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Scratch, bounded, mix, ranges, sized, slices, tidy, word_ids
+from .shared import Scratch, bounded, distinct, mix, ranges, sized, slices, tidy, word_ids
 
 #: Least words of a passage, words of the runs that minimisers are chosen among.
 PASSAGE, GRAM = 50, 8
@@ -47,7 +47,7 @@ def suffixes(words: np.ndarray, passage: int, gram: int, runs: int) -> tuple[np.
     """Retained places and the sort keys of their suffixes (a hash of the words that a
     passage at least has from its first minimiser on)."""
     right = passage - runs + 1
-    places, keys = np.unique(minimisers(words, gram, runs)), run_hashes(words, right)
+    places, keys = distinct(minimisers(words, gram, runs)), run_hashes(words, right)
     places = places[places < len(keys)]
     return places, keys[places].view(np.int64)
 
@@ -125,7 +125,7 @@ def repeated_passages(
         for batch in batches:
             for at, n in ranges(batch.column(1)):
                 some = word_ids(batch.column(1).slice(at, n))
-                keys = [np.unique(suffixes(w, passage, gram, runs)[1]) for w in some]
+                keys = [distinct(suffixes(w, passage, gram, runs)[1]) for w in some]
                 columns = [batch.column(0).slice(at, n), batch.column(2).slice(at, n), pa.array([len(w) for w in some], pa.int64()), _hashes(some), _array(keys)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc", "raw", "words", "hash", "keys"])
 

@@ -161,6 +161,12 @@ def word_ids(texts: pa.Array, letters: bytes = _LOWER) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values of an array in order, by a sort (numpy's own hashes them, which is slower here)."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit integers."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
