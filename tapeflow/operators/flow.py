@@ -21,18 +21,28 @@ def sector(bounds: tuple[float, float] = (0.5, 1.0)) -> Column:
 def rolling_flow(trades: DataFrame, widths_ms: tuple[int, ...]) -> DataFrame:
     """Each trade with the net flow, volume and imbalance of the ``width`` before it, for
     every width. Rows are dealt by symbol and the widest span; each span also gets the rows
-    of the one before, so a long history is not one task."""
+    of the one before, so a long history is not one task.
+
+    A trade enters every sum at its time and leaves that of a width so much later: a sum is one
+    running sum over entries and departures, so the work does not grow with the width."""
     span = max(widths_ms)
     rows = trades.withColumn("_own", F.floor(F.col("t") / span))
     rows = rows.withColumn("_span", F.explode(F.array("_own", F.col("_own") + 1)))
+    moves = [F.struct((F.col("t") + w).alias("at"), F.lit(i).alias("kind")) for i, w in enumerate((0, *widths_ms))]
+    rows = rows.withColumn("_move", F.explode(F.array(*moves)))
+    so_far = Window.partitionBy("symbol", "_span").orderBy("_move.at").rangeBetween(Window.unboundedPreceding, 0)
+
+    def held(value: Column, i: int) -> Column:
+        kind = F.col("_move.kind")
+        return F.sum(F.when(kind == 0, value).when(kind == i, -value).otherwise(F.lit(0))).over(so_far).cast("double")
+
     out = {}
-    for i, width in enumerate(widths_ms, 1):
-        w = Window.partitionBy("symbol", "_span").orderBy("t").rangeBetween(-width + 1, 0)
-        net, volume = F.sum(exact(signed())).over(w), F.sum(exact(F.col("q"))).over(w)
-        out[f"net_{i}"] = net.cast("double")
-        out[f"volume_{i}"] = volume.cast("double")
-        out[f"imbalance_{i}"] = F.try_divide(net.cast("double"), volume.cast("double"))
-    return rows.withColumns(out).where("_span = _own").drop("_own", "_span")
+    for i in range(1, len(widths_ms) + 1):
+        out |= {f"net_{i}": held(exact(signed()), i), f"volume_{i}": held(exact(F.col("q")), i)}
+    rows = rows.withColumns(out).where("_span = _own AND _move.kind = 0").drop("_own", "_span", "_move")
+    names = [c for i in range(1, len(widths_ms) + 1) for c in (f"net_{i}", f"volume_{i}", f"imbalance_{i}")]
+    rows = rows.withColumns({f"imbalance_{i}": F.try_divide(f"net_{i}", f"volume_{i}") for i in range(1, len(widths_ms) + 1)})
+    return rows.select(*trades.columns, *names)
 
 
 def sector_flow(trades: DataFrame, width_ms: int) -> DataFrame:
