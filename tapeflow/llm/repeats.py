@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Scratch, bounded, distinct, mix, ranges, sized, slices, tidy, word_ids
+from .shared import BROADCAST_BYTES, Scratch, bounded, distinct, mix, ranges, sized, slices, tidy, word_ids
 
 #: Least words of a passage, words of the runs that minimisers are chosen among.
 PASSAGE, GRAM = 50, 8
@@ -148,7 +148,11 @@ def repeated_passages(
     of_row = own.select("row", "doc", "raw", F.col("hash").alias("own"), F.coalesce("least", "doc").alias("least"))
     live = scratch.write(live.join(of_row, "row"), "live")
     # Texts are found again by id and hash; those without an id by the hash alone, once each.
-    known = docs.alias("d").join(sized(live.where("doc IS NOT NULL"), 512).alias("l"), ["doc", "raw"])
+    # A list of them that can be broadcast keeps the others' texts out of the shuffle; a longer one would only add a second.
+    named, some = live.where("doc IS NOT NULL"), docs
+    if named.count() * 24 <= BROADCAST_BYTES:
+        some = docs.join(F.broadcast(named.select("doc", "raw")), ["doc", "raw"], "left_semi")
+    known = some.join(sized(named, 512), ["doc", "raw"])
     unknown = docs.where("doc IS NULL").drop("doc").join(sized(live.where("doc IS NULL"), 512), "raw").dropDuplicates(["row"])
     texts = known.select("row", "text", "keys", "own", "least").union(unknown.select("row", "text", "keys", "own", "least"))
 
