@@ -238,6 +238,40 @@ def test_repeats_brute_force(docs, odd, empty):
     assert repeats.repeated_passages(empty).count() == 0
 
 
+def test_clashing_names_repeated_rows_and_empty_tables(spark, odd, empty):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (9, 1, 0)], "doc_id long, quality int, toxic int")
+    words_path = public_tokenizers.path("word_bpe_49k.json")
+    operators = {
+        "near": near_dedup.near_dedup,
+        "exact": exact_dedup.exact_dedup,
+        "toxicity": lambda df: toxicity.toxicity(df, labels),
+        "language": langid.language_id,
+        "mixing": lambda df: mixing.mixing_rates(df, labels, BYTE_BPE),
+        "tables": lambda df: sstable.token_shards(df, words_path),
+    }
+    clashing = odd
+    for c in (*CLASHING, "score", "kept", "predicted", "held_out", "lang_pred", "start", "shard", "h", "group", "digit", "label"):
+        clashing = clashing.withColumn(c, F.lit(c))
+    for name, run in operators.items():
+        plain = sorted(map(str, run(odd).collect()))
+        assert len(plain) == len(ODD), name
+        assert sorted(map(str, run(clashing).collect())) == plain, name
+        assert run(empty).count() == 0, name
+    pieces = packing.harmonic_pack(clashing, BYTE_BPE)
+    assert pieces.agg(F.sum("length")).first()[0] == packing.harmonic_pack(odd, BYTE_BPE).agg(F.sum("length")).first()[0]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        none = stage(spark, empty, "/root/testdata/sf0.001")
+        assert none.columns == empty.columns and none.count() == 0, name
+    # The score of a long text and of a repeated row is that of the text.
+    scores = defaultdict(set)
+    for r in toxicity.toxicity(odd, labels).collect():
+        scores[r["doc_id"]].add(r["score"])
+    assert all(len(x) == 1 for x in scores.values())
+    rows = [(1, "http://a.example.com/1", "<p>x</p>")] * 3 + [(2, "http://a.example.com/2", "<div>" * 3000 + "deep" + "</div>" * 3000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(c) for c in ("host", "token", "own", "n_chars")})
+    assert sorted(r["text"] for r in html_extract.extract_main_text(pages).collect()) == ["deep", "x", "x", "x"]
+
+
 def test_repeats_tell_rows_apart(spark, empty):
     passage = " ".join(f"p{i}" for i in range(60))
     around = lambda n: " ".join(f"x{n}y{i}" for i in range(40 + n))
