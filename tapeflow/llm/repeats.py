@@ -146,51 +146,54 @@ def repeated_passages(
     both = edges.groupBy("key").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low <> high").select("key")
     live = compared.where("NOT edge").select("key", "row").union(edges.join(both, "key")).groupBy("row").agg(F.collect_set("key").alias("keys"))
     of_row = own.select("row", "doc", "raw", F.col("hash").alias("own"), F.coalesce("least", "doc").alias("least"))
-    live = scratch.write(live.join(of_row, "row"), "live")
+    # Ranks follow the least ids, so the smallest rank of a passage tells its smallest id.
+    by_id = F.col("least").asc_nulls_last(), F.col("row")
+    live = live.join(of_row, "row").repartitionByRange(int(parts), *by_id).sortWithinPartitions(*by_id)
+    live = scratch.write(live.withColumn("rank", F.monotonically_increasing_id()), "live")
     # Texts are found again by id and hash; those without an id by the hash alone, once each.
     # A list of them that can be broadcast keeps the others' texts out of the shuffle; a longer one would only add a second.
     named, some = live.where("doc IS NOT NULL"), docs
     if named.count() * 24 <= BROADCAST_BYTES:
         some = docs.join(F.broadcast(named.select("doc", "raw")), ["doc", "raw"], "left_semi")
     known = some.join(sized(named, 512), ["doc", "raw"])
-    unknown = docs.where("doc IS NULL").drop("doc").join(sized(live.where("doc IS NULL"), 512), "raw").dropDuplicates(["row"])
-    texts = known.select("row", "text", "keys", "own", "least").union(unknown.select("row", "text", "keys", "own", "least"))
+    unknown = docs.where("doc IS NULL").drop("doc").join(sized(live.where("doc IS NULL"), 512), "raw").dropDuplicates(["rank"])
+    texts = known.select("rank", "text", "keys", "own").union(unknown.select("rank", "text", "keys", "own"))
 
     def extend(batches):
-        names = ["run", "more", "row", "least", "start"]
+        names = ["run", "more", "rank", "start"]
         for batch in batches:
             for first, n in ranges(batch.column(1)):
                 some = word_ids(batch.column(1).slice(first, n))
-                found, least_of = [[], [], [], []], []
-                given = zip(batch.column(0).slice(first, n).to_pylist(), some, batch.column(2).slice(first, n), batch.column(3).slice(first, n), _hashes(some), batch.column(4).slice(first, n).to_pylist(), strict=True)
-                for row, words, keys, own_hash, hashed, least in given:
+                found = [[], [], [], []]
+                given = zip(batch.column(0).slice(first, n).to_pylist(), some, batch.column(2).slice(first, n), batch.column(3).slice(first, n), _hashes(some), strict=True)
+                for rank, words, keys, own_hash, hashed in given:
                     if own_hash != hashed:
                         continue
                     places, own_keys = suffixes(words, passage, gram, runs)
                     stayed = places[np.isin(own_keys, keys.values.to_numpy())]
                     run, more = run_names(words, passage)
                     at = np.flatnonzero(np.isin(minimisers(words, gram, runs)[: len(run)], stayed))
-                    for column, values in zip(found, (run[at].view(np.int64), more[at].view(np.int64), np.full(len(at), row), at), strict=True):
-                        column.append(pa.array(values))
-                    least_of.append(pa.array([least] * len(at), pa.int64()))
-                if least_of:
-                    run, more, row, at = map(pa.concat_arrays, found)
-                    yield pa.RecordBatch.from_arrays([run, more, row, pa.concat_arrays(least_of), at], names)
-
-    schema = "run long, more long, row long, least long, start long"
+                    for column, values in zip(found, (run[at].view(np.int64), more[at].view(np.int64), np.full(len(at), rank), at), strict=True):
+                        column.append(values)
+                if found[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in found], names)
+
+    schema = "run long, more long, rank long, start long"
     runs_at = scratch.write(bounded(texts).mapInArrow(tidy(extend), schema), "runs")
-    shared = runs_at.groupBy("run", "more").agg(F.min("row").alias("low"), F.max("row").alias("high"), F.min("least").alias("first")).where("low <> high")
+    shared = runs_at.groupBy("run", "more").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).where("first <> last")
     shared = scratch.write(shared.select("run", "more", "first"), "shared")
-    hits = runs_at.join(sized(shared, 32), ["run", "more"]).select("row", "start", "first")
-    of_text = Window.partitionBy("row").orderBy("start")
+    hits = runs_at.join(sized(shared, 32), ["run", "more"]).select("rank", "start", "first")
+    of_text = Window.partitionBy("rank").orderBy("start")
     islands = hits.withColumn("new", (F.col("start") > F.lag("start").over(of_text) + passage).cast("int"))
     islands = islands.withColumn("island", F.sum(F.coalesce("new", F.lit(0))).over(of_text.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = islands.groupBy("row", "island").agg(
+    spans = islands.groupBy("rank", "island").agg(
         F.min("start").alias("start"), (F.max("start") + passage - F.min("start")).alias("n"), F.min("first").alias("first")
     )
     # Copies of a text are passages as a whole; the others have what was found in their text.
     alone = marked.where("node IS NULL").select("row", "doc", "words")
-    out = spans.join(alone, "row").select("doc", "start", "words", "n", "first").union(wholes.select("doc", "start", "words", "n", "least"))
+    ranks = live.select("rank", "row", "least")
+    spans = spans.join(sized(ranks.select("rank", "row"), 24), "rank").join(sized(ranks.select(F.col("rank").alias("first"), "least"), 24), "first")
+    out = spans.join(alone, "row").select("doc", "start", "words", "n", "least").union(wholes.select("doc", "start", "words", "n", "least"))
     return out.distinct().select(
-        F.col("doc").alias("doc_id"), F.col("start").alias("start_word"), F.col("n").alias("n_words"), F.col("words").alias("doc_words"), F.col("first").alias("first_doc_id")
+        F.col("doc").alias("doc_id"), F.col("start").alias("start_word"), F.col("n").alias("n_words"), F.col("words").alias("doc_words"), F.col("least").alias("first_doc_id")
     )
