@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .divergence import divergence
 from .exact_dedup import exact_dedup
 from .html_extract import extract_main_text
 from .langid import language_id
@@ -12,9 +13,11 @@ from .mixing import mixing_rates
 from .near_dedup import near_dedup
 from .neighbours import nearest
 from .packing import harmonic_pack
+from .quality import quality
 from .repeats import repeated_passages
 from .sstable import token_shards
 from .toxicity import toxicity
+from .whitening import whitened
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +64,18 @@ def op10_sorted_string_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(_table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_positive_unlabelled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -74,6 +89,9 @@ QUERIES = {
         op8_soft_mixing,
         op9_byte_cnn_language,
         op10_sorted_string_tables,
+        op11_source_divergence,
+        op12_embedding_whitening,
+        op13_positive_unlabelled_quality,
     )
 }
 
@@ -120,4 +138,39 @@ ORACLE_SQL = {
         )
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM k
     """,
+    "op11_source_divergence": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM documents
+        ), o AS (SELECT row, lang, source, unnest(terms) AS term FROM d
+        ), kept AS (SELECT lang, term FROM o GROUP BY lang, term HAVING count(DISTINCT row) >= 3
+        ), c AS (SELECT lang, source, term, count(*) AS n FROM o JOIN kept USING (lang, term) GROUP BY lang, source, term
+        ), v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang
+        ), g AS (
+            SELECT lang, source, coalesce(v, 0) AS v, coalesce(all_n, 0) AS all_n,
+                   sum(coalesce(all_n, 0)) OVER (PARTITION BY lang) AS lang_n
+            FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN v USING (lang)
+            LEFT JOIN (SELECT lang, source, sum(n) AS all_n FROM c GROUP BY lang, source) USING (lang, source)
+        ), s AS (
+            SELECT lang, source, term, coalesce(n, 0) AS n, sum(coalesce(n, 0)) OVER (PARTITION BY lang, term) AS total, lang_n, v,
+                   1 + 1000000000::HUGEINT * (coalesce(n, 0) + 1) // (all_n + v)::HUGEINT AS p
+            FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)
+        ), t AS (
+            SELECT lang, source, term AS item, p, 1 + 1000000000::HUGEINT * (total + 1)::HUGEINT // (lang_n + v)::HUGEINT AS q FROM s WHERE n > 0
+        ), pair AS (
+            SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+            FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+        ), r AS (
+            SELECT g.lang, g.source, 'pair' AS part, h.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+            FROM g JOIN g h ON g.lang = h.lang AND g.source <> h.source
+            LEFT JOIN pair ON pair.lang = g.lang AND pair.source = g.source AND pair.item = h.source
+            UNION ALL
+            SELECT lang, source, 'term', item, CAST((p - q) * (p - q) // q AS BIGINT) FROM t WHERE p > q
+        )
+        SELECT lang, source, part, item, value,
+               CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+        FROM r QUALIFY part = 'pair' OR rank <= 200
+    """,
 }
