@@ -317,7 +317,7 @@ def nested_template(tokens: pd.DataFrame) -> pd.DataFrame:
     on nearly every page are template text wherever they stand, unless they are most of what the
     host has, as where its pages are copies of one article."""
     common = tokens[tokens["is_text"] & (tokens["n"] >= tokens["pages"] * COMMON)]
-    if common["chars"].sum() > CONTENT * tokens["total"].iloc[0]:
+    if common["chars"].sum() > COMMON * tokens["total"].iloc[0]:
         common = common.iloc[:0]
     tokens = tokens[(tokens["most"] == 1) & ~tokens["is_text"]].sort_values(["n", "place", "token"], ascending=[False, True, True])
     kept, places = [common], []
