@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -78,20 +81,56 @@ def shown_percent(c: Column, digits: int = 2) -> Column:
     return F.concat(F.format_string(f"%.{digits}f", F.round(c + 1.7e-10, digits)), F.lit("%"))
 
 
-def _braces(depth: int) -> str:
-    inner = r'[^{}"]|"(?:[^"\\]|\\.)*"'
-    return r"\{(?:" + inner + ("|" + _braces(depth - 1) if depth else "") + r")*\}"
-
-
-#: An object with objects inside it, up to six deep; braces in strings do not count.
-JSON_OBJECT = _braces(5)
+#: A brace, or a string in JSON with its closing quote, if it has one.
+_JSON_PART = re.compile(r'[{}]|"(?:[^"\\]|\\.)*+("?)', re.S)
+
+
+def _objects(text: str, at: int) -> tuple[tuple[int, int] | None, int | None, int | None]:
+    """The first object from ``at`` on (begin, end); where a string without end stopped the search, else None; and the first brace
+    inside a string that was passed."""
+    opened, best, inner = [], None, None
+    while found := _JSON_PART.search(text, at):
+        at, sign = found.end(), found[0][0]
+        if sign == "{":
+            opened.append(found.start())
+        elif sign == "}" and opened:
+            start = opened.pop()
+            if best is None or start < best[0]:
+                best = (start, at)
+            if not opened:
+                return best, None, inner
+        elif sign == '"' and not opened:
+            at = found.start() + 1  # a quote in prose
+        elif sign == '"' and not found[1]:
+            return best, found.start() + 1, inner
+        elif sign == '"' and inner is None and "{" in found[0]:
+            inner = found.start() + found[0].index("{")
+    return best, None, inner
+
+
+def first_object(text: str) -> str | None:
+    """The first JSON object in a text, at whatever depth it ends: braces in its strings do not count, quotes outside of
+    objects neither. Of an object that never ends, the first one inside it that does.
+
+    A string without end is taken for a stray quote: the search is done again with the quotes paired the other
+    way, then behind the last quote, so a text is gone through three times at most."""
+    best, stop, inner = _objects(text, 0)
+    for start in (inner, stop) if stop is not None else ():
+        if start is not None:
+            found = _objects(text, start)[0]
+            best = found if best is None or (found is not None and found[0] < best[0]) else best
+    return None if best is None else text[best[0] : best[1]]
 
 
 def json_object(c: Column) -> Column:
     """The first JSON object in a text that may hold thoughts, fences and other words; null without one."""
     bare = F.regexp_replace(c, r"(?is)<think>.*?</think>", "")
-    found = F.regexp_extract(bare, JSON_OBJECT, 0)
-    return F.when(found != "", found)
+
+    @F.pandas_udf("string")
+    def scan(texts: pd.Series) -> pd.Series:
+        return texts.map(first_object, na_action="ignore")
+
+    return scan(bare)
 
 
 def json_truncated(c: Column) -> Column:

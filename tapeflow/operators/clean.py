@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .running import filled, previous, running_max
+from .running import running_max, tick_side
 
 ORDER = ["t", "seq"]
 
@@ -27,11 +27,7 @@ def reject_reason(trades: DataFrame) -> DataFrame:
 def infer_side(trades: DataFrame, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """``trades`` with m filled: as given, else by the price move (up buys, down sells), else
     as the trade before, else false (buy)."""
-    by = list(by)
-    rows = previous(trades, "p", "_before", by, ORDER)
-    tick = F.when(F.col("m").isNotNull(), F.col("m")).when(F.col("p") > F.col("_before"), False).when(F.col("p") < F.col("_before"), True)
-    rows = filled(rows.withColumn("_tick", tick), "_tick", "_side", by, ORDER)
-    return rows.withColumn("m", F.coalesce("_side", F.lit(False))).select(*trades.columns)
+    return tick_side(trades, list(by), ORDER).withColumn("m", F.coalesce("m", F.lit(False)))
 
 
 def check_ohlc(candles: DataFrame) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .running import DAY_MS, affine, numbered, previous
+
 
 def over(rows: int, ahead: int = 0) -> WindowSpec:
     return Window.partitionBy("symbol").orderBy("ts").rowsBetween(-rows + 1, ahead)
@@ -215,24 +215,56 @@ def fold(df: DataFrame, step, schema: str, by: tuple[str, ...] = ("symbol",), or
     return df.groupBy(*by).applyInPandas(lambda pdf: step(pdf.sort_values(list(order))), schema)
 
 
-def _ewm(x: pd.Series, alpha: float, least: int) -> pd.Series:
-    return x.ewm(alpha=alpha, adjust=False, min_periods=least).mean()
+#: Candles that a recursive indicator scans at once, in time.
+SCAN_MS = 365 * DAY_MS
 
 
 def smoothed(candles: DataFrame, n: int = 14) -> DataFrame:
-    """The recursive indicators: Wilder's RSI, MACD with its signal, EMA 21 and ATR. Groups are
-    the candles of one symbol, whose number does not grow with the trades."""
-
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        c, d = pdf["close"], pdf["close"].diff()
-        gain, loss = _ewm(d.clip(lower=0), 1 / n, n), _ewm((-d).clip(lower=0), 1 / n, n)
-        macd = _ewm(c, 2 / 13, 1) - _ewm(c, 2 / 27, 1)
-        before = c.shift()
-        tr = pd.concat([pdf["high"] - pdf["low"], (pdf["high"] - before).abs(), (pdf["low"] - before).abs()], axis=1).max(axis=1)
-        rsi_w = np.where(loss.isna() | gain.isna(), np.nan, np.where(loss > 0, 100 - 100 / (1 + gain / loss.where(loss > 0)), 100.0))
-        return pdf[["symbol", "ts"]].assign(
-            rsi_wilder=rsi_w, macd=macd, macd_signal=_ewm(macd, 0.2, 1), ema_21=_ewm(c, 2 / 22, 1), atr_ewm=_ewm(tr, 2 / (n + 1), n)
-        )
-
-    kind = dict(candles.dtypes)["symbol"]
-    return fold(candles, step, f"symbol {kind}, ts bigint, rsi_wilder double, macd double, macd_signal double, ema_21 double, atr_ewm double")
+    """The recursive indicators: Wilder's RSI, MACD with its signal, EMA 21 and ATR, as scans over buckets of time
+    (:func:`running.affine`), so that a symbol's history is no single task."""
+    by, order = ["symbol"], ["ts"]
+    rows = previous(candles, "close", "_before", by, order, SCAN_MS)
+    move = F.col("close") - F.col("_before")
+    reach = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("_before")), F.abs(F.col("low") - F.col("_before")))
+    rows = numbered(rows.withColumns({"_d": move, "_tr": reach}), "_n", by, order, SCAN_MS)
+    first, second = F.col("_n") == 1, F.col("_n") == 2
+
+    def mean(x, weight: float, begins):
+        return F.when(begins, 0.0).otherwise(1 - weight), F.when(begins, x).otherwise(x * weight)
+
+    maps = {
+        "_gain": mean(F.when(second | F.col("_d").isNotNull(), F.greatest("_d", F.lit(0.0))), 1 / n, second),
+        "_loss": mean(F.when(second | F.col("_d").isNotNull(), F.greatest(-F.col("_d"), F.lit(0.0))), 1 / n, second),
+        "_fast": mean(F.col("close"), 2 / 13, first),
+        "_slow": mean(F.col("close"), 2 / 27, first),
+        "ema_21": mean(F.col("close"), 2 / 22, first),
+        "_atr": mean(F.col("_tr"), 2 / (n + 1), first),
+    }
+    rows = affine(rows, maps, by, order, SCAN_MS).withColumn("macd", F.col("_fast") - F.col("_slow"))
+    rows = affine(rows, {"macd_signal": mean(F.col("macd"), 0.2, first)}, by, order, SCAN_MS)
+    wilder = F.when(F.col("_n") > n, F.when(F.col("_loss") > 0, 100 - 100 / (1 + F.col("_gain") / F.col("_loss"))).otherwise(100.0))
+    atr = F.when(F.col("_n") >= n, F.col("_atr"))
+    return rows.select("symbol", "ts", wilder.alias("rsi_wilder"), "macd", "macd_signal", "ema_21", atr.alias("atr_ewm"))
+
+
+def volatility_forecast(candles: DataFrame, span: int = 30) -> DataFrame:
+    """Volatility of each candle's returns so far: historical (standard deviation of all), garch (a tenth above), ewma (deviation
+    of exponentially weighted returns with ``span``, unbiased), their ratio and the regime that it falls in.
+
+    Plain sums and weighted sums of returns and their squares are maps of the sums before (:func:`running.affine`)."""
+    by, order = ["symbol"], ["ts"]
+    rows = previous(candles.select("symbol", "ts", "close"), "close", "_before", by, order, SCAN_MS)
+    r, keep = F.try_divide("close", "_before") - 1, 1 - 2 / (span + 1)
+    rows, x = rows.withColumn("_r", r), F.col("_r")
+    one = F.when(x.isNotNull(), 1.0)
+    sums = {"_n": (one, one), "_s": (one, x), "_q": (one, x * x)}
+    weighted = {"_w": (one * keep, one), "_w2": (one * keep * keep, one), "_ws": (one * keep, x), "_wq": (one * keep, x * x)}
+    rows = affine(rows, sums | weighted, by, order, SCAN_MS).where(x.isNotNull())
+    plain = F.when(F.col("_n") > 1, F.sqrt(F.greatest(F.lit(0.0), (F.col("_q") - F.col("_s") * F.col("_s") / F.col("_n")) / (F.col("_n") - 1))))
+    mean = F.col("_ws") / F.col("_w")
+    spread = F.greatest(F.lit(0.0), F.col("_wq") / F.col("_w") - mean * mean)
+    part = F.col("_w") * F.col("_w")
+    ewma = F.when(F.col("_n") > 1, F.sqrt(spread * part / (part - F.col("_w2"))))
+    ratio = F.when(F.col("historical") > 0, F.col("garch") / F.col("historical")).otherwise(1.0)
+    out = rows.select("symbol", "ts", plain.alias("historical"), ewma.alias("ewma")).withColumn("garch", F.col("historical") * 1.1).withColumn("ratio", ratio)
+    return out.withColumn("regime", F.when(F.col("ratio") < 0.8, "LOW").when(F.col("ratio") < 1.2, "MEDIUM").when(F.col("ratio") < 2, "HIGH").otherwise("EXTREME"))

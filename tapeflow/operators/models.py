@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .indicators import fold, line, over
+from .indicators import SCAN_MS, fold, line, over
+from .running import affine, numbered, previous
 
 
 def returns(candles: DataFrame) -> DataFrame:
@@ -17,18 +18,14 @@ def returns(candles: DataFrame) -> DataFrame:
 
 def garch(candles: DataFrame, omega: float = 1e-6, alpha: float = 0.1, beta: float = 0.85) -> DataFrame:
     """GARCH(1,1) variance of log returns: from the first squared return, then
-    omega + alpha * previous squared return + beta * previous variance."""
-
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf["r"].to_numpy()
-        v = np.empty(len(r))
-        v[:1] = r[:1] ** 2
-        for i in range(1, len(r)):
-            v[i] = omega + alpha * r[i - 1] ** 2 + beta * v[i - 1]
-        return pdf[["symbol", "ts"]].assign(variance=v)
-
-    kind = dict(candles.dtypes)["symbol"]
-    return fold(returns(candles), step, f"symbol {kind}, ts bigint, variance double")
+    omega + alpha * previous squared return + beta * previous variance: a scan of affine maps."""
+    by, order = ["symbol"], ["ts"]
+    rows = previous(candles.select("symbol", "ts", "close"), "close", "_close", by, order, SCAN_MS)
+    rows = rows.withColumn("r", F.ln(F.try_divide("close", "_close"))).where("r IS NOT NULL")
+    rows = previous(rows, "r", "_r", by, order, SCAN_MS)
+    first, r = F.col("_r").isNull(), F.col("r")
+    maps = {"variance": (F.when(first, 0.0).otherwise(beta), F.when(first, r * r).otherwise(omega + alpha * F.col("_r") * F.col("_r")))}
+    return affine(rows, maps, by, order, SCAN_MS).select("symbol", "ts", "variance")
 
 
 def garch_forecast(variances: DataFrame, steps: int = 5, omega: float = 1e-6, alpha: float = 0.1, beta: float = 0.85) -> DataFrame:
@@ -40,23 +37,27 @@ def garch_forecast(variances: DataFrame, steps: int = 5, omega: float = 1e-6, al
     return out.select("symbol", "h", (level + F.pow(F.lit(alpha + beta), F.col("h")) * (F.col("v") - level)).alias("variance"))
 
 
-def kalman(candles: DataFrame, q: float = 0.01, r: float = 1.0) -> DataFrame:
-    """Scalar Kalman filter of the close and its deviation in percent."""
+def _gains(q: float, r: float) -> list[float]:
+    """Gains of a scalar Kalman filter from its second row on, up to the one that they settle at."""
+    out, p = [], 1.0
+    while True:
+        p += q
+        k = p / (p + r)
+        p *= 1 - k
+        if out and abs(k - out[-1]) <= 1e-15:
+            return out
+        out.append(k)
 
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, p, out = None, 1.0, []
-        for z in pdf["close"]:
-            if x is None:
-                x = z
-            else:
-                p += q
-                k = p / (p + r)
-                x, p = x + k * (z - x), (1 - k) * p
-            out.append(x)
-        return pdf[["symbol", "ts"]].assign(level=out, deviation=(pdf["close"] / out - 1) * 100)
 
-    kind = dict(candles.dtypes)["symbol"]
-    return fold(candles, step, f"symbol {kind}, ts bigint, level double, deviation double")
+def kalman(candles: DataFrame, q: float = 0.01, r: float = 1.0) -> DataFrame:
+    """Scalar Kalman filter of the close and its deviation in percent. The gain depends on the row's number alone and
+    settles, so the level is a scan of affine maps."""
+    by, order = ["symbol"], ["ts"]
+    gains = _gains(q, r)
+    rows = numbered(candles.select("symbol", "ts", "close"), "_n", by, order, SCAN_MS)
+    k = F.when(F.col("_n") == 1, 1.0).otherwise(F.get(F.array(*map(F.lit, gains)), F.least(F.col("_n") - 2, F.lit(len(gains) - 1)).cast("int")))
+    rows = affine(rows.withColumn("_k", k), {"level": (1 - F.col("_k"), F.col("_k") * F.col("close"))}, by, order, SCAN_MS)
+    return rows.select("symbol", "ts", "level", ((F.col("close") / F.col("level") - 1) * 100).alias("deviation"))
 
 
 def regimes(candles: DataFrame, n: int = 20) -> DataFrame:

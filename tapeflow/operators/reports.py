@@ -234,26 +234,41 @@ def cluster_sides(clusters: DataFrame) -> DataFrame:
     return clusters.withColumns({"role": role, "weight": (b + s) * (1 + F.abs(F.coalesce(F.try_divide(b - s, b + s), F.lit(0.0))))})
 
 
-def active_patterns(candles: DataFrame) -> DataFrame:
-    """Triangles and wedges from the last two swing highs and lows of each symbol's closes, at its last close."""
+def active_patterns(candles: DataFrame, history: int = 500) -> DataFrame:
+    """Triangles and wedges from the last two swing highs and lows among the last ``history`` closes of each symbol, at its
+    last close: pattern, target, completion, stop, confidence and bias, three at most. A symbol needs 6 closes.
+    Wedges count only while the closes range over less than 3 % of the price."""
     before, after = F.lag("close").over(line()), F.lead("close").over(line())
-    rows = candles.withColumns({"_top": (F.col("close") > before) & (F.col("close") > after), "_low": (F.col("close") < before) & (F.col("close") < after)})
-    swing = lambda flag: F.slice(F.reverse(F.array_sort(F.collect_list(F.when(F.col(flag), F.struct("ts", "close"))))), 1, 2)
-    out = rows.groupBy("symbol").agg(F.max_by("close", "ts").alias("price"), swing("_top").alias("_h"), swing("_low").alias("_l")).where("size(_h) = 2 AND size(_l) = 2")
-    out = out.select("symbol", "price", F.col("_h")[1]["close"].alias("h1"), F.col("_h")[0]["close"].alias("h2"), F.col("_l")[1]["close"].alias("l1"), F.col("_l")[0]["close"].alias("l2"))
+    newest = Window.partitionBy("symbol").orderBy(F.desc("ts"))
+    kind = F.when((F.col("close") > before) & (F.col("close") > after), "h").when((F.col("close") < before) & (F.col("close") < after), "l")
+    rows = candles.select("symbol", "ts", "close").withColumns({"_kind": kind, "_before": before, "_k": F.row_number().over(newest)}).where(F.col("_k") <= history)
+    # The oldest close of the history has no neighbour in it, so it is no swing.
+    rows = rows.withColumn("_kind", F.when(F.col("_k") < history, F.col("_kind")))
+    swings = rows.where("_kind IS NOT NULL").withColumn("_n", F.row_number().over(Window.partitionBy("symbol", "_kind").orderBy(F.desc("ts")))).where("_n <= 2")
+    points = {f"{c}{n}": F.max(F.when((F.col("_kind") == c) & (F.col("_n") == 3 - n), F.col("close"))) for c in "hl" for n in (1, 2)}
+    now = rows.groupBy("symbol").agg(F.max_by("close", "ts").alias("price"), F.count("close").alias("_n"), F.max("close").alias("_hi"), F.min("close").alias("_lo"))
+    out = now.where("_n >= 6").join(swings.groupBy("symbol").agg(*(c.alias(k) for k, c in points.items())).dropna(), "symbol")
     p, h1, h2, l1, l2 = (F.col(c) for c in ("price", "h1", "h2", "l1", "l2"))
     flat_high, flat_low = F.abs(h2 - h1) / p < 0.002, F.abs(l2 - l1) / p < 0.002
     rate_high, rate_low = (h2 - h1) / F.greatest(h1, F.lit(1.0)), (l2 - l1) / F.greatest(l1, F.lit(1.0))
+    narrow = F.when(p > 0, (F.col("_hi") - F.col("_lo")) / p).otherwise(0.01) < 0.03
+    up, gap = p > (h2 + l2) / 2, F.greatest(h2 - l2, F.lit(1.0))
+    cap = lambda c, top: F.least(F.lit(top), c)
+    # The five patterns with target, completion, stop, confidence at completion 0 and its growth, and bias.
     rules = {
-        "ASCENDING_TRIANGLE": (flat_high & (l2 > l1) & (h2 > p), h2 + (h2 - l2), F.least(F.lit(0.95), (p - l2) / F.greatest(h2 - l2, F.lit(1.0)))),
-        "DESCENDING_TRIANGLE": (flat_low & (h2 < h1) & (l2 < p), l2 - (h2 - l2), F.least(F.lit(0.95), (h2 - p) / F.greatest(h2 - l2, F.lit(1.0)))),
+        "ASCENDING_TRIANGLE": (flat_high & (l2 > l1) & (h2 > p), h2 + (h2 - l2), cap((p - l2) / gap, 0.95), l2 * 0.998, 0.55, 0.2, F.lit("BULLISH")),
+        "DESCENDING_TRIANGLE": (flat_low & (h2 < h1) & (l2 < p), l2 - (h2 - l2), cap((h2 - p) / gap, 0.95), h2 * 1.002, 0.55, 0.2, F.lit("BEARISH")),
         "SYMMETRICAL_TRIANGLE": (
-            (h2 < h1) & (l2 > l1) & ~flat_high & ~flat_low, F.when(p > (h2 + l2) / 2, h2 + (h1 - l1) * 0.75).otherwise(l2 - (h1 - l1) * 0.75), F.least(F.lit(0.90), 1 - (h2 - l2) / F.greatest(h1 - l1, F.lit(1.0)))
+            (h2 < h1) & (l2 > l1) & ~flat_high & ~flat_low, F.when(up, h2 + (h1 - l1) * 0.75).otherwise(l2 - (h1 - l1) * 0.75), cap(1 - (h2 - l2) / F.greatest(h1 - l1, F.lit(1.0)), 0.90),
+            F.when(up, l2 * 0.997).otherwise(h2 * 1.003), 0.45, 0.25, F.when(up, "BULLISH").otherwise("BEARISH"),
         ),
-        "RISING_WEDGE": ((h2 > h1) & (l2 > l1) & (rate_low > rate_high), l1, F.least(F.lit(0.90), rate_high / F.greatest(rate_low, F.lit(0.0001)))),
-        "FALLING_WEDGE": ((h2 < h1) & (l2 < l1) & (rate_high < rate_low), h1, F.least(F.lit(0.90), -rate_low / F.greatest(-rate_high, F.lit(0.0001)))),
+        "RISING_WEDGE": ((h2 > h1) & (l2 > l1) & (rate_low > rate_high) & narrow, l1, cap(rate_high / F.greatest(rate_low, F.lit(0.0001)), 0.90), h2 * 1.002, 0.5, 0.2, F.lit("BEARISH")),
+        "FALLING_WEDGE": ((h2 < h1) & (l2 < l1) & (rate_high < rate_low) & narrow, h1, cap(-rate_low / F.greatest(-rate_high, F.lit(0.0001)), 0.90), l2 * 0.998, 0.5, 0.2, F.lit("BULLISH")),
     }
-    found = F.array_compact(F.array(*(F.when(rule, F.struct(F.lit(k).alias("pattern"), target.alias("target"), done.alias("completion"))) for k, (rule, target, done) in rules.items())))
+    entry = lambda k, target, done, stop, base, growth, bias: F.struct(
+        F.lit(k).alias("pattern"), target.alias("target"), done.alias("completion"), stop.alias("stop"), (base + done * growth).alias("confidence"), bias.alias("bias")
+    )
+    found = F.array_compact(F.array(*(F.when(rule, entry(k, *rest)) for k, (rule, *rest) in rules.items())))
     return out.select("symbol", F.explode(F.slice(found, 1, 3)).alias("x")).select("symbol", "x.*")
 
 
@@ -261,6 +276,17 @@ def local_extrema(candles: DataFrame, span: int = 5, distance: int = 5, least_pe
     """Peaks and troughs of each symbol's smoothed closes with enough prominence and distance: kind, ts, price.
     One group a symbol: candles do not grow with trades."""
 
+    def bases(x: np.ndarray) -> np.ndarray:
+        """For each place the least value since the last one that was greater, by a stack of those still in sight."""
+        out, sight = np.empty(len(x)), []
+        for i, v in enumerate(x.tolist()):
+            low = v
+            while sight and sight[-1][0] <= v:
+                low = min(low, sight.pop()[1])
+            sight.append((v, low))
+            out[i] = low
+        return out
+
     def peaks(x: np.ndarray, prominence: float) -> list[int]:
         tops, i = [], 1
         while i < len(x) - 1:
@@ -270,17 +296,15 @@ def local_extrema(candles: DataFrame, span: int = 5, distance: int = 5, least_pe
             if x[i] > x[i - 1] and j < len(x) - 1 and x[j + 1] < x[i]:
                 tops.append((i + j) // 2)
             i = j + 1
-        kept = dict.fromkeys(tops, True)
-        for i in sorted(tops, key=lambda i: (x[i], i), reverse=True):  # the higher of two close peaks stays
-            if kept[i]:
-                kept.update({j: False for j in tops if j != i and abs(j - i) < distance and kept[j]})
-        out = []
-        for i in (i for i in tops if kept[i]):
-            left, right = np.flatnonzero(x[:i] > x[i]), np.flatnonzero(x[i + 1 :] > x[i])
-            a, b = (left[-1] + 1 if len(left) else 0), (i + 1 + right[0] if len(right) else len(x))
-            if x[i] - max(x[a : i + 1].min(), x[i:b].min()) >= prominence:
-                out.append(i)
-        return out
+        kept = [True] * len(tops)
+        for k in sorted(range(len(tops)), key=lambda k: (x[tops[k]], tops[k]), reverse=True):  # the higher of two close peaks stays
+            for step in (-1, 1) if kept[k] else ():
+                n = k + step
+                while 0 <= n < len(tops) and abs(tops[n] - tops[k]) < distance:
+                    kept[n] = False
+                    n += step
+        base = np.maximum(bases(x), bases(x[::-1])[::-1])
+        return [i for i, stays in zip(tops, kept, strict=True) if stays and x[i] - base[i] >= prominence]
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts")

@@ -131,7 +131,10 @@ def heat_sides(spark, d):
 
 
 def pat_active(spark, d):
-    return rounded(reports.active_patterns(candles_from_orders(spark, d)), 4)
+    """Every month of a symbol for itself; in odd months prices move by a hundredth of what they do, so that wedges can form."""
+    c, month = candles_from_orders(spark, d), F.date_format(F.timestamp_millis("ts"), "yyyy-MM")
+    close = F.when(F.month(F.timestamp_millis("ts")) % 2 == 1, 100_000 + F.col("close") / 100).otherwise(F.col("close"))
+    return rounded(reports.active_patterns(c.select(F.concat_ws(" ", "symbol", month).alias("symbol"), "ts", close.alias("close"))), 4)
 
 
 def lvl_extrema(spark, d):
@@ -195,15 +198,21 @@ _METRICS = f"ms AS (SELECT symbol AS kind, t // {DAY} * {DAY} AS start, count(*)
 _T = "[" + ", ".join(map(str, reports.T_POINTS)) + "]::DOUBLE[]"
 _Z = reports.NORMAL_POINT
 _G = [(_Z**3 + _Z) / 4, (5 * _Z**5 + 16 * _Z**3 + 3 * _Z) / 96, (3 * _Z**7 + 19 * _Z**5 + 17 * _Z**3 - 15 * _Z) / 384]
-_SWING = f"""sw AS (SELECT *, lag(close) OVER {_L} AS a, lead(close) OVER {_L} AS b FROM candles), sl AS (SELECT symbol, arg_max(close, ts) AS p, list(close ORDER BY ts DESC) FILTER (close > a AND close > b) AS h, list(close ORDER BY ts DESC) FILTER (close < a AND close < b) AS l FROM sw GROUP BY 1),
-    sv AS (SELECT symbol, p, h[2] AS h1, h[1] AS h2, l[2] AS l1, l[1] AS l2 FROM sl WHERE len(h) >= 2 AND len(l) >= 2), sr AS (SELECT *, (h2 - h1) / greatest(h1, 1) AS rh, (l2 - l1) / greatest(l1, 1) AS rl, abs(h2 - h1) / p < 0.002 AS fh, abs(l2 - l1) / p < 0.002 AS fl FROM sv)"""
+_SWING = """mc AS (SELECT symbol || ' ' || strftime(to_timestamp(ts / 1000) AT TIME ZONE 'UTC', '%Y-%m') AS symbol, ts,
+        CASE WHEN month(to_timestamp(ts / 1000) AT TIME ZONE 'UTC') % 2 = 1 THEN 100000 + close / 100 ELSE close END AS close FROM candles),
+    sw AS (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY ts) AS a, lead(close) OVER (PARTITION BY symbol ORDER BY ts) AS b FROM mc),
+    sl AS (SELECT symbol, arg_max(close, ts) AS p, (max(close) - min(close)) / arg_max(close, ts) < 0.03 AS nr, list(close ORDER BY ts DESC) FILTER (close > a AND close > b) AS h,
+        list(close ORDER BY ts DESC) FILTER (close < a AND close < b) AS l FROM sw GROUP BY 1 HAVING count(*) >= 6),
+    sv AS (SELECT symbol, p, nr, h[2] AS h1, h[1] AS h2, l[2] AS l1, l[1] AS l2 FROM sl WHERE len(h) >= 2 AND len(l) >= 2),
+    sr AS (SELECT *, (h2 - h1) / greatest(h1, 1) AS rh, (l2 - l1) / greatest(l1, 1) AS rl, abs(h2 - h1) / p < 0.002 AS fh, abs(l2 - l1) / p < 0.002 AS fl, p > (h2 + l2) / 2 AS up FROM sv)"""
 _PATTERNS = (
-    ("ASCENDING_TRIANGLE", "fh AND l2 > l1 AND h2 > p", "h2 + (h2 - l2)", "least(0.95::DOUBLE, (p - l2) / greatest(h2 - l2, 1))"),
-    ("DESCENDING_TRIANGLE", "fl AND h2 < h1 AND l2 < p", "l2 - (h2 - l2)", "least(0.95::DOUBLE, (h2 - p) / greatest(h2 - l2, 1))"),
-    ("SYMMETRICAL_TRIANGLE", "h2 < h1 AND l2 > l1 AND NOT fh AND NOT fl", "CASE WHEN p > (h2 + l2) / 2 THEN h2 + (h1 - l1) * 0.75 ELSE l2 - (h1 - l1) * 0.75 END", "least(0.9::DOUBLE, 1 - (h2 - l2) / greatest(h1 - l1, 1))"),
-    ("RISING_WEDGE", "h2 > h1 AND l2 > l1 AND rl > rh", "l1", "least(0.9::DOUBLE, rh / greatest(rl, 0.0001::DOUBLE))"),
-    ("FALLING_WEDGE", "h2 < h1 AND l2 < l1 AND rh < rl", "h1", "least(0.9::DOUBLE, -rl / greatest(-rh, 0.0001::DOUBLE))"),
-)
+    ("ASCENDING_TRIANGLE", "fh AND l2 > l1 AND h2 > p", "h2 + (h2 - l2)", "least(0.95::DOUBLE, (p - l2) / greatest(h2 - l2, 1))", "l2 * 0.998", 0.55, 0.2, "'BULLISH'"),
+    ("DESCENDING_TRIANGLE", "fl AND h2 < h1 AND l2 < p", "l2 - (h2 - l2)", "least(0.95::DOUBLE, (h2 - p) / greatest(h2 - l2, 1))", "h2 * 1.002", 0.55, 0.2, "'BEARISH'"),
+    ("SYMMETRICAL_TRIANGLE", "h2 < h1 AND l2 > l1 AND NOT fh AND NOT fl", "CASE WHEN up THEN h2 + (h1 - l1) * 0.75 ELSE l2 - (h1 - l1) * 0.75 END", "least(0.9::DOUBLE, 1 - (h2 - l2) / greatest(h1 - l1, 1))",
+        "CASE WHEN up THEN l2 * 0.997 ELSE h2 * 1.003 END", 0.45, 0.25, "CASE WHEN up THEN 'BULLISH' ELSE 'BEARISH' END"),
+    ("RISING_WEDGE", "h2 > h1 AND l2 > l1 AND rl > rh AND nr", "l1", "least(0.9::DOUBLE, rh / greatest(rl, 0.0001::DOUBLE))", "h2 * 1.002", 0.5, 0.2, "'BEARISH'"),
+    ("FALLING_WEDGE", "h2 < h1 AND l2 < l1 AND rh < rl AND nr", "h1", "least(0.9::DOUBLE, -rl / greatest(-rh, 0.0001::DOUBLE))", "l2 * 0.998", 0.5, 0.2, "'BULLISH'"),
+)
 
 ORACLE = {
     "prob_all": sql("candles", more=f"{_OUT}, {_PROB}", select="SELECT symbol, day, n, round(up, 6) AS up, round(down, 6) AS down, round(flat, 6) AS flat, round(mean, 6) AS mean FROM pb WHERE n >= 10"),
@@ -248,7 +257,9 @@ ORACLE = {
         round(sum(CASE WHEN side = 'bid' THEN qty ELSE -qty END) / sum(qty), 6) AS imbalance, abs(sum(CASE WHEN side = 'bid' THEN qty ELSE -qty END) / sum(qty)) >= 0.95 AS critical FROM bn GROUP BY snapshot, b, a"""),
     "heat_sides": sql("trades", "sided", more="hs AS (SELECT symbol, floor(p / 10) * 10 AS c, sum(CAST(CASE WHEN NOT m THEN q ELSE 0 END AS DECIMAL(20,8)))::DOUBLE AS b, sum(CAST(CASE WHEN m THEN q ELSE 0 END AS DECIMAL(20,8)))::DOUBLE AS s FROM sided GROUP BY 1, 2)",
         select="SELECT symbol, c AS center, round(b, 6) AS buy_volume, round(s, 6) AS sell_volume, CASE WHEN b > s * 1.2 THEN 'support' WHEN s > b * 1.2 THEN 'resistance' ELSE 'neutral' END AS role, round((b + s) * (1 + abs((b - s) / (b + s))), 6) AS weight FROM hs"),
-    "pat_active": sql("candles", more=_SWING, select="SELECT symbol, pattern, round(target, 4) AS target, round(completion, 4) AS completion FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY o) AS k FROM (" + " UNION ALL ".join(f"SELECT symbol, {i} AS o, '{n}' AS pattern, {t} AS target, {c} AS completion FROM sr WHERE {r}" for i, (n, r, t, c) in enumerate(_PATTERNS)) + ")) WHERE k <= 3"),
+    "pat_active": sql("candles", more=_SWING, select="""SELECT symbol, pattern, round(target, 4) AS target, round(completion, 4) AS completion, round(stop, 4) AS stop, round(base + growth * completion, 4) AS confidence, bias FROM
+        (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY o) AS k FROM (""" + " UNION ALL ".join(f"SELECT symbol, {i} AS o, '{n}' AS pattern, {t} AS target, {c} AS completion, {st} AS stop, {b}::DOUBLE AS base, {g}::DOUBLE AS growth, {bi} AS bias FROM sr WHERE {r}"
+        for i, (n, r, t, c, st, b, g, bi) in enumerate(_PATTERNS)) + ")) WHERE k <= 3"),
     "fn_shares": sql(more="v AS (SELECT c_custkey AS id, c_acctbal AS a, (c_custkey % 300) / 4 - 20 AS v FROM customer)", select="SELECT id, round(CASE WHEN abs(v) > 1 THEN v / 100 ELSE v END, 6) AS share, round(CASE WHEN abs(v) <= 1 THEN v * 100 ELSE v END, 6) AS percent, round(CAST(a / 8 AS DECIMAL(28,10)), 2)::DOUBLE AS cents, printf('%.2f', round(v / 8 + 1.7e-10, 2)) || '%' AS shown FROM v"),
     "fn_triplet_ok": sql("trades", select="SELECT seq, seq % 3 <> 0 AS ok FROM trades"),
     "fn_json_object": """SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN '{"x": [1, {"y": 2}]}' ELSE concat('{"k": ', c_custkey, ', "s": "br{ace", "o": {"x": [1, {"y": 2}]}}') END AS found, c_custkey % 3 = 0 AS truncated FROM customer""",
