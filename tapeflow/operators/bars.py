@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .running import ALWAYS, NOTHING, OPEN, running_sum, with_states
+from .running import ALWAYS, NOTHING, OPEN, filled, running_sum, with_states
 
 
 def order() -> Column:
@@ -116,9 +116,10 @@ def cvd_reset(trades: DataFrame, reset_ms: int) -> DataFrame:
     return trades.withColumn("cvd", F.sum(exact(signed())).over(w).cast("double"))
 
 
-def anchored_bars(trades: DataFrame, width_ms: int, chunk_ms: int = 86_400_000) -> DataFrame:
-    """Bars that open with the first trade after the one before closed and close with the
-    first trade at least ``width_ms`` later, which belongs to no bar.
+def anchored(trades: DataFrame, width_ms: int, chunk_ms: int = 86_400_000) -> DataFrame:
+    """Trades with the time at which their bar opened (``bar``) or, of a trade that closes a bar and is in none, of the bar
+    that it closes (``closes``). A bar opens with the first trade after the one that closed the bar before, and is
+    closed by the first trade at least ``width_ms`` later.
 
     Where a bar opens depends on all bars before. Each chunk of time first says which bar is open at
     its end for any bar open where it begins (:func:`running.with_states`), then is folded from its
@@ -136,21 +137,89 @@ def anchored_bars(trades: DataFrame, width_ms: int, chunk_ms: int = 86_400_000)
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["t", "seq"])
-        start, out = (int(pdf["_since"].iloc[0]) if pdf["_state"].iloc[0] == OPEN else None), []
-        for t in pdf["t"]:
-            if start is None:
-                start = t
-            if t - start >= width_ms:
+        t, at = pdf["t"].to_numpy(), 0
+        bar, closes = np.zeros(len(t), np.int64), np.zeros(len(t), bool)
+        start = int(pdf["_since"].iloc[0]) if pdf["_state"].iloc[0] == OPEN else None
+        while at < len(t):
+            # A bar takes all trades up to the one that closes it: one step a bar.
+            start = int(t[at]) if start is None else start
+            end = max(at, int(np.searchsorted(t, start + width_ms)))
+            bar[at : end + 1] = start
+            if end < len(t):
+                closes[end] = True
                 start = None
-                out.append(None)
-            else:
-                out.append(start)
-        return pdf.assign(bar=pd.array(out, "Int64"))[["symbol", "bar", "p", "q", "t", "m", "seq"]]
+            at = end + 1
+        own = pd.array(bar, "Int64")
+        pdf = pdf.assign(bar=own, closes=own)
+        pdf.loc[closes, "bar"] = pd.NA
+        pdf.loc[~closes, "closes"] = pd.NA
+        return pdf[["symbol", "bar", "closes", "p", "q", "t", "m", "seq"]]
 
     rows = with_states(trades.withColumn("chunk", F.floor(F.col("t") / chunk_ms)), summarise)
     kind = dict(trades.dtypes)["symbol"]
-    schema = f"symbol {kind}, bar bigint, p double, q double, t bigint, m boolean, seq bigint"
-    kept = rows.groupBy("symbol", "chunk").applyInPandas(fold, schema).where("bar IS NOT NULL")
+    schema = f"symbol {kind}, bar bigint, closes bigint, p double, q double, t bigint, m boolean, seq bigint"
+    return rows.groupBy("symbol", "chunk").applyInPandas(fold, schema)
+
+
+def cooled(alerts: DataFrame, cooldown_ms: int, chunk_ms: int = 86_400_000) -> DataFrame:
+    """Alerts (symbol, t, seq, ...) without those that come within the cooldown after one that was kept. What is kept depends
+    on all before: chunks of time are followed as in :func:`anchored`."""
+
+    def summarise(pdf: pd.DataFrame) -> list[tuple[int, int, int, int]]:
+        t = pdf["t"].to_numpy()
+        following, last = np.searchsorted(t, t + cooldown_ms), [(NOTHING, 0)] * (len(t) + 1)
+        for i in range(len(t) - 1, -1, -1):
+            last[i] = (OPEN, int(t[i])) if following[i] == len(t) else last[following[i]]
+        return [(NOTHING, ALWAYS, *last[0]), *((OPEN, int(t[c]) - cooldown_ms, *last[c]) for c in range(len(t)))]
+
+    names = alerts.columns
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["t", "seq"])
+        t, kept = pdf["t"].to_numpy(), []
+        at = int(np.searchsorted(t, pdf["_since"].iloc[0] + cooldown_ms)) if pdf["_state"].iloc[0] == OPEN else 0
+        while at < len(t):
+            kept.append(at)
+            at = max(at + 1, int(np.searchsorted(t, t[at] + cooldown_ms)))
+        return pdf.iloc[kept][names]
+
+    rows = with_states(alerts.withColumn("chunk", F.floor(F.col("t") / chunk_ms)), summarise)
+    return rows.groupBy("symbol", "chunk").applyInPandas(fold, alerts.schema)
+
+
+def imbalance_bars(trades: DataFrame, width_ms: int) -> DataFrame:
+    """Closed bars of bought and sold volume: symbol, t (opening), seq (of the opening trade), buy_volume, sell_volume, buys, sells,
+    open, close, price_change (percent), ratio (null where only one side traded), effective, dominant and severity.
+
+    A bar opens with the first trade after the one that closed the bar before, and that closing trade's volume counts in
+    it. A bar that no trade has closed yet is not given out. ``effective`` is the larger of the ratio and its inverse, 100 where
+    one side is missing; from 2, 3 and 5 on it is moderate, strong and extreme."""
+    rows = anchored(trades, width_ms)
+    closed = rows.where("closes IS NOT NULL").select("symbol", F.col("closes").alias("bar")).distinct()
+    # A closing trade belongs to the bar that the next trade opens: the first opening after it.
+    rows = rows.withColumns({"_opens": F.when(F.col("closes").isNull(), F.struct("bar", "seq")), "_back": -F.col("t"), "_less": -F.col("seq")})
+    rows = filled(rows, "_opens", "_next", ["symbol"], ["_back", "_less"])
+    rows = rows.withColumn("bar", F.coalesce("bar", "_next.bar")).where("bar IS NOT NULL")
+    bought = F.when(~F.col("m"), F.col("q")).otherwise(0)
+    sold = F.when(F.col("m"), F.col("q")).otherwise(0)
+    first = F.when(F.col("closes").isNull(), order())
+    bars = rows.groupBy("symbol", "bar").agg(
+        F.min_by("seq", first).alias("seq"), total(bought).alias("buy_volume"), total(sold).alias("sell_volume"), F.count(F.when(~F.col("m"), 1)).alias("buys"), F.count(F.when(F.col("m"), 1)).alias("sells"),
+        F.min_by("p", first).alias("open"), F.max_by("p", order()).alias("close"),
+    ).join(closed, ["symbol", "bar"])
+    b, s = F.col("buy_volume"), F.col("sell_volume")
+    ratio = F.when((b > 0) & (s > 0), b / s).when((b <= 0) & (s <= 0), 1.0)
+    effective = F.coalesce(F.greatest(F.col("ratio"), 1 / F.col("ratio")), F.lit(100.0))
+    severity = F.when(F.col("effective") >= 5, "extreme").when(F.col("effective") >= 3, "strong").when(F.col("effective") >= 2, "moderate")
+    out = bars.withColumnRenamed("bar", "t").withColumns({"price_change": F.try_divide(F.col("close") - F.col("open"), "open") * 100, "ratio": ratio})
+    out = out.withColumn("effective", effective).withColumn("dominant", F.when(b > s, "buy").when(s > b, "sell").otherwise("unknown"))
+    return out.withColumn("severity", severity)
+
+
+def anchored_bars(trades: DataFrame, width_ms: int, chunk_ms: int = 86_400_000) -> DataFrame:
+    """Bars that open with the first trade after the one before closed and close with the
+    first trade at least ``width_ms`` later, which belongs to no bar (:func:`anchored`)."""
+    kept = anchored(trades, width_ms, chunk_ms).where("bar IS NOT NULL")
     bars = kept.groupBy("symbol", "bar").agg(
         F.min("t").alias("open_t"),
         F.min_by("p", order()).alias("open"),

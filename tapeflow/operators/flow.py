@@ -20,28 +20,28 @@ def sector(bounds: tuple[float, float] = (0.5, 1.0)) -> Column:
 
 def rolling_flow(trades: DataFrame, widths_ms: tuple[int, ...]) -> DataFrame:
     """Each trade with the net flow, volume and imbalance of the ``width`` before it, for
-    every width. Rows are dealt by symbol and the widest span; each span also gets the rows
-    of the one before, so a long history is not one task.
+    every width.
 
     A trade enters every sum at its time and leaves that of a width so much later: a sum is one
-    running sum over entries and departures, so the work does not grow with the width."""
-    span = max(widths_ms)
-    rows = trades.withColumn("_own", F.floor(F.col("t") / span))
-    rows = rows.withColumn("_span", F.explode(F.array("_own", F.col("_own") + 1)))
+    running sum over entries and departures, so the work does not grow with the width. These are dealt by
+    symbol and the widest span of their own time; what is held where a span begins is carried into it, so a
+    long history is not one task and no trade is dealt twice."""
+    n = range(1, len(widths_ms) + 1)
     moves = [F.struct((F.col("t") + w).alias("at"), F.lit(i).alias("kind")) for i, w in enumerate((0, *widths_ms))]
-    rows = rows.withColumn("_move", F.explode(F.array(*moves)))
-    so_far = Window.partitionBy("symbol", "_span").orderBy("_move.at").rangeBetween(Window.unboundedPreceding, 0)
-
-    def held(value: Column, i: int) -> Column:
-        kind = F.col("_move.kind")
-        return F.sum(F.when(kind == 0, value).when(kind == i, -value).otherwise(F.lit(0))).over(so_far).cast("double")
-
-    out = {}
-    for i in range(1, len(widths_ms) + 1):
-        out |= {f"net_{i}": held(exact(signed()), i), f"volume_{i}": held(exact(F.col("q")), i)}
-    rows = rows.withColumns(out).where("_span = _own AND _move.kind = 0").drop("_own", "_span", "_move")
-    names = [c for i in range(1, len(widths_ms) + 1) for c in (f"net_{i}", f"volume_{i}", f"imbalance_{i}")]
-    rows = rows.withColumns({f"imbalance_{i}": F.try_divide(f"net_{i}", f"volume_{i}") for i in range(1, len(widths_ms) + 1)})
+    rows = trades.withColumn("_move", F.explode(F.array(*moves)))
+    kind = F.col("_move.kind")
+    part = lambda value, i: F.when(kind == 0, value).when(kind == i, -value)
+    values = {f"net_{i}": part(exact(signed()), i) for i in n} | {f"volume_{i}": part(exact(F.col("q")), i) for i in n}
+    rows = rows.withColumn("_bucket", F.floor(F.col("_move.at") / max(widths_ms)))
+    sums = rows.groupBy("symbol", "_bucket").agg(*(F.sum(v).alias(k) for k, v in values.items()))
+    before = Window.partitionBy("symbol").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.select("symbol", "_bucket", *(F.sum(k).over(before).alias(f"_c_{k}") for k in values))
+    so_far = Window.partitionBy("symbol", "_bucket").orderBy("_move.at").rangeBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({f"_s_{k}": F.sum(v).over(so_far) for k, v in values.items()}).where(kind == 0).join(carried, ["symbol", "_bucket"])
+    zero = F.lit(0)
+    rows = rows.withColumns({k: (F.coalesce(f"_c_{k}", zero) + F.coalesce(f"_s_{k}", zero)).cast("double") for k in values})
+    names = [c for i in n for c in (f"net_{i}", f"volume_{i}", f"imbalance_{i}")]
+    rows = rows.withColumns({f"imbalance_{i}": F.try_divide(f"net_{i}", f"volume_{i}") for i in n})
     return rows.select(*trades.columns, *names)
 
 

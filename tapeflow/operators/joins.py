@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .running import filled
+from .running import filled, surrounding
 
 
 def asof_nearest(left: DataFrame, right: DataFrame, tolerance_ms: int, by: tuple[str, ...] = ("symbol",), bucket_ms: int = 3_600_000) -> DataFrame:
     """Each left row (t) with the right row (rt, rid, value) nearest in time within the tolerance,
     ties to the earlier, then to the smaller rid. Both sides are one union; the last right row at
-    or before each row and the first at or after it are carried through it (:func:`running.filled`),
+    or before each row and the first at or after it are carried through it (:func:`running.surrounding`),
     so no row meets more than two others, however many share a time."""
     found = F.struct(F.col("rt"), F.col("rid"), F.col("value"))
     nothing = F.lit(None).cast(right.select(found.alias("x")).schema["x"].dataType)
@@ -19,8 +19,7 @@ def asof_nearest(left: DataFrame, right: DataFrame, tolerance_ms: int, by: tuple
     none = F.lit(None).cast(rows.schema["_left"].dataType)
     others = right.select(*by, F.col("rt").alias("_t"), F.lit(0).alias("_kind"), (-F.col("rid")).cast("long").alias("_less"), none.alias("_left"), found.alias("_right"))
     both = rows.unionByName(others).withColumn("_back", -F.col("_t"))
-    both = filled(both, "_right", "_before", list(by), ["_t", "_kind", "_less"], bucket_ms)
-    both = filled(both, "_right", "_after", list(by), ["_back", "_kind", "_less"], bucket_ms).where("_left IS NOT NULL")
+    both = surrounding(both, "_right", "_before", "_after", list(by), ["_t", "_kind", "_less"], ["_back", "_kind", "_less"], bucket_ms).where("_left IS NOT NULL")
     near = lambda c: F.when(F.abs(F.col(f"{c}.rt") - F.col("_t")) <= tolerance_ms, F.struct(F.abs(F.col(f"{c}.rt") - F.col("_t")).alias("d"), f"{c}.rt", f"{c}.rid", f"{c}.value"))
     out = both.withColumn("_x", F.least(near("_before"), near("_after")))
     return out.select(*(F.col(f"_left.{c}").alias(c) for c in left.columns), F.col("_x.rid").alias("rid"), F.col("_x.rt").alias("rt"), F.col("_x.value").alias("value"))

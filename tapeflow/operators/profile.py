@@ -79,6 +79,49 @@ def shape(profile: DataFrame, bins: int = 20) -> DataFrame:
     return out.withColumn("shape", label)
 
 
+def session_shape(trades: DataFrame, width_ms: int, least: int = 20) -> DataFrame:
+    """Shape of the volume of each session: symbol, window_end, bottom, middle, top (shares of the thirds of its range), shape,
+    signal and zone. Sessions of fewer than ``least`` trades or without range are left out.
+
+    P is heavy at the top, b at the bottom, D in the middle, B at both ends. Any other is B too if its histogram has two peaks
+    with a valley between them: bins are as many as fifty trades each allow (10 to 30), empty ones included; a peak is
+    above both neighbours and 40 % of the fullest bin; between the first and the last peak some bin falls below half
+    their mean. What is left is thin."""
+    key = ["symbol", "window_end"]
+    rows = trades.withColumn("window_end", window_end(F.col("t"), width_ms)).select(*key, "p", F.col("q").cast("decimal(20,8)").alias("q"))
+    session = rows.groupBy(*key).agg(F.min("p").alias("lo"), F.max("p").alias("hi"), F.count(F.lit(1)).alias("n")).where((F.col("n") >= least) & (F.col("hi") > F.col("lo")))
+    session = session.withColumn("bins", F.greatest(F.lit(10), F.least(F.lit(30), F.floor(F.col("n") / 50))).cast("int"))
+    third = (F.col("hi") - F.col("lo")) / 3
+    place = F.least(F.floor((F.col("p") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / F.col("bins"))), F.col("bins") - 1).cast("int")
+    part = F.when(F.col("p") <= F.col("lo") + third, "bottom").when(F.col("p") > F.col("hi") - third, "top").otherwise("middle")
+    held = rows.join(session, key).withColumns({"bin": place, "part": part})
+    full = held.groupBy(*key, "bin").agg(*(F.sum(F.when(F.col("part") == k, F.col("q")).otherwise(0)).alias(k) for k in ("bottom", "middle", "top")))
+    dense = session.select(*key, F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bin"), "bins").join(full, [*key, "bin"], "left").fillna(0, ["bottom", "middle", "top"])
+    line, whole = Window.partitionBy(*key).orderBy("bin"), Window.partitionBy(*key)
+    v = F.col("v")
+    dense = dense.withColumn("v", (F.col("bottom") + F.col("middle") + F.col("top")).cast("double"))
+    peak = (v > F.lag("v").over(line)) & (v > F.lead("v").over(line)) & (v > F.max("v").over(whole) * 0.4)
+    dense = dense.withColumn("peak", F.coalesce(peak, F.lit(False)))
+    of_peak = F.when(F.col("peak"), F.col("bin"))
+    dense = dense.withColumns({"from": F.min(of_peak).over(whole), "to": F.max(of_peak).over(whole)})
+    out = dense.groupBy(*key).agg(
+        *(F.sum(k).cast("double").alias(k) for k in ("bottom", "middle", "top")),
+        F.min(F.when((F.col("bin") >= F.col("from")) & (F.col("bin") <= F.col("to")), v)).alias("valley"),
+        F.max(F.when(F.col("bin") == F.col("from"), v)).alias("a"), F.max(F.when(F.col("bin") == F.col("to"), v)).alias("b"), F.count(F.when(F.col("peak"), 1)).alias("peaks"),
+    )
+    total_volume = F.col("bottom") + F.col("middle") + F.col("top")
+    out = out.withColumn("_all", total_volume).where("_all > 0").withColumns({k: F.col(k) / F.col("_all") for k in ("bottom", "middle", "top")})
+    bottom, middle, top = (F.col(k) for k in ("bottom", "middle", "top"))
+    split = (F.col("peaks") >= 2) & (F.col("valley") < (F.col("a") + F.col("b")) / 2 * 0.5)
+    both = (bottom > 0.32) & (top > 0.32) & (middle < 0.30)
+    label = F.when(split, "B").when(top > 0.45, "P").when(bottom > 0.45, "b").when(middle > 0.5, "D").when(both, "B").otherwise("Thin")
+    # What each shape is taken for.
+    meaning = {"P": "BEARISH_AFTER", "b": "BULLISH_AFTER", "D": "RANGE", "B": "BREAKOUT_EXPECTED", "Thin": "VOLATILE"}
+    signal = F.create_map(*(F.lit(x) for kv in meaning.items() for x in kv))[F.col("shape")]
+    zone = F.when((top > bottom) & (top > middle), "upper").when((bottom > top) & (bottom > middle), "lower").otherwise("middle")
+    return out.withColumn("shape", label).select(*key, "bottom", "middle", "top", "shape", signal.alias("signal"), zone.alias("zone"))
+
+
 def poor_extremes(profile: DataFrame, bins: int = 20) -> DataFrame:
     """Whether much (poor) or little (excess) volume lies in the outer tenths of the range."""
     edge = bins // 10

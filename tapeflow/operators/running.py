@@ -26,8 +26,9 @@ def _bucketed(df: DataFrame, time: str, bucket_ms: int) -> DataFrame:
 
 
 def _dealt(df: DataFrame, time: str, bucket_ms: int, by: list[str]) -> DataFrame:
-    """``df`` with its bucket, one shuffle of which serves both what sums a bucket up and what scans it."""
-    return _bucketed(df, time, bucket_ms).repartition(*by, "_bucket")
+    """``df`` with its bucket, one shuffle of which serves both what sums a bucket up and what scans it. Rows without group or
+    time are in no bucket."""
+    return _bucketed(df, time, bucket_ms).dropna(subset=[*by, "_bucket"]).repartition(*by, "_bucket")
 
 
 def _summed(rows: DataFrame, by: list[str], **sums: Column) -> DataFrame:
@@ -96,6 +97,22 @@ def filled(df: DataFrame, column: str, name: str, by: list[str], order: list[str
     return rows.withColumn(name, F.coalesce(F.last(column, True).over(inside), "_carried")).select(*df.columns, name)
 
 
+def surrounding(df: DataFrame, column: str, before: str, after: str, by: list[str], order: list[str], back: list[str], bucket_ms: int = DAY_MS) -> DataFrame:
+    """``df`` with the last known value of ``column`` in the order ``order`` (as ``before``) and in the order ``back`` against time
+    (as ``after``), the row's own included. Both come from one shuffle: a bucket is sorted twice, and gives its neighbours on either
+    side its last and its first known value. The first column of ``back`` is the negative of that of ``order``."""
+    rows = _dealt(df, order[0], bucket_ms, by)
+    known = lambda names: F.when(F.col(column).isNotNull(), F.struct(*names))
+    ends = _summed(rows, by, _last=F.max_by(column, known(order)), _first=F.max_by(column, known(back)))
+    across = Window.partitionBy(*by).orderBy("_bucket")
+    held = F.last("_last", True).over(across.rowsBetween(Window.unboundedPreceding, -1))
+    due = F.first("_first", True).over(across.rowsBetween(1, Window.unboundedFollowing))
+    rows = rows.join(ends.select(*by, "_bucket", held.alias("_held"), due.alias("_due")), [*by, "_bucket"])
+    inside = lambda names: Window.partitionBy(*by, "_bucket").orderBy(*names).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn(before, F.coalesce(F.last(column, True).over(inside(order)), "_held"))
+    return rows.withColumn(after, F.coalesce(F.last(column, True).over(inside(back)), "_due")).select(*df.columns, before, after)
+
+
 def tick_side(df: DataFrame, by: list[str], order: list[str], bucket_ms: int = DAY_MS) -> DataFrame:
     """``df`` (p, m) with m filled: as given, else by the move of p (up false, down true), else as in the row before, else null.
 

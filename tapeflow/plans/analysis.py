@@ -218,13 +218,11 @@ def session_calendar(spark, d):
 
 
 def score_confluence(spark, d):
-    h = hours(spark, d)
-    direction = F.signum(F.col("close") - F.col("open")).alias("direction")
-    flow = F.signum(F.col("buy_volume") - F.col("sell_volume")).alias("direction")
-    a = h.select("symbol", F.col("window_end").alias("t"), F.lit("price").alias("source"), direction, F.lit(0.5).alias("confidence"))
-    b = h.select("symbol", F.col("window_end").alias("t"), F.lit("flow").alias("source"), flow, F.lit(0.8).alias("confidence"))
+    told = lambda source, x, confidence: F.struct(F.lit(source).alias("source"), F.signum(x).alias("direction"), F.lit(confidence).alias("confidence"))
+    both = F.array(told("price", F.col("close") - F.col("open"), 0.5), told("flow", F.col("buy_volume") - F.col("sell_volume"), 0.8))
+    signals = hours(spark, d).select("symbol", F.col("window_end").alias("t"), F.explode(both).alias("x")).select("symbol", "t", "x.*")
     weights = spark.createDataFrame([("price", 1.0), ("flow", 1.5)], "source string, weight double")
-    return rounded(scores.confluence(a.unionByName(b), weights))
+    return rounded(scores.confluence(signals, weights))
 
 
 def _macro(spark, d):

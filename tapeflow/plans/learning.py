@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import adaptive, backfill, bars, booksync, compaction, crossasset, inference, monitor, zones
+from ..operators import adaptive, backfill, bars, booksync, compaction, crossasset, inference, monitor, profile, zones
 from ..operators import indicators as ind
 from ..operators.running import numbered
 from ..sources import replay, sinks
@@ -247,7 +247,21 @@ def lvl_defence_balance(spark, d):
     return rounded(zones.defence_balance(_zones(spark, d)), 4)
 
 
-QUERIES = [lvl_scored_sources, lvl_defence_zones, lvl_defence_balance, min_trades_adaptive, cross_asset_features, replay_lines, replay_gate, features_stored, events_stored, record_copies, record_within, ml_feature_mapping, ml_time_folds, ml_inference, label_backfill, lvl_monitor, lvl_monitor_summary, book_replay, mdl_volatility_ewma]
+def vp_session_shape(spark, d):
+    return rounded(profile.session_shape(sided(spark, d), 7 * DAY))
+
+
+def bars_imbalance(spark, d):
+    return rounded(bars.imbalance_bars(sided(spark, d), 6 * HOUR))
+
+
+def alerts_imbalance(spark, d):
+    """Bars with twice as much on one side, none within a day after another."""
+    found = bars.imbalance_bars(sided(spark, d), 6 * HOUR).where("effective >= 2")
+    return rounded(bars.cooled(found.select("symbol", "t", "seq", "effective", "dominant", "close", "severity"), DAY))
+
+
+QUERIES = [vp_session_shape, bars_imbalance, alerts_imbalance, lvl_scored_sources, lvl_defence_zones, lvl_defence_balance, min_trades_adaptive, cross_asset_features, replay_lines, replay_gate, features_stored, events_stored, record_copies, record_within, ml_feature_mapping, ml_time_folds, ml_inference, label_backfill, lvl_monitor, lvl_monitor_summary, book_replay, mdl_volatility_ewma]
 
 _L = "(PARTITION BY symbol ORDER BY ts)"
 _W = lambda n: f"(PARTITION BY symbol ORDER BY ts ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
@@ -324,6 +338,25 @@ _ZONES = _SOURCES + f""", bk AS (SELECT symbol, any_value(last) AS last, {", ".j
     zk AS (SELECT *, max((sources >= 2)::INT) OVER (PARTITION BY symbol) AS strong, row_number() OVER (PARTITION BY symbol ORDER BY strength DESC, center) AS k FROM zz),
     zr AS (SELECT *, row_number() OVER (PARTITION BY symbol, side ORDER BY strength DESC, center) AS rank FROM zk WHERE CASE WHEN strong = 1 THEN sources >= 2 ELSE k <= 5 END),
     zones AS (SELECT symbol, side, rank::INTEGER AS rank, center, low, high, strength, sources, signals, CASE WHEN sources >= 3 THEN 'confluence' WHEN sources >= 2 THEN 'cluster' ELSE 'single' END AS kind, round(abs(center - last) / last * 100, 4) AS distance FROM zr WHERE rank <= 5)"""
+_SHAPES = f"""ss AS (SELECT *, (t // {7 * DAY} + 1) * {7 * DAY} AS window_end FROM sided), se AS (SELECT symbol, window_end, min(p) AS lo, max(p) AS hi, count(*) AS n, greatest(10, least(30, count(*) // 50))::INTEGER AS bins FROM ss GROUP BY 1, 2 HAVING count(*) >= 20 AND max(p) > min(p)),
+    hb AS (SELECT symbol, window_end, least(floor((p - lo) / ((hi - lo) / bins)), bins - 1)::INTEGER AS bin, sum(CAST(q AS DECIMAL(20,8))) AS v, sum(CAST(CASE WHEN p <= lo + (hi - lo) / 3 THEN q ELSE 0 END AS DECIMAL(20,8))) AS bottom,
+        sum(CAST(CASE WHEN p > hi - (hi - lo) / 3 THEN q ELSE 0 END AS DECIMAL(20,8))) AS top FROM ss JOIN se USING (symbol, window_end) GROUP BY 1, 2, 3),
+    dn AS (SELECT g.symbol, g.window_end, g.bin, coalesce(v, 0)::DOUBLE AS v, coalesce(bottom, 0)::DOUBLE AS bottom, coalesce(top, 0)::DOUBLE AS top FROM (SELECT symbol, window_end, unnest(range(bins)) AS bin FROM se) g LEFT JOIN hb USING (symbol, window_end, bin)),
+    pk AS (SELECT *, coalesce(v > lag(v) OVER l AND v > lead(v) OVER l AND v > max(v) OVER w * 0.4::DOUBLE, false) AS peak FROM dn WINDOW l AS (PARTITION BY symbol, window_end ORDER BY bin), w AS (PARTITION BY symbol, window_end)),
+    ft AS (SELECT *, min(CASE WHEN peak THEN bin END) OVER w AS f, max(CASE WHEN peak THEN bin END) OVER w AS o FROM pk WINDOW w AS (PARTITION BY symbol, window_end)),
+    sh AS (SELECT symbol, window_end, sum(bottom) / sum(v) AS bottom, sum(top) / sum(v) AS top, 1 - sum(bottom) / sum(v) - sum(top) / sum(v) AS middle, count(CASE WHEN peak THEN 1 END) AS peaks,
+        min(CASE WHEN bin BETWEEN f AND o THEN v END) AS valley, max(CASE WHEN bin = f THEN v END) AS a, max(CASE WHEN bin = o THEN v END) AS b FROM ft GROUP BY 1, 2),
+    sn AS (SELECT *, CASE WHEN peaks >= 2 AND valley < (a + b) / 2 * 0.5 THEN 'B' WHEN top > 0.45 THEN 'P' WHEN bottom > 0.45 THEN 'b' WHEN middle > 0.5 THEN 'D' WHEN bottom > 0.32 AND top > 0.32 AND middle < 0.3 THEN 'B' ELSE 'Thin' END AS shape FROM sh)"""
+_IMBALANCE = f"""num AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY t, seq) AS rn FROM sided),
+    st AS (SELECT DISTINCT symbol, CAST(1 AS BIGINT) AS s FROM num UNION ALL SELECT st.symbol, (SELECT min(x.rn) FROM num x WHERE x.symbol = st.symbol AND x.t >= y.t + {6 * HOUR}) + 1 FROM st JOIN num y ON y.symbol = st.symbol AND y.rn = st.s),
+    sp AS (SELECT symbol, s, lead(s) OVER (PARTITION BY symbol ORDER BY s) - 1 AS c FROM st WHERE s IS NOT NULL),
+    bs AS (SELECT sp.symbol, sp.s, arg_min(n.t, n.rn) FILTER (n.rn >= sp.s) AS t, arg_min(n.seq, n.rn) FILTER (n.rn >= sp.s) AS seq, sum(CAST(CASE WHEN NOT m THEN q ELSE 0 END AS DECIMAL(20,8)))::DOUBLE AS b, sum(CAST(CASE WHEN m THEN q ELSE 0 END AS DECIMAL(20,8)))::DOUBLE AS v,
+        count(*) FILTER (NOT m) AS buys, count(*) FILTER (m) AS sells, arg_min(p, n.rn) FILTER (n.rn >= sp.s) AS open, arg_max(p, n.rn) AS close
+        FROM sp JOIN num n ON n.symbol = sp.symbol AND n.rn >= CASE WHEN sp.s > 1 THEN sp.s - 1 ELSE 1 END AND n.rn < sp.c WHERE c IS NOT NULL GROUP BY 1, 2),
+    ib AS (SELECT *, CASE WHEN b > 0 AND v > 0 THEN b / v WHEN b <= 0 AND v <= 0 THEN 1.0 END AS ratio, CASE WHEN b > 0 AND v > 0 THEN greatest(b / v, v / b) WHEN b <= 0 AND v <= 0 THEN 1.0 ELSE 100.0 END AS effective FROM bs),
+    iv AS (SELECT *, CASE WHEN b > v THEN 'buy' WHEN v > b THEN 'sell' ELSE 'unknown' END AS dominant, CASE WHEN effective >= 5 THEN 'extreme' WHEN effective >= 3 THEN 'strong' WHEN effective >= 2 THEN 'moderate' END AS severity FROM ib),
+    al AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY t) AS k FROM iv WHERE effective >= 2),
+    ac AS (SELECT DISTINCT symbol, CAST(1 AS BIGINT) AS k FROM al UNION ALL SELECT ac.symbol, (SELECT min(x.k) FROM al x WHERE x.symbol = ac.symbol AND x.t >= y.t + {DAY}) FROM ac JOIN al y ON y.symbol = ac.symbol AND y.k = ac.k)"""
 _S = ("trades", "sided", "hours")
 
 
@@ -332,6 +365,10 @@ def _recursive(statement: str) -> str:
 
 
 ORACLE = {
+    "vp_session_shape": sql("trades", "sided", more=_SHAPES, select="""SELECT symbol, window_end, round(bottom, 6) AS bottom, round(middle, 6) AS middle, round(top, 6) AS top, shape, CASE shape WHEN 'P' THEN 'BEARISH_AFTER' WHEN 'b' THEN 'BULLISH_AFTER' WHEN 'D' THEN 'RANGE' WHEN 'B' THEN 'BREAKOUT_EXPECTED' ELSE 'VOLATILE' END AS signal,
+        CASE WHEN top > bottom AND top > middle THEN 'upper' WHEN bottom > top AND bottom > middle THEN 'lower' ELSE 'middle' END AS zone FROM sn"""),
+    "bars_imbalance": _recursive(sql("trades", "sided", more=_IMBALANCE, select="SELECT symbol, t, seq, round(b, 6) AS buy_volume, round(v, 6) AS sell_volume, buys, sells, round(open, 6) AS open, round(close, 6) AS close, round((close - open) / open * 100, 6) AS price_change, round(ratio, 6) AS ratio, round(effective, 6) AS effective, dominant, severity FROM iv")),
+    "alerts_imbalance": _recursive(sql("trades", "sided", more=_IMBALANCE, select="SELECT symbol, t, seq, round(effective, 6) AS effective, dominant, round(close, 6) AS close, severity FROM al JOIN ac USING (symbol, k)")),
     "lvl_scored_sources": _recursive(sql(*_S, more=_SOURCES, select="SELECT symbol, price, source, array_to_string(sources, ',') AS sources, touches, round(distance, 4) AS distance, strength, side, rank::INTEGER AS rank FROM sr20")),
     "lvl_defence_zones": _recursive(sql(*_S, more=_ZONES, select="SELECT * FROM zones")),
     "lvl_defence_balance": _recursive(sql(*_S, more=_ZONES, select="""SELECT symbol, buy, sell, round(r, 4) AS ratio, CASE WHEN buy + sell = 0 THEN 'neutral' WHEN r > 1.5 THEN 'strong_buy_defense' WHEN r > 1.1 THEN 'slight_buy_defense' WHEN r > 0.9 THEN 'neutral' WHEN r > 0.67 THEN 'slight_sell_defense' ELSE 'strong_sell_defense' END AS bias FROM
