@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .indicators import fold, line, over
+from .indicators import SCAN_MS, line, over
+from .running import affine, numbered
 
 
 def flags(rules: dict[str, Column]) -> Column:
@@ -114,33 +113,26 @@ def stoch_rsi(rows: DataFrame, n: int = 14, smooth: int = 3) -> DataFrame:
 
 
 def vol_forecast(vols: DataFrame, decay: float = 0.94) -> DataFrame:
-    """EWMA forecast of volatility (symbol, ts, vol): from the variance of the first five on."""
-
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        v, out, var = pdf["vol"].to_numpy(), [], None
-        for i, x in enumerate(v):
-            if i == 4:
-                var = float(np.var(v[:5]))
-            elif i > 4:
-                var = decay * var + (1 - decay) * x * x
-            out.append(math.sqrt(var) if var is not None else 1.05 * x)
-        return pdf[["symbol", "ts"]].assign(forecast=out)
-
-    kind = dict(vols.dtypes)["symbol"]
-    return fold(vols, step, f"symbol {kind}, ts bigint, forecast double")
+    """EWMA forecast of volatility (symbol, ts, vol): from the variance of the first five on, before that a twentieth above it."""
+    by, at = ["symbol"], ["ts"]
+    rows = numbered(vols.select("symbol", "ts", "vol").dropna(), "_n", by, at, SCAN_MS)
+    v, n, one = F.col("vol"), F.col("_n"), F.lit(1.0)
+    rows = affine(rows, {"_sum": (one, F.when(n <= 5, v)), "_squares": (one, F.when(n <= 5, v * v))}, by, at, SCAN_MS)
+    begin = F.greatest(F.lit(0.0), F.col("_squares") / 5 - F.col("_sum") * F.col("_sum") / 25)
+    maps = {"_var": (F.when(n == 5, 0.0).when(n > 5, decay), F.when(n == 5, begin).when(n > 5, (1 - decay) * v * v))}
+    rows = affine(rows, maps, by, at, SCAN_MS)
+    return rows.select("symbol", "ts", F.when(n >= 5, F.sqrt("_var")).otherwise(1.05 * v).alias("forecast"))
 
 
 def timeframe_trend(candles: DataFrame, unit: str, n: int = 21) -> DataFrame:
     """Close of each calendar period against its exponential mean: up or down."""
     start = F.unix_millis(F.date_trunc(unit, F.timestamp_millis("ts")))
     closes = candles.groupBy("symbol", start.alias("period")).agg(F.max_by("close", "ts").alias("close"))
-
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        ema = pdf["close"].ewm(span=n, adjust=False).mean()
-        return pdf.assign(ema=ema, trend=np.where(pdf["close"] > ema, "up", "down"))
-
-    kind = dict(candles.dtypes)["symbol"]
-    return fold(closes, step, f"symbol {kind}, period bigint, close double, ema double, trend string", order=("period",))
+    by, at, weight = ["symbol"], ["period"], 2 / (n + 1)
+    rows = numbered(closes, "_n", by, at, SCAN_MS)
+    first = F.col("_n") == 1
+    rows = affine(rows, {"ema": (F.when(first, 0.0).otherwise(1 - weight), F.when(first, F.col("close")).otherwise(F.col("close") * weight))}, by, at, SCAN_MS)
+    return rows.drop("_n").withColumn("trend", F.when(F.col("close") > F.col("ema"), "up").otherwise("down"))
 
 
 def whale_score(rows: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ def _payloads(spark, d):
     price = F.when(k % 7 == 0, F.lit(0.0)).otherwise(F.col("o_totalprice"))
     result = F.struct(F.when(k % 2 == 0, "buy").otherwise("wait").alias("action"), (k % 8 / 8.0).alias("confidence"))
     payload = F.to_json(F.struct(label.alias("label"), price.alias("price"), result.alias("result"), F.struct((k % 4 / 4.0).alias("prob_up")).alias("quant")))
-    return table(spark, d, "orders").select(k.alias("id"), F.when(k % 4 == 0, "AI_ANALYSIS").otherwise("SIGNAL").alias("kind"), payload.alias("payload"))
+    return table(spark, d, "orders").select(k.alias("id"), F.when(k % 5 == 0, "AI_ANALYSIS").otherwise("SIGNAL").alias("kind"), payload.alias("payload"))
 
 
 def src_signals(spark, d):
@@ -80,7 +80,7 @@ ORACLE = {
     "src_ticker_fallback": """SELECT l_suppkey AS asset, l_linenumber AS source, l_orderkey AS key FROM lineitem JOIN (SELECT a, min(s) AS s FROM (SELECT l_suppkey AS a, l_linenumber AS s FROM lineitem GROUP BY 1, 2 HAVING count(*) >= 90) GROUP BY 1) ON a = l_suppkey AND s = l_linenumber""",
     "src_macro": sql("candles", select="SELECT o_orderkey AS id, epoch_us(o_orderdate) // 1000 AS t, value FROM orders o ASOF LEFT JOIN (SELECT ts + 43200000 AS rt, close AS value FROM candles WHERE symbol = '1-URGENT') m ON m.rt <= epoch_us(o.o_orderdate) // 1000"),
     "src_signals": "SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'BUY' ELSE 'SELL' END AS side, round(o_totalprice, 6) AS price FROM orders WHERE o_orderkey % 3 < 2 AND o_orderkey % 7 <> 0",
-    "src_model_decisions": "SELECT o_orderkey AS id, 'buy' AS action, (o_orderkey % 8) / 8 AS confidence, 0.0 AS prob_up FROM orders WHERE o_orderkey % 4 = 0",
+    "src_model_decisions": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'buy' ELSE 'wait' END AS action, (o_orderkey % 8) / 8 AS confidence, (o_orderkey % 4) / 4 AS prob_up FROM orders WHERE o_orderkey % 5 = 0",
     "src_future_closes": sql("candles", select=f"SELECT p.ts AS id, p.symbol, c.ts, c.close FROM candles p JOIN candles c ON c.symbol = p.symbol AND c.ts > p.ts AND c.ts <= p.ts + {3 * DAY} WHERE p.volume > 2"),
     "src_complete": "SELECT c_custkey AS id, (c_custkey % 3 = 0 OR c_custkey % 5 = 0) AND (c_custkey % 2 = 0 OR c_custkey % 4 = 0 OR c_custkey % 10 >= 2) AS sound FROM customer",
 }

@@ -1,4 +1,4 @@
-"""Stateful stream operators: level tests with a waiting list and timers, and books from deltas."""
+"""Stateful stream operators: level tests, books from deltas and adaptive thresholds, with lists, maps and timers as state."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import monitor
+from ..operators.adaptive import Threshold
 from ..operators.booksync import Levels
 
 TICK = "t bigint, seq bigint, price double, volume double, delta double"
@@ -130,3 +131,34 @@ def replayed(updates: DataFrame) -> DataFrame:
         "bid_levels bigint, ask_levels bigint, bid_qty double, ask_qty double"
     )
     return updates.groupBy("book").transformWithStateInPandas(Book(), schema, "Append", "None")
+
+
+class Minimum(StatefulProcessor):
+    """The least number of trades in force, and the last counts that decide on it."""
+
+    def __init__(self, threshold: Threshold):
+        self.threshold = threshold
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.now = handle.getValueState("now", "minimum bigint")
+        self.counts = handle.getListState("counts", "n bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows)).sort_values("window_end").reset_index(drop=True)
+        current = self.now.get()[0] if self.now.exists() else self.threshold.initial
+        seen = [n for (n,) in self.counts.get()] if self.counts.exists() else []
+        found, current, seen = self.threshold.follow([int(n) for n in new["n"]], current, seen)
+        self.now.update((current,))
+        self.counts.put([(n,) for n in seen])
+        yield pd.concat([new[["symbol", "window_end", "n"]], pd.DataFrame(found, columns=["minimum", "enough", "minimum_after", "reason"])], axis=1)
+
+    def close(self) -> None:
+        pass
+
+
+def adaptive_minimum(windows: DataFrame, threshold: Threshold = Threshold()) -> DataFrame:
+    """Windows (symbol, window_end, n) of a stream with the least number of trades in force, as :func:`adaptive.adaptive_minimum` has
+    them for a table. Windows come in order from one micro-batch to the next."""
+    rows = windows.select("symbol", "window_end", F.col("n").cast("long").alias("n")).dropna()
+    schema = f"symbol {dict(windows.dtypes)['symbol']}, window_end bigint, n bigint, minimum bigint, enough boolean, minimum_after bigint, reason string"
+    return rows.groupBy("symbol").transformWithStateInPandas(Minimum(threshold), schema, "Append", "None")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tapeflow.operators import booksync, monitor
+from tapeflow.operators import adaptive, booksync, monitor
 from tapeflow.streaming import stateful
 
 TICKS = "symbol string, t bigint, seq bigint, price double, volume double, delta double"
@@ -186,3 +186,14 @@ def test_book_replay_has_every_accepted_update(spark):
     nulls = df.union(df.limit(1).withColumn("last_id", F.lit(None).cast("bigint")).withColumn("arrival", F.lit(10_000).cast("bigint")))
     assert booksync.accepted(nulls).count() == len(books_brute(updates, lines))
     assert booksync.replayed(df.limit(0), spark.createDataFrame(lines, LINES)).collect() == []
+
+
+def test_adaptive_minimum_of_a_stream(spark, tmp_path, rocks):
+    rng = np.random.default_rng(6)
+    schema = "symbol string, window_end bigint, n bigint"
+    rows = [(s, i, int(n)) for s in "ab" for i, n in enumerate(np.concatenate([rng.integers(60, 90, 15), rng.integers(1, 9, 40)]))]
+    rows.sort(key=lambda r: r[1])
+    setup = adaptive.Threshold(initial=60, rate=0.5)
+    stream = fed(spark, [rows[:10], rows[10:51], rows[51:]], schema, str(tmp_path / "in"))
+    got = sorted(map(tuple, drained(stateful.adaptive_minimum(stream, setup), "minimum").collect()))
+    assert got == sorted(map(tuple, adaptive.adaptive_minimum(spark.createDataFrame(rows, schema), setup).collect())) and len(got) == len(rows)
