@@ -216,6 +216,25 @@ def imbalance_bars(trades: DataFrame, width_ms: int) -> DataFrame:
     return out.withColumn("severity", severity)
 
 
+def chained_windows(trades: DataFrame, width_ms: int) -> DataFrame:
+    """Windows that follow one another without a gap: symbol, ts (opening), end, high, low, volume, buy_volume, sell_volume, n.
+
+    A window is closed by the first trade at least ``width_ms`` after it opened, which still counts in it; the next one opens at
+    that trade's time and price. The last window of a symbol, which no trade has closed, is not given out."""
+    ends = cooled(trades.select("symbol", "t", "seq", "p"), width_ms)
+    before = Window.partitionBy("symbol").orderBy("t", "seq")
+    # Each trade that closes a window with the one before it, which opened that window; the first trade only opens.
+    ends = ends.withColumn("_open", F.lag(F.struct("t", "p")).over(before)).where("_open IS NOT NULL").select("symbol", "seq", "_open")
+    rows = trades.join(ends, ["symbol", "seq"], "left").withColumns({"_end": F.when(F.col("_open").isNotNull(), F.struct("t", "seq", "_open")), "_back": -F.col("t"), "_less": -F.col("seq")})
+    rows = filled(rows, "_end", "_of", ["symbol"], ["_back", "_less"]).where("_of IS NOT NULL")
+    side = lambda sold: total(F.when(F.col("m") == sold, F.col("q")).otherwise(0))
+    out = rows.groupBy("symbol", F.col("_of.seq").alias("seq")).agg(
+        F.first("_of._open.t").alias("ts"), F.first("_of.t").alias("end"), F.greatest(F.max("p"), F.first("_of._open.p")).alias("high"), F.least(F.min("p"), F.first("_of._open.p")).alias("low"),
+        total(F.col("q")).alias("volume"), side(False).alias("buy_volume"), side(True).alias("sell_volume"), F.count(F.lit(1)).alias("n"),
+    )
+    return out.drop("seq")
+
+
 def anchored_bars(trades: DataFrame, width_ms: int, chunk_ms: int = 86_400_000) -> DataFrame:
     """Bars that open with the first trade after the one before closed and close with the
     first trade at least ``width_ms`` later, which belongs to no bar (:func:`anchored`)."""

@@ -157,8 +157,8 @@ def cvd_divergence(bars: DataFrame, n: int = 10) -> DataFrame:
 
 def absorbing_windows(windows: DataFrame, n: int = 100, least_trades: int = 5, volume_factor: float = 2.0, narrow_percent: float = 0.05) -> DataFrame:
     """Windows (symbol, ts, high, low, volume, buy_volume, sell_volume, n) with much volume and little range
-    against the last ``n`` windows, themselves included: who absorbs, and how strongly."""
-    rows = windows.withColumn("range_percent", F.try_divide(F.col("high") - F.col("low"), "low") * 100)
+    (in percent of its middle) against the last ``n`` windows, themselves included: who absorbs, and how strongly."""
+    rows = windows.withColumn("range_percent", F.coalesce(F.try_divide(F.col("high") - F.col("low"), (F.col("high") + F.col("low")) / 2), F.lit(0.0)) * 100)
     rows = rows.withColumns({"_v": F.avg("volume").over(over(n)), "_r": F.avg("range_percent").over(over(n)), "_k": F.count("volume").over(over(n))})
     rows = rows.withColumns({"volume_ratio": F.try_divide("volume", "_v"), "range_ratio": F.try_divide("range_percent", "_r")})
     narrow = (F.col("range_percent") < narrow_percent) | (F.col("range_ratio") < 0.5)

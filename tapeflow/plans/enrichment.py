@@ -336,7 +336,7 @@ ORACLE = {
     "window_delta_norm": sql("trades", "sided", "hours", select="SELECT symbol, window_end, round((buy_volume - sell_volume) / greatest(high - low, close * 0.0001::DOUBLE), 6) AS delta_norm FROM hours"),
     "cvd_divergences": sql("candles", more=f"b AS (SELECT symbol, ts, close, volume * 3 - (ts / {DAY}) % 11 AS cvd FROM candles), a AS (SELECT *, (close - lag(close, 9) OVER w) / lag(close, 9) OVER w AS pc, cvd - lag(cvd, 9) OVER w AS cc, row_number() OVER w AS n FROM b WINDOW w AS {_L})",
         select="SELECT symbol, ts, CASE WHEN pc > 0 THEN 'bearish' ELSE 'bullish' END AS kind, round(least(abs(pc) * 100, 1.0::DOUBLE), 6) AS strength FROM a WHERE n > 10 AND (pc > 0) <> (cc > 0)"),
-    "absorption_windows": sql("trades", "sided", "hours", more=f"""fw AS (SELECT *, window_end AS ts, (high - low) / low * 100 AS rp FROM hours), a AS (SELECT *, volume / avg(volume) OVER w AS vr, rp / nullif(avg(rp) OVER w, 0) AS rr, count(volume) OVER w AS kk FROM fw WINDOW w AS {_w(100)})""",
+    "absorption_windows": sql("trades", "sided", "hours", more=f"""fw AS (SELECT *, window_end AS ts, (high - low) / ((high + low) / 2) * 100 AS rp FROM hours), a AS (SELECT *, volume / avg(volume) OVER w AS vr, rp / nullif(avg(rp) OVER w, 0) AS rr, count(volume) OVER w AS kk FROM fw WINDOW w AS {_w(100)})""",
         select="""SELECT symbol, ts, round(vr, 6) AS volume_ratio, round(rr, 6) AS range_ratio, CASE WHEN buy_volume > sell_volume * 1.5 THEN 'sell' WHEN sell_volume > buy_volume * 1.5 THEN 'buy' ELSE 'unknown' END AS absorber, round(least(1.0::DOUBLE, vr / 1.2 * 0.5 + (1 - least(rr, 1.0::DOUBLE)) * 0.5), 6) AS intensity,
         round((high + low) / 2, 6) AS level FROM a WHERE kk >= 5 AND n >= 2 AND vr >= 1.2 AND (rp < 60 OR rr < 0.5)"""),
     "bars_flow_ratio": sql("trades", "sided", "hours", more=f"""fb AS (SELECT symbol, window_end AS ts, open, close, buy_volume AS b, sell_volume AS s, CASE WHEN sell_volume > 0 THEN buy_volume / sell_volume END AS ratio, CASE WHEN buy_volume > sell_volume THEN 'buy' WHEN sell_volume > buy_volume THEN 'sell' ELSE 'unknown' END AS dominant FROM hours),

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import adaptive, backfill, bars, booksync, compaction, crossasset, inference, monitor, profile, zones
+from ..operators import adaptive, backfill, bars, booksync, compaction, crossasset, enrich, inference, monitor, profile, zones
 from ..operators import indicators as ind
 from ..operators.running import numbered
 from ..sources import replay, sinks
@@ -261,7 +261,14 @@ def alerts_imbalance(spark, d):
     return rounded(bars.cooled(found.select("symbol", "t", "seq", "effective", "dominant", "close", "severity"), DAY))
 
 
-QUERIES = [vp_session_shape, bars_imbalance, alerts_imbalance, lvl_scored_sources, lvl_defence_zones, lvl_defence_balance, min_trades_adaptive, cross_asset_features, replay_lines, replay_gate, features_stored, events_stored, record_copies, record_within, ml_feature_mapping, ml_time_folds, ml_inference, label_backfill, lvl_monitor, lvl_monitor_summary, book_replay, mdl_volatility_ewma]
+def absorption_events(spark, d):
+    """Windows that follow each other trade by trade, with much volume and little range."""
+    windows = bars.chained_windows(sided(spark, d), 6 * HOUR)
+    out = enrich.absorbing_windows(windows, volume_factor=1.2, narrow_percent=20.0)
+    return rounded(out.select("symbol", "ts", "end", "level", "volume", "n", "volume_ratio", "range_ratio", "absorber", "intensity"), 4)
+
+
+QUERIES = [absorption_events, vp_session_shape, bars_imbalance, alerts_imbalance, lvl_scored_sources, lvl_defence_zones, lvl_defence_balance, min_trades_adaptive, cross_asset_features, replay_lines, replay_gate, features_stored, events_stored, record_copies, record_within, ml_feature_mapping, ml_time_folds, ml_inference, label_backfill, lvl_monitor, lvl_monitor_summary, book_replay, mdl_volatility_ewma]
 
 _L = "(PARTITION BY symbol ORDER BY ts)"
 _W = lambda n: f"(PARTITION BY symbol ORDER BY ts ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
@@ -357,6 +364,14 @@ _IMBALANCE = f"""num AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER
     iv AS (SELECT *, CASE WHEN b > v THEN 'buy' WHEN v > b THEN 'sell' ELSE 'unknown' END AS dominant, CASE WHEN effective >= 5 THEN 'extreme' WHEN effective >= 3 THEN 'strong' WHEN effective >= 2 THEN 'moderate' END AS severity FROM ib),
     al AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY t) AS k FROM iv WHERE effective >= 2),
     ac AS (SELECT DISTINCT symbol, CAST(1 AS BIGINT) AS k FROM al UNION ALL SELECT ac.symbol, (SELECT min(x.k) FROM al x WHERE x.symbol = ac.symbol AND x.t >= y.t + {DAY}) FROM ac JOIN al y ON y.symbol = ac.symbol AND y.k = ac.k)"""
+_CHAIN = f"""num AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY t, seq) AS rn FROM sided),
+    st AS (SELECT DISTINCT symbol, CAST(1 AS BIGINT) AS s FROM num UNION ALL SELECT st.symbol, (SELECT min(x.rn) FROM num x WHERE x.symbol = st.symbol AND x.rn > st.s AND x.t >= y.t + {6 * HOUR}) FROM st JOIN num y ON y.symbol = st.symbol AND y.rn = st.s),
+    sp AS (SELECT symbol, s, lead(s) OVER (PARTITION BY symbol ORDER BY s) AS c FROM st WHERE s IS NOT NULL),
+    cw AS (SELECT sp.symbol, sp.s, arg_min(t, rn) AS ts, arg_max(t, rn) AS "end", max(p) AS high, min(p) AS low, sum(CAST(CASE WHEN rn > s OR s = 1 THEN q ELSE 0 END AS DECIMAL(20,8)))::DOUBLE AS volume,
+        sum(CAST(CASE WHEN (rn > s OR s = 1) AND NOT m THEN q ELSE 0 END AS DECIMAL(20,8)))::DOUBLE AS b, sum(CAST(CASE WHEN (rn > s OR s = 1) AND m THEN q ELSE 0 END AS DECIMAL(20,8)))::DOUBLE AS v, count(*) - CASE WHEN any_value(s) = 1 THEN 0 ELSE 1 END AS n
+        FROM sp JOIN num ON num.symbol = sp.symbol AND rn BETWEEN sp.s AND sp.c WHERE c IS NOT NULL GROUP BY 1, 2),
+    cr AS (SELECT *, (high - low) / ((high + low) / 2) * 100 AS rp FROM cw),
+    ch AS (SELECT *, volume / avg(volume) OVER w AS vr, rp / avg(rp) OVER w AS rr, count(*) OVER w AS k FROM cr WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 99 PRECEDING AND CURRENT ROW))"""
 _S = ("trades", "sided", "hours")
 
 
@@ -365,6 +380,8 @@ def _recursive(statement: str) -> str:
 
 
 ORACLE = {
+    "absorption_events": _recursive(sql("trades", "sided", more=_CHAIN, select="""SELECT symbol, ts, "end", round((high + low) / 2, 4) AS level, round(volume, 4) AS volume, n, round(vr, 4) AS volume_ratio, round(rr, 4) AS range_ratio, CASE WHEN b > v * 1.5 THEN 'sell' WHEN v > b * 1.5 THEN 'buy' ELSE 'unknown' END AS absorber,
+        round(least(1.0::DOUBLE, vr / 1.2::DOUBLE * 0.5 + (1 - least(rr, 1)) * 0.5), 4) AS intensity FROM ch WHERE k >= 5 AND n >= 5 AND vr >= 1.2 AND (rp < 20 OR rr < 0.5)""")),
     "vp_session_shape": sql("trades", "sided", more=_SHAPES, select="""SELECT symbol, window_end, round(bottom, 6) AS bottom, round(middle, 6) AS middle, round(top, 6) AS top, shape, CASE shape WHEN 'P' THEN 'BEARISH_AFTER' WHEN 'b' THEN 'BULLISH_AFTER' WHEN 'D' THEN 'RANGE' WHEN 'B' THEN 'BREAKOUT_EXPECTED' ELSE 'VOLATILE' END AS signal,
         CASE WHEN top > bottom AND top > middle THEN 'upper' WHEN bottom > top AND bottom > middle THEN 'lower' ELSE 'middle' END AS zone FROM sn"""),
     "bars_imbalance": _recursive(sql("trades", "sided", more=_IMBALANCE, select="SELECT symbol, t, seq, round(b, 6) AS buy_volume, round(v, 6) AS sell_volume, buys, sells, round(open, 6) AS open, round(close, 6) AS close, round((close - open) / open * 100, 6) AS price_change, round(ratio, 6) AS ratio, round(effective, 6) AS effective, dominant, severity FROM iv")),
