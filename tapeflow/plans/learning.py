@@ -264,7 +264,7 @@ def alerts_imbalance(spark, d):
 def absorption_events(spark, d):
     """Windows that follow each other trade by trade, with much volume and little range."""
     windows = bars.chained_windows(sided(spark, d), 6 * HOUR)
-    out = enrich.absorbing_windows(windows, volume_factor=1.2, narrow_percent=20.0)
+    out = enrich.absorbing_windows(windows, volume_factor=1.2, narrow_percent=195.0)
     return rounded(out.select("symbol", "ts", "end", "level", "volume", "n", "volume_ratio", "range_ratio", "absorber", "intensity"), 4)
 
 
@@ -381,7 +381,7 @@ def _recursive(statement: str) -> str:
 
 ORACLE = {
     "absorption_events": _recursive(sql("trades", "sided", more=_CHAIN, select="""SELECT symbol, ts, "end", round((high + low) / 2, 4) AS level, round(volume, 4) AS volume, n, round(vr, 4) AS volume_ratio, round(rr, 4) AS range_ratio, CASE WHEN b > v * 1.5 THEN 'sell' WHEN v > b * 1.5 THEN 'buy' ELSE 'unknown' END AS absorber,
-        round(least(1.0::DOUBLE, vr / 1.2::DOUBLE * 0.5 + (1 - least(rr, 1)) * 0.5), 4) AS intensity FROM ch WHERE k >= 5 AND n >= 5 AND vr >= 1.2 AND (rp < 20 OR rr < 0.5)""")),
+        round(least(1.0::DOUBLE, vr / 1.2::DOUBLE * 0.5 + (1 - least(rr, 1)) * 0.5), 4) AS intensity FROM ch WHERE k >= 5 AND n >= 5 AND vr >= 1.2 AND (rp < 195 OR rr < 0.5)""")),
     "vp_session_shape": sql("trades", "sided", more=_SHAPES, select="""SELECT symbol, window_end, round(bottom, 6) AS bottom, round(middle, 6) AS middle, round(top, 6) AS top, shape, CASE shape WHEN 'P' THEN 'BEARISH_AFTER' WHEN 'b' THEN 'BULLISH_AFTER' WHEN 'D' THEN 'RANGE' WHEN 'B' THEN 'BREAKOUT_EXPECTED' ELSE 'VOLATILE' END AS signal,
         CASE WHEN top > bottom AND top > middle THEN 'upper' WHEN bottom > top AND bottom > middle THEN 'lower' ELSE 'middle' END AS zone FROM sn"""),
     "bars_imbalance": _recursive(sql("trades", "sided", more=_IMBALANCE, select="SELECT symbol, t, seq, round(b, 6) AS buy_volume, round(v, 6) AS sell_volume, buys, sells, round(open, 6) AS open, round(close, 6) AS close, round((close - open) / open * 100, 6) AS price_change, round(ratio, 6) AS ratio, round(effective, 6) AS effective, dominant, severity FROM iv")),
