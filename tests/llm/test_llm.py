@@ -583,7 +583,7 @@ def test_pipeline_stages(spark, docs, odd, sf_dir):
 
 def test_queries_are_registered():
     numbers = sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
 
 
 def test_shingles_of_short_texts():
