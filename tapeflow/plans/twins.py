@@ -70,3 +70,39 @@ analysis.ORACLE |= {
     "ml_corr_prune": sql("candles", more=_FEATURES, select=" UNION ALL ".join(f"SELECT '{a}|{b}' AS pair, round(corr({a}, {b}), 6) AS r, abs(corr({a}, {b})) > 0.95 AS \"drop\" FROM fe" for i, a in enumerate(_NAMES) for b in _NAMES[i + 1 :])),
     "fn_redact": r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '(?i)(api[_-]?key|token|secret|password)(\s*[=:]\s*)("[^"]*"|\S+)', '\1\2***', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '<email>', 'g'), '[0-9]{13,19}', '<number>', 'g')) AS hash FROM documents""",
 }
+
+
+def _recursion(seed: str, step: str, rows: str, columns: str, select: str, more: str) -> str:
+    """A recurrence over numbered rows (symbol, n, ...): ``seed`` of the first row, ``step`` of the others from the row before (e)."""
+    walk = f"e AS (SELECT symbol, n, {seed} FROM {rows} WHERE n = 1 UNION ALL SELECT r.symbol, r.n, {step} FROM e JOIN {rows} r ON r.symbol = e.symbol AND r.n = e.n + 1)"
+    return sql("candles", more=f"{more}, {walk}", select=f"SELECT {columns} FROM e JOIN {rows} USING (symbol, n) {select}").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_ROWS = f"rw AS (SELECT *, row_number() OVER {_L} AS n, close - lag(close) OVER {_L} AS d, greatest(high - low, abs(high - lag(close) OVER {_L}), abs(low - lag(close) OVER {_L})) AS tr FROM candles)"
+_MEAN = lambda x, w, e: f"{w} * ({x}) + (1 - {w}) * e.{e}"
+_G, _S, _F, _A = "(1.0::DOUBLE / 14)", "(2.0::DOUBLE / 27)", "(2.0::DOUBLE / 13)", "(2.0::DOUBLE / 15)"
+market.ORACLE |= {
+    "mdl_kalman": _recursion(
+        "close AS x, 1.0::DOUBLE AS v", "e.x + (e.v + 0.01::DOUBLE) / (e.v + 1.01::DOUBLE) * (r.close - e.x), (1 - (e.v + 0.01::DOUBLE) / (e.v + 1.01::DOUBLE)) * (e.v + 0.01::DOUBLE)", "rw",
+        "symbol, ts, round(x, 4) AS level, round((close / x - 1) * 100, 4) AS deviation", "", _ROWS,
+    ),
+    "ind_recursive": _recursion(
+        "CAST(NULL AS DOUBLE) AS g, CAST(NULL AS DOUBLE) AS l, close AS f, close AS s, close AS e21, tr AS a, 0.0::DOUBLE AS sg",
+        f"CASE WHEN r.n = 2 THEN greatest(r.d, 0) ELSE {_MEAN('greatest(r.d, 0)', _G, 'g')} END, CASE WHEN r.n = 2 THEN greatest(-r.d, 0) ELSE {_MEAN('greatest(-r.d, 0)', _G, 'l')} END, "
+        f"{_MEAN('r.close', _F, 'f')}, {_MEAN('r.close', _S, 's')}, {_MEAN('r.close', '(2.0::DOUBLE / 22)', 'e21')}, {_MEAN('r.tr', _A, 'a')}, "
+        f"{_MEAN(_MEAN('r.close', _F, 'f') + ' - (' + _MEAN('r.close', _S, 's') + ')', '0.2::DOUBLE', 'sg')}", "rw",
+        "symbol, ts, round(CASE WHEN n > 14 THEN CASE WHEN l > 0 THEN 100 - 100 / (1 + g / l) ELSE 100 END END, 4) AS rsi_wilder, round(f - s, 4) AS macd, round(sg, 4) AS macd_signal, round(e21, 4) AS ema_21, "
+        "round(CASE WHEN n >= 14 THEN a END, 4) AS atr_ewm", "", _ROWS,
+    ),
+}
+decisions.ORACLE |= {
+    "ind_timeframe_trend": _recursion(
+        "close AS x", _MEAN("r.close", "(2.0::DOUBLE / 22)", "x"), "wk", "symbol, period, round(close, 4) AS close, round(x, 4) AS ema, CASE WHEN close > x THEN 'up' ELSE 'down' END AS trend", "",
+        "wp AS (SELECT symbol, epoch_us(date_trunc('week', to_timestamp(ts / 1000) AT TIME ZONE 'UTC')) // 1000 AS period, arg_max(close, ts) AS close FROM candles GROUP BY 1, 2), wk AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY period) AS n FROM wp)",
+    ),
+    "mdl_vol_forecast": _recursion(
+        "CAST(NULL AS DOUBLE) AS x", "CASE WHEN r.n = 5 THEN r.five WHEN r.n > 5 THEN 0.94::DOUBLE * e.x + (1 - 0.94::DOUBLE) * r.vol * r.vol END", "vr", "symbol, ts, round(CASE WHEN n >= 5 THEN sqrt(x) ELSE 1.05::DOUBLE * vol END, 6) AS forecast", "",
+        f"lr AS (SELECT symbol, ts, ln(close / lag(close) OVER {_L}) AS r FROM candles), lv AS (SELECT symbol, ts, CASE WHEN count(r) OVER {_w(20)} >= 20 THEN stddev_pop(r) OVER {_w(20)} * sqrt(20.0::DOUBLE) END AS vol FROM lr), "
+        f"vr AS (SELECT *, row_number() OVER {_L} AS n, var_pop(vol) OVER {_w(5)} AS five FROM lv WHERE vol IS NOT NULL)",
+    ),
+}
