@@ -31,10 +31,16 @@ def flatten(df: DataFrame, sep: str = ".") -> DataFrame:
     return df.select(*out)
 
 
+def _append(rows: DataFrame, path: str, time: str) -> None:
+    """Appends rows as Parquet, one folder a day. A run without rows would leave no file, and so none of its columns: each run
+    adds an empty file to the folder of rows without a day, which readers merge."""
+    rows.limit(0).write.mode("append").parquet(f"{path.rstrip('/')}/date=__HIVE_DEFAULT_PARTITION__")
+    rows.withColumn("date", F.to_date(F.timestamp_millis(time))).write.mode("append").partitionBy("date").parquet(path)
+
+
 def write_features(df: DataFrame, path: str, time: str = "ts") -> None:
     """Appends flattened rows as Parquet, one folder a day."""
-    rows = flatten(df)
-    rows.withColumn("date", F.to_date(F.timestamp_millis(time))).write.mode("append").partitionBy("date").parquet(path)
+    _append(flatten(df), path, time)
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
@@ -45,7 +51,7 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
 def write_events(df: DataFrame, path: str) -> None:
     """Appends events (timestamp_ms, event_type, symbol, is_signal, ...) with the whole row as JSON payload."""
     rows = df.select("timestamp_ms", "event_type", "symbol", "is_signal", F.to_json(F.struct(*df.columns)).alias("payload"))
-    rows.withColumn("date", F.to_date(F.timestamp_millis("timestamp_ms"))).write.mode("append").partitionBy("date").parquet(path)
+    _append(rows, path, "timestamp_ms")
 
 
 def recent_events(spark: SparkSession, path: str, n: int = 100, event_type: str | None = None, signals_only: bool = False) -> DataFrame:
