@@ -189,7 +189,7 @@ def cooled(alerts: DataFrame, cooldown_ms: int, chunk_ms: int = 86_400_000) -> D
 
 def imbalance_bars(trades: DataFrame, width_ms: int) -> DataFrame:
     """Closed bars of bought and sold volume: symbol, t (opening), seq (of the opening trade), buy_volume, sell_volume, buys, sells,
-    open, close, price_change (percent), ratio (null where only one side traded), effective, dominant and severity.
+    open, close, price_change (percent; from a price of 0 infinite, or NaN if it stays there), ratio (null where only one side traded), effective, dominant and severity.
 
     A bar opens with the first trade after the one that closed the bar before, and that closing trade's volume counts in
     it. A bar that no trade has closed yet is not given out. ``effective`` is the larger of the ratio and its inverse, 100 where
@@ -211,7 +211,9 @@ def imbalance_bars(trades: DataFrame, width_ms: int) -> DataFrame:
     ratio = F.when((b > 0) & (s > 0), b / s).when((b <= 0) & (s <= 0), 1.0)
     effective = F.coalesce(F.greatest(F.col("ratio"), 1 / F.col("ratio")), F.lit(100.0))
     severity = F.when(F.col("effective") >= 5, "extreme").when(F.col("effective") >= 3, "strong").when(F.col("effective") >= 2, "moderate")
-    out = bars.withColumnRenamed("bar", "t").withColumns({"price_change": F.try_divide(F.col("close") - F.col("open"), "open") * 100, "ratio": ratio})
+    moved = F.col("close") - F.col("open")
+    change = F.coalesce(F.try_divide(moved, "open") * 100, F.when(F.col("open") == 0, F.when(moved == 0, float("nan")).otherwise(F.signum(moved) * float("inf"))))
+    out = bars.withColumnRenamed("bar", "t").withColumns({"price_change": change, "ratio": ratio})
     out = out.withColumn("effective", effective).withColumn("dominant", F.when(b > s, "buy").when(s > b, "sell").otherwise("unknown"))
     return out.withColumn("severity", severity)
 

@@ -23,3 +23,28 @@ def test_runs_without_rows_keep_their_columns(spark, tmp_path):
     assert sinks.recent_events(spark, str(tmp_path / "e")).collect() == []
     sinks.write_events(events, str(tmp_path / "e"))
     assert sinks.recent_events(spark, str(tmp_path / "e")).count() == 1
+
+
+def checked(spark, folder, names):
+    """The named queries against their SQL on the tables of a folder."""
+    c = duckdb.connect()
+    for f in folder.iterdir():
+        c.execute(f"CREATE VIEW {f.stem} AS SELECT * FROM read_parquet('{f}')")
+    for name in names:
+        df = catalog.QUERIES[name](spark, str(folder))
+        want = c.execute(catalog.ORACLE_SQL[name])
+        columns = [x[0] for x in want.description]
+        assert plain(df.columns, df.collect()) == plain(columns, want.fetchall()), name
+
+
+SIDED = ["bars_flow_ratio", "bars_imbalance", "cvd_4h_reset", "cvd_running", "flow_buy_sell_ratio", "flow_participants", "flow_rolling_1_5_15", "flow_sectors", "footprint_imbalance", "footprint_levels"]
+
+
+@pytest.mark.parametrize("name", SIDED)
+def test_trades_at_price_0_count(spark, tmp_path, name):
+    start = datetime.datetime(2024, 1, 1)
+    prices = [5.0, 0.0, 0.0, 7.5, 7.5, 12.0, 0.0, 3.0]
+    rows = [(i, start + datetime.timedelta(hours=2 * i), i, "ab"[i % 3 == 0], prices[i % 8], f'{{"k": {i % 7}}}') for i in range(60)]
+    df = spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string")
+    df.toPandas().to_parquet(tmp_path / "events.parquet", coerce_timestamps="us", allow_truncated_timestamps=True)
+    checked(spark, tmp_path, [name])
