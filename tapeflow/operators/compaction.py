@@ -31,13 +31,20 @@ SECTION_BYTES = {"price_context": 800, "flow_context": 900, "orderbook_context":
 WHOLE = 6144
 
 
+#: The paths in parts, and one encoder and decoder for all records: making them anew takes longer than a small record.
+_COPIES = [(field.split("."), other.split(".")) for field, other in COPIES]
+_SUPERFLUOUS = [path.split(".") for path in SUPERFLUOUS]
+_ENCODER = json.JSONEncoder(ensure_ascii=False, check_circular=False, separators=(",", ":"), allow_nan=False)
+_DECODER = json.JSONDecoder(parse_constant=lambda _: None)
+
+
 def encoded(value) -> str:
     """JSON without blanks; NaN and infinity are null."""
-    return json.dumps(value, ensure_ascii=False, separators=(",", ":"), allow_nan=False)
+    return _ENCODER.encode(value)
 
 
 def _parsed(text: str):
-    return json.loads(text, parse_constant=lambda _: None)
+    return _DECODER.decode(text)
 
 
 def _holders(value, path: list[str]) -> Iterator[tuple[dict, str]]:
@@ -52,9 +59,18 @@ def _holders(value, path: list[str]) -> Iterator[tuple[dict, str]]:
         yield from _holders(value.get(path[0]), path[1:])
 
 
-def drop(value, path: str) -> int:
+def _found(value, path: list[str]) -> list[tuple[dict, str]]:
+    """:func:`_holders`, without a search where the path leads through objects only."""
+    if "*" in path:
+        return list(_holders(value, path))
+    for name in path[:-1]:
+        value = value.get(name) if isinstance(value, dict) else None
+    return [(value, path[-1])] if isinstance(value, dict) and path[-1] in value else []
+
+
+def drop(value, path: list[str]) -> int:
     """Takes a field out, wherever the path leads; how many there were."""
-    found = list(_holders(value, path.split(".")))
+    found = _found(value, path)
     for holder, name in found:
         del holder[name]
     return len(found)
@@ -65,40 +81,59 @@ def without_copies(record) -> int:
     if not isinstance(record, dict):
         return 0
     gone = 0
-    for field, other in COPIES:
-        if any(holder[name] not in (None, {}, [], "") for holder, name in _holders(record, other.split("."))):
+    for field, other in _COPIES:
+        if field[0] in record and other[0] in record and any(holder[name] not in (None, {}, [], "") for holder, name in _found(record, other)):
             gone += drop(record, field)
-    return gone + sum(drop(record, path) for path in SUPERFLUOUS)
+    return gone + sum(drop(record, path) for path in _SUPERFLUOUS if path[0] in record)
 
 
 def size(value) -> int:
     return len(encoded(value).encode())
 
 
+def _lists(value) -> list[tuple[list, list[tuple[list, int]]]]:
+    """The lists with more than one entry anywhere in a value, each with the lists around it and its place in them."""
+    lists, stack = [], [(value, [])]
+    while stack:
+        now, around = stack.pop()
+        if isinstance(now, list):
+            if len(now) > 1:
+                lists.append((now, around))
+            stack += [(x, [*around, (now, k)]) for k, x in enumerate(now) if isinstance(x, (dict, list))]
+        elif isinstance(now, dict):
+            stack += [(x, around) for x in now.values() if isinstance(x, (dict, list))]
+    return lists
+
+
 def shrunk(value, budget: int):
     """A value of at most ``budget`` bytes: the longest lists lose their tails, halving them, then the largest fields go, one
-    after the other, in nested objects too. None if not even an empty one fits."""
+    after the other, in nested objects too. None if not even an empty one fits. Lists are measured once; what a tail took is then
+    subtracted from all that held it."""
+    total = size(value)
+    if total <= budget:
+        return value
+    lists = _lists(value)
+    sizes = {id(now): size(now) for now, _ in lists}
+    while total > budget and lists:
+        # The largest list anywhere, by its bytes; of equals the first.
+        longest, around = max(lists, key=lambda x: sizes[id(x[0])])
+        cut = len(longest) // 2
+        gone = size(longest[cut:]) - 1  # two brackets less, one comma more
+        del longest[cut:]
+        total -= gone
+        for now in (longest, *(x for x, _ in around)):
+            if id(now) in sizes:
+                sizes[id(now)] -= gone
+        lists = [(now, held) for now, held in lists if len(now) > 1 and not any(x is longest and k >= cut for x, k in held)]
     while size(value) > budget:
-        # The largest list or object anywhere, by its bytes; of equals the first.
-        lists, stack = [], [(value, None, None)]
-        while stack:
-            now, holder, key = stack.pop()
-            if isinstance(now, list) and len(now) > 1:
-                lists.append((size(now), len(lists), now))
-            children = now.items() if isinstance(now, dict) else enumerate(now) if isinstance(now, list) else ()
-            stack += [(x, now, k) for k, x in children]
-        if lists:
-            longest = max(lists, key=lambda x: (x[0], -x[1]))[2]
-            del longest[len(longest) // 2 :]
-        elif isinstance(value, dict) and value:
-            largest = max(value, key=lambda k: (size(value[k]), k))
-            inner = value[largest]
-            if isinstance(inner, dict) and len(inner) > 1:
-                del inner[max(inner, key=lambda k: (size(inner[k]), k))]
-            else:
-                del value[largest]
-        else:
+        if not isinstance(value, dict) or not value:
             return None
+        largest = max(value, key=lambda k: (size(value[k]), k))
+        inner = value[largest]
+        if isinstance(inner, dict) and len(inner) > 1:
+            del inner[max(inner, key=lambda k: (size(inner[k]), k))]
+        else:
+            del value[largest]
     return value
 
 
@@ -113,10 +148,13 @@ def compacted(record, budget: int) -> str | None:
     for key, part in SECTION_BYTES.items():
         if key in record:
             record[key] = shrunk(record[key], max(256, part * budget // WHOLE))
+    text = encoded(record)
     for key in OPTIONAL:
-        if size(record) <= budget:
-            break
-        record.pop(key, None)
+        if len(text.encode()) <= budget:
+            return text
+        if key in record:
+            del record[key]
+            text = encoded(record)
     record = shrunk(record, budget)
     return None if record is None else encoded(record)
 

@@ -1,11 +1,12 @@
 """Queries on tables that the given ones do not show: every row counts, empty runs included."""
 
 import datetime
+import json
 
 import duckdb
 import pytest
 
-from tapeflow.operators import booksync
+from tapeflow.operators import booksync, compaction
 from tapeflow.plans import catalog
 from tapeflow.sources import sinks
 from test_queries import rows as plain
@@ -69,3 +70,20 @@ def test_books_of_a_task_are_folded_in_one_pass(spark):
     assert sorted(rows) == [i for i in range(40) if i != 12] and [i for i, r in rows.items() if r["stale"]] in ([13, 14], [14, 13])
     # A segment goes on over the borders of chunks: quantities at 35 to 39 stay until they are changed.
     assert (rows[39]["bid_levels"], rows[39]["bid_qty"]) == (3, 6.0) and rows[13]["bid_qty"] is None
+
+
+def test_lists_of_a_record_are_measured_once(monkeypatch):
+    """The bytes that are encoded to shrink a record: each list once, then only the tails that go."""
+    calls, encoded = [], compaction.encoded
+    monkeypatch.setattr(compaction, "encoded", lambda value: calls.append(1) or encoded(value))
+    record = {f"k{i}": [[j, j + 1] for j in range(64)] for i in range(4)}
+    whole = compaction.shrunk(json.loads(json.dumps(record)), 60)
+    assert len(encoded(whole)) <= 60 and len(whole) == 4
+    # 260 lists, at most 8 halvings of each outer and 1 of each inner list.
+    assert len(calls) < 400
+
+
+def test_records_have_no_copies_by_any_path():
+    """Paths through what is no object, and a field that is both the copy and the original."""
+    record = {"volume_compra": 1, "raw_event": {"raw_event": {"x": 1}, "volume_compra": [1]}, "contextual_snapshot": [1], "fluxo_continuo": {"time_index": 0, "liquidity_heatmap": {"clusters": {"a": 1}}}}
+    assert compaction.without_copies(record) == 3 and record["raw_event"] == {} and record["fluxo_continuo"] == {"liquidity_heatmap": {"clusters": {"a": 1}}}
