@@ -52,6 +52,20 @@ def test_trades_at_price_0_count(spark, tmp_path, name):
     checked(spark, tmp_path, [name])
 
 
+# Queries on hours of the same step: what a missing trade changes shows in the hours after it too.
+HOURLY = ["dynamic_delta_threshold"]
+
+
+@pytest.mark.parametrize("name", HOURLY)
+def test_trades_at_price_0_count_in_hours(spark, tmp_path, name):
+    start = datetime.datetime(2024, 1, 1)
+    prices = [5.0, 0.0, 0.0, 7.5, 7.5, 12.0, 0.0, 3.0]
+    rows = [(i, start + datetime.timedelta(minutes=20 * i), i, "ab"[i % 5 == 0], prices[i % 8], f'{{"k": {99 if i % 17 == 0 else i * i % 7}}}') for i in range(300)]
+    df = spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string")
+    df.toPandas().to_parquet(tmp_path / "events.parquet", coerce_timestamps="us", allow_truncated_timestamps=True)
+    checked(spark, tmp_path, [name])
+
+
 def test_numbers_half_way_between_two_cents(spark, tmp_path):
     rows = [(3 * i + i % 2, 1000 * i + 605.0 + 10 * i) for i in range(300)]
     spark.createDataFrame(rows, "o_orderkey bigint, o_totalprice double").toPandas().to_parquet(tmp_path / "orders.parquet")
