@@ -53,7 +53,7 @@ def test_trades_at_price_0_count(spark, tmp_path, name):
 
 
 # Queries on hours of the same step: what a missing trade changes shows in the hours after it too.
-HOURLY = ["dynamic_delta_threshold", "exhaustion_signal"]
+HOURLY = ["dynamic_delta_threshold", "exhaustion_signal", "flow_absorption_label"]
 
 
 @pytest.mark.parametrize("name", HOURLY)
