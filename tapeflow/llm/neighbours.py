@@ -15,8 +15,10 @@ from .shared import Scratch, bounded, sized, tidy
 SAMPLE, BRANCHING, LEAF_ROWS, MAX_LEAVES = 64_000, 8, 256, 8192
 #: Calibration queries (about), and the recall that the number of leaf visits is calibrated to.
 CALIBRATION, RECALL = 256, 0.98
-#: Most rows and most queries that meet in one group, and numbers of a product that a task holds at once.
-BLOCK, PRODUCT = 4096, 1 << 20
+#: Most rows and most queries (about) that meet in one group, and groups meant for a table below that.
+BLOCK, GROUPS = 16_384, 64
+#: Numbers of a product, pairs whose cosines are taken, and leaf visits of a task, that are held at once.
+PRODUCT, PAIRS, VISITS = 1 << 20, 1 << 14, 1 << 17
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -32,12 +34,10 @@ class KMeansTree:
         self.centroids, self.children, self.leaf = [sample.mean(0) if len(sample) else np.zeros(1)], [[]], [-1]
         rng, n_leaves = np.random.default_rng(seed), 1
         heap = [(-len(sample), 0, np.arange(len(sample)))]
-        done = []
         while heap:
             size, node, rows = heapq.heappop(heap)
             parts = self._split(sample[rows], min(branching, leaves - n_leaves + 1), rng) if n_leaves < leaves else None
             if parts is None:
-                done.append(node)
                 continue
             n_leaves += len(parts) - 1
             for centre, some in parts:
@@ -46,9 +46,14 @@ class KMeansTree:
                 self.centroids.append(centre)
                 self.children.append([])
                 self.leaf.append(-1)
-        for number, node in enumerate(sorted(done)):
-            self.leaf[node] = number
-        self.n_leaves = len(done)
+        # Leaves are numbered by depth first, so that neighbours in the tree are neighbours in number.
+        stack, self.n_leaves = [0], 0
+        while stack:
+            node = stack.pop()
+            stack += reversed(self.children[node])
+            if not self.children[node]:
+                self.leaf[node] = self.n_leaves
+                self.n_leaves += 1
         self.centroids = np.array(self.centroids)
 
     @staticmethod
@@ -106,26 +111,71 @@ def _cosine(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return out
 
 
-def _best(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _first(i: np.ndarray, j: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs (query i, row j) the k of each query with the greatest scores, ties to the smaller id, in that order."""
+    order = np.lexsort((ids[j], -score, i))
+    i, j, score = i[order], j[order], score[order]
+    keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[keep], j[keep], score[keep]
+
+
+def _best(
+    ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, units: tuple[np.ndarray, np.ndarray] | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each query the k nearest rows with another id, ties to the smaller id: (query, row, score).
-    Products of unit vectors pick what can be among them; the scores of those come from the original vectors."""
+    Products of unit vectors (``units``, if at hand) pick what can be among them; the scores of those come from the
+    original vectors, some pairs at a time, as all rows can be copies of one vector."""
     rows, queries, scores = [], [], []
-    ux, uq = _unit(x), _unit(q)
+    ux, uq = units or (_unit(x), _unit(q))
     step = max(1, PRODUCT // max(1, len(x)))
     for at in range(0, len(q), step):
         rough = uq[at : at + step] @ ux.T
         rough[query_ids[at : at + step, None] == ids[None, :]] = -np.inf
         cut = np.partition(rough, max(0, rough.shape[1] - k), 1)[:, max(0, rough.shape[1] - k), None]
         i, j = np.nonzero((rough >= cut - 1e-9) & (rough > -np.inf))
-        exact = _cosine(x[j], q[at + i])
-        order = np.lexsort((ids[j], -exact, i))
-        i, j, exact = i[order], j[order], exact[order]
-        first = np.searchsorted(i, i)
-        keep = np.arange(len(i)) - first < k
-        rows.append(j[keep]), queries.append(at + i[keep]), scores.append(exact[keep])
+        exact = np.empty(len(i))
+        for a in range(0, len(i), PAIRS):
+            exact[a : a + PAIRS] = _cosine(x[j[a : a + PAIRS]], q[at + i[a : a + PAIRS]])
+        i, j, exact = _first(i, j, exact, ids, k)
+        rows.append(j), queries.append(at + i), scores.append(exact)
     return np.concatenate(queries), np.concatenate(rows), np.concatenate(scores)
 
 
+def _regions(held: dict[int, int], leaves: int, most: int) -> list[int]:
+    """For each leaf the number of its region: leaves one after another with ``most`` rows in all, or one leaf with more."""
+    out, region, rows = [], 0, 0
+    for leaf in range(leaves):
+        n = held.get(leaf, 0)
+        if rows and rows + n > most:
+            region, rows = region + 1, 0
+        rows += n
+        out.append(region)
+    return out
+
+
+def _meet(rows: pa.Table, queries: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query_id, vec_id, score): the k nearest rows of each query among those whose leaf is in the query's list."""
+    leaf = rows["leaf"].to_numpy()
+    order = np.argsort(leaf, kind="stable")
+    leaf, ids, x = leaf[order], rows["vec_id"].to_numpy()[order], _matrix(rows["v"])[order]
+    query_ids, q, asked = queries["query_id"].to_numpy(), _matrix(queries["q"]), queries["leaves"].combine_chunks()
+    ux, uq = _unit(x), _unit(q)
+    visited, by = asked.flatten().to_numpy(), np.repeat(np.arange(len(q)), asked.value_lengths().to_numpy())
+    order = np.argsort(visited, kind="stable")
+    visited, by = visited[order], by[order]
+    found = []
+    for one, a in zip(*np.unique(leaf, return_index=True), strict=True):
+        b = np.searchsorted(leaf, one, "right")
+        some = by[np.searchsorted(visited, one) : np.searchsorted(visited, one, "right")]
+        if len(some):
+            i, j, score = _best(ids[a:b], x[a:b], query_ids[some], q[some], k, (ux[a:b], uq[some]))
+            found.append((some[i], a + j, score))
+    if not found:
+        return query_ids[:0], ids[:0], np.zeros(0)
+    i, j, score = _first(*map(np.concatenate, zip(*found, strict=True)), ids, k)
+    return query_ids[i], ids[j], score
+
+
 def valid_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """vec_id and embedding (doubles) of the rows that take part: an id, and a vector of the
     commonest length, not zero, without null or non-finite components."""
@@ -147,7 +197,9 @@ def nearest(
     ``CALIBRATION`` rows the true neighbours are found by comparing them with all rows
     in blocks, and the visits are widened until the share of true neighbours in visited
     leaves reaches ``recall``. A query goes on until its leaves also hold ``k`` rows with
-    another id, so fewer are returned only if there are fewer. Leaves are cut to blocks of rows and of queries, so a leaf
+    another id, so fewer are returned only if there are fewer. Leaves that follow one another make regions of at most
+    ``BLOCK`` rows (fewer for tables of less than ``GROUPS`` such regions); a query goes once to each region where it visits
+    leaves, with their list. Regions are cut to blocks of rows and of queries, so a leaf
     with a third of all vectors is spread over tasks. Leaves hold about ``LEAF_ROWS`` rows up to
     ``MAX_LEAVES`` times as many vectors (two million), and more beyond.
 
@@ -179,45 +231,65 @@ def nearest(
     visits = _calibrated(index, tree, n, k, recall)
 
     held = {r["leaf"]: r["count"] for r in index.groupBy("leaf").count().collect()}
+    most = min(BLOCK, max(LEAF_ROWS, n // GROUPS))
+    region = _regions(held, tree.n_leaves, most)
 
     def order(batches):
+        """For each query and region the leaves to visit; so many queries at once that their visits stay below ``VISITS``."""
         for batch in batches:
-            x, leaves, at = _unit(_matrix(batch.column(1))) if batch.num_rows else [], [], []
-            for i, (q, own) in enumerate(zip(x, batch.column(2).to_pylist() if batch.num_rows else [], strict=True)):
-                rows = 0
+            if not batch.num_rows:
+                continue
+            x = _unit(_matrix(batch.column(1)))
+            at, regions, lists, held_now = [], [], [], 0
+
+            def gathered():
+                some = batch.take(pa.array(at, pa.int64()))
+                columns = [pa.array(regions, pa.int64()), some.column(0), some.column(1), pa.array(lists, pa.list_(pa.int32()))]
+                return pa.RecordBatch.from_arrays(columns, ["region", "query_id", "q", "leaves"])
+
+            for i, (q, own) in enumerate(zip(x, batch.column(2).to_pylist(), strict=True)):
+                rows, by = 0, {}
                 for place, leaf in enumerate(shared.value.visit(q), 1):
-                    leaves.append(leaf)
-                    at.append(i)
+                    by.setdefault(region[leaf], []).append(leaf)
                     rows += held.get(leaf, 0)
                     if place >= visits and rows >= k + own:
                         break
-            if leaves:
-                some = batch.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.int64()), some.column(0), some.column(1)], ["leaf", "query_id", "q"])
-
-    queries = index.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("own"))
-    asked = scratch.write(queries.mapInArrow(tidy(order), "leaf long, query_id long, q array<double>"), "visits")
+                at += [i] * len(by)
+                regions += by
+                lists += by.values()
+                # A row of a region holds the query's vector too.
+                held_now += place + len(by) * x.shape[1]
+                if held_now >= VISITS:
+                    yield gathered()
+                    at, regions, lists, held_now = [], [], [], 0
+            if at:
+                yield gathered()
+
+    # Queries are few beside their visits, so they are dealt out by these, not by their own size.
+    own = index.where(F.col("vec_id") % every == 0)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-own.count() * visits // (1 << 20)))
+    queries = own.repartition(tasks, "vec_id").groupBy("vec_id").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("own"))
+    asked = scratch.write(queries.mapInArrow(tidy(order), "region long, query_id long, q array<double>, leaves array<int>"), "visits")
 
     def blocks(df, name):
-        return df.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias(name))
+        return df.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / F.lit(most if name == "row_blocks" else BLOCK)).cast("int").alias(name))
 
-    counts = scratch.write(blocks(index, "row_blocks").join(blocks(asked, "query_blocks"), "leaf"), "blocks")
+    # At most MAX_LEAVES rows.
+    placed = F.broadcast(spark.createDataFrame(list(enumerate(region)), "leaf long, region long"))
+    stored = index.join(placed, "leaf")
+    counts = scratch.write(blocks(stored, "row_blocks").join(blocks(asked, "query_blocks"), "region"), "blocks")
 
     def dealt(df, key, own, other):
         """Each row with one block of its own kind and every block of the other kind."""
         mine = F.pmod(F.xxhash64(key), F.col(own).cast("long")).cast("int").alias(own)
         every_other = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other)
-        return df.join(sized(counts, 24), "leaf").select(*df.columns, mine, every_other)
+        return df.join(sized(counts, 24), "region").select(*df.columns, mine, every_other)
 
-    left = dealt(index, "vec_id", "row_blocks", "query_blocks").groupBy("leaf", "row_blocks", "query_blocks")
-    right = dealt(asked, "query_id", "query_blocks", "row_blocks").groupBy("leaf", "row_blocks", "query_blocks")
+    left = dealt(stored, "vec_id", "row_blocks", "query_blocks").groupBy("region", "row_blocks", "query_blocks")
+    right = dealt(asked, "query_id", "query_blocks", "row_blocks").groupBy("region", "row_blocks", "query_blocks")
 
     def meet(rows: pa.Table, queries: pa.Table) -> pa.Table:
-        columns = [], [], []
-        if rows.num_rows and queries.num_rows:
-            ids, query_ids = rows["vec_id"].to_numpy(), queries["query_id"].to_numpy()
-            i, j, scores = _best(ids, _matrix(rows["v"]), query_ids, _matrix(queries["q"]), k)
-            columns = query_ids[i], ids[j], scores
+        columns = _meet(rows, queries, k) if rows.num_rows and queries.num_rows else ([], [], [])
         types = (pa.int64(), pa.int64(), pa.float64())
         return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["query_id", "vec_id", "score"])
 

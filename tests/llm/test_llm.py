@@ -1,6 +1,7 @@
 """Training-data operators against brute force, round trips and held-out quality on small fixtures."""
 
 import itertools
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -336,6 +337,46 @@ def test_nearest_finds_k_for_outliers(spark):
     assert got == {i * 50: 5 for i in range(13)}
 
 
+def test_nearest_holds_few_visits_at_once(spark, monkeypatch):
+    """Queries that visit nearly every leaf: what tasks hand on stays small, and all leaves asked for are searched."""
+
+    def watched(run):
+        def wrapped(batches):
+            for batch in run(batches):
+                assert batch.nbytes <= 4 << 20
+                yield batch
+
+        return wrapped
+
+    monkeypatch.setattr(neighbours, "tidy", watched)
+    monkeypatch.setattr(neighbours, "LEAF_ROWS", 8)
+    monkeypatch.setattr(neighbours, "BLOCK", 60)
+    x = np.random.default_rng(12).normal(0, 1, (2000, 32))
+    x[500:800] = x[500]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in neighbours.nearest(df, every=2, recall=1.0).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = 0
+    for at in range(0, 2000, 2):
+        s = (unit @ unit[at]).round(12)
+        s[at] = -9
+        hit += len(set(np.lexsort((np.arange(2000), -s))[:5].tolist()) & set(got[at]))
+        assert len(got[at]) == 5
+    assert hit >= 0.99 * 5000
+
+
+def test_best_of_copies_in_little_memory():
+    x = np.tile(np.random.default_rng(3).normal(0, 1, 64), (1000, 1))
+    tracemalloc.start()
+    i, j, _ = neighbours._best(np.arange(1000), x, np.arange(300), x[:300], 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [j[i == 2].tolist(), j[i == 9].tolist(), len(i)] == [[0, 1, 3, 4, 5], [0, 1, 2, 3, 4], 1500]
+    assert peak < 100 << 20
+
+
 def test_language_held_out(docs, odd, empty):
     got = langid.language_id(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
     assert (got["lang"] == got["lang_pred"]).mean() > 0.95
