@@ -15,13 +15,29 @@ EXTREME, HIGH, ELEVATED, LOW = 3.0, 2.0, 1.5, 0.5
 LOOKBACK = 20
 #: Ticks of a run that is scanned at once; a run's last ``LOOKBACK`` are dealt to the next one too.
 RUN = 10_000
+#: Ticks of a block whose volumes are summed on their own; blocks begin with a symbol's first tick.
+BLOCK = 16
 #: Width of a step of log price by which ticks and levels meet.
 STEP = 0.02
 
 
+def block_sum(values: Column, n: Column) -> Column:
+    """Sum of an array of doubles, fewer than ``2 * BLOCK``, whose last is the n-th of its line: what stands before a whole block of
+    the line is added up in order, then the block's own sum, then what follows. The SQL's windows add up so; any other order
+    gives other last digits, which tell where a ratio lies on a threshold."""
+    before = F.pmod(F.size(values) - n, F.lit(BLOCK)).cast("int")
+    after = F.size(values) - before - BLOCK
+    total = lambda some, start: F.aggregate(some, start, lambda a, x: a + x)
+    part = lambda at, count: F.slice(values, at + 1, F.greatest(count, F.lit(0)))
+    blocks = total(part(before, F.lit(BLOCK)), F.lit(0.0))
+    whole = total(part(before + BLOCK, after), total(part(F.lit(0), before), F.lit(0.0)) + blocks)
+    return F.when(after >= 0, whole).otherwise(total(values, F.lit(0.0)))
+
+
 def recent(ticks: DataFrame, bucket_ms: int = 86_400_000) -> DataFrame:
     """Ticks (symbol, t, seq, price, volume, delta) with what the last ticks of their symbol give: n (ticks so far), change10 (percent
-    over the last 10), volatility20 (percent), momentum5 and volume_ratio. A symbol is cut into runs of ``RUN`` ticks."""
+    over the last 10, infinite if it begins at 0), volatility20 (percent), momentum5 and volume_ratio. A symbol is cut into runs of
+    ``RUN`` ticks."""
     rows = running_sum(ticks, F.lit(1), "n", ["symbol"], ["t", "seq"], bucket_ms)
     own = F.floor((F.col("n") - 1) / RUN)
     again = F.when((F.col("n") - 1) % RUN >= RUN - LOOKBACK, own + 1)
@@ -29,15 +45,18 @@ def recent(ticks: DataFrame, bucket_ms: int = 86_400_000) -> DataFrame:
     line = Window.partitionBy("symbol", "_run").orderBy("n")
     w = lambda k: line.rowsBetween(1 - k, 0)
     first = F.first("price").over(w(10))
+    from_zero = F.when(F.col("price") > 0, float("inf")).when(F.col("price") < 0, float("-inf")).otherwise(float("nan"))
     mean5 = F.avg("volume").over(w(5))
     rows = rows.withColumns(
         {
-            "change10": F.when(F.col("n") >= 10, F.when(first > 0, (F.col("price") - first) / first * 100).otherwise(0.0)),
+            "change10": F.when(F.col("n") >= 10, F.coalesce(F.try_divide(F.col("price") - first, first) * 100, from_zero)),
             "volatility20": F.when(F.col("n") >= 20, F.coalesce(F.try_divide(F.stddev_pop("price").over(w(20)), F.avg("price").over(w(20))), F.lit(0.0)) * 100).otherwise(0.0),
             "momentum5": F.when(F.col("n") >= 5, F.coalesce(F.try_divide(F.avg("delta").over(w(5)), mean5), F.lit(0.0))).otherwise(0.0),
-            "volume_ratio": F.coalesce(F.try_divide(F.col("volume"), F.avg("volume").over(w(20))), F.lit(1.0)),
+            "_volumes": F.collect_list("volume").over(w(20)),
         }
     )
+    mean20 = block_sum(F.col("_volumes"), F.col("n")) / F.size("_volumes")
+    rows = rows.withColumn("volume_ratio", F.coalesce(F.try_divide(F.col("volume"), mean20), F.lit(1.0))).drop("_volumes")
     return rows.where("_run = _own").drop("_own", "_run")
 
 

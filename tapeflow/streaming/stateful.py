@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,22 @@ from ..operators.booksync import Levels
 TICK = "t bigint, seq bigint, price double, volume double, delta double"
 
 
+def block_mean(values: pd.Series, number: pd.Series, width: int) -> pd.Series:
+    """Mean of the last ``width`` values (all, if fewer) at each place, added up as in :func:`monitor.block_sum`; ``number`` is
+    the place of each value in its line."""
+    line = np.concatenate([np.zeros(width - 1), values.to_numpy(float)])
+    size = np.minimum(np.arange(1, len(values) + 1), width)
+    begin, before = width - size, (size - number.to_numpy()) % monitor.BLOCK
+    end = np.where(before + monitor.BLOCK <= size, begin + before + monitor.BLOCK, -1)
+    total, block = np.zeros(len(values)), np.zeros(len(values))
+    for i in range(width):
+        x, inside = line[i : i + len(values)], (i < end) & (i >= end - monitor.BLOCK)
+        block = np.where(inside, block + x, block)
+        total = np.where(inside | (i < begin), total, total + x)
+        total = np.where(i == end - 1, total + block, total)
+    return pd.Series(total / size, index=values.index)
+
+
 class Recent(StatefulProcessor):
     """Gives each tick what the last ticks of its symbol say; the state is a list of the last ``LOOKBACK`` ticks and their
     number. A symbol that is silent for ``silence_ms`` of event time is forgotten."""
@@ -36,10 +53,10 @@ class Recent(StatefulProcessor):
         number = pd.Series(range(n + 1 - len(held), n + 1 + len(new)), dtype="int64")
         price, volume = every["price"], every["volume"]
         first = price.shift(9)
-        change = ((price - first) / first * 100).where(first > 0, 0.0).where(number >= 10)
+        change = ((price - first) / first * 100).where(number >= 10)
         mean20 = price.rolling(20, 1).mean()
         volatility = (price.rolling(20, 1).std(ddof=0) / mean20.where(mean20 != 0) * 100).fillna(0.0).where(number >= 20, 0.0)
-        mean5, mean = volume.rolling(5, 1).mean(), volume.rolling(20, 1).mean()
+        mean5, mean = volume.rolling(5, 1).mean(), block_mean(volume, number, 20)
         momentum = (every["delta"].rolling(5, 1).mean() / mean5.where(mean5 != 0)).fillna(0.0).where(number >= 5, 0.0)
         ratio = (volume / mean.where(mean != 0)).fillna(1.0)
         made = pd.DataFrame({"n": number, "change10": change, "volatility20": volatility, "momentum5": momentum, "volume_ratio": ratio}).iloc[len(held) :]

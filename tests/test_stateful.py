@@ -1,5 +1,6 @@
 """Level tests and books: tables against plain folds, streams against tables."""
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -99,6 +100,28 @@ def test_level_tests_of_a_stream(spark, tmp_path, rocks):
     assert got == expected_tests(rows, LEVEL_ROWS)
 
 
+def test_level_tests_at_thresholds_are_those_of_sql(spark, tmp_path, rocks, monkeypatch):
+    """Volumes in tenths, whose mean's last digit decides at a threshold, and a price of 0 that later changes begin at."""
+    monkeypatch.setattr(monitor, "RUN", 30)
+    rng = np.random.default_rng(21)
+    rows = [(s, i // 2, i, 0.0 if i == 40 else float(rng.integers(980, 1021)) / 10, float(rng.integers(1, 101)) / 10, 0.0) for s in ("a", "b") for i in range(400)]
+    c = duckdb.connect()
+    c.execute("CREATE TABLE ticks (symbol VARCHAR, t BIGINT, seq BIGINT, price DOUBLE, volume DOUBLE, delta DOUBLE)")
+    c.executemany("INSERT INTO ticks VALUES (?, ?, ?, ?, ?, ?)", rows)
+    change = "CASE WHEN row_number() OVER s >= 10 THEN (price - first_value(price) OVER (s ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)) / first_value(price) OVER (s ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) * 100 END"
+    ratio = "volume / avg(volume) OVER (s ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
+    found = c.execute(f"SELECT symbol, seq, {change}, {ratio} FROM ticks WINDOW s AS (PARTITION BY symbol ORDER BY t, seq)").fetchall()
+    want = {(s, i): rest for s, i, *rest in found if i != 40}
+    assert sum(x[0] == float("inf") for x in want.values()) == 2
+    df = spark.createDataFrame(rows, TICKS).repartition(3)
+    assert {(r["symbol"], r["seq"]): [r["change10"], r["volume_ratio"]] for r in monitor.recent(df).where("seq <> 40").collect()} == want
+    levels = spark.createDataFrame([(s, "support", 0, 100.0, 1.0) for s in ("a", "b")], LEVELS)
+    rows.sort(key=lambda r: r[2])
+    stream = stateful.level_tests(fed(spark, [rows[:30], rows[30:300], rows[300:]], TICKS, str(tmp_path / "in")), levels, 0.05)
+    assert {(r["symbol"], r["seq"]): [r["change10"], r["volume_ratio"]] for r in drained(stream, "thresholds").collect()} == want
+    assert {r["trend"] for r in monitor.level_tests(df, levels, 0.05).where("seq = 49").collect()} == {"STRONG_UP"}
+
+
 def test_silent_symbols_are_forgotten(spark, tmp_path, rocks):
     one = [("a", 1000 * (i + 1), i, 99.0, 1.0, 0.0) for i in range(12)]
     two = [("b", 500_000, 1, 50.0, 1.0, 0.0)]
