@@ -56,6 +56,12 @@ def json_double(c: str, path: str) -> Column:
     return F.get_json_object(c, path).try_cast("double")
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """a / b as doubles have it: by 0 infinite, or NaN where a is 0 or NaN."""
+    by_zero = F.when(F.isnan(a) | (a == 0), float("nan")).when(a > 0, float("inf")).when(a < 0, float("-inf"))
+    return F.when(b == 0, by_zero).otherwise(F.try_divide(a, b))
+
+
 def ratio01(c: Column) -> Column:
     """A share given as 0-1 or 0-100 as 0-1."""
     return F.when(F.abs(c) > 1, c / 100).otherwise(c)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .running import filled, surrounding
@@ -52,25 +54,25 @@ def horizons(signals: DataFrame, ticks: DataFrame, hours: tuple[int, ...], flat:
     return out.select("id", "symbol", "h", "later", "change", label.alias("direction"))
 
 
-def price_path(signals: DataFrame, ticks: DataFrame, horizon_ms: int, grains: int = 32) -> DataFrame:
+def price_path(signals: DataFrame, ticks: DataFrame, horizon_ms: int, grains: int = 32, ratio: Callable[[Column, Column], Column] = F.try_divide) -> DataFrame:
     """Most favourable and most adverse change in (t, t + horizon] after each signal.
 
     Ticks are first summed to grains of time, ``grains`` to a horizon: a signal meets the sums of
-    the grains that lie wholly in its horizon, and single ticks only in the two at its ends. A
-    price of 0 has no change."""
+    the grains that lie wholly in its horizon, and single ticks only in the two at its ends. Ticks
+    without a price are not counted. ``ratio`` divides by the signal's price: as it is, a price of 0 has no change."""
     width = max(1, horizon_ms // grains)
     grain = lambda c: F.floor(c / width)
     end = F.col("t") + horizon_ms
-    sums = ticks.groupBy("symbol", grain(F.col("t")).alias("_g")).agg(F.max("p").alias("hi"), F.min("p").alias("lo"), F.count(F.lit(1)).alias("n"))
+    sums = ticks.groupBy("symbol", grain(F.col("t")).alias("_g")).agg(F.max("p").alias("hi"), F.min("p").alias("lo"), F.count("p").alias("n"))
     low, high = grain(F.col("t")) + 1, grain(end + 1) - 1
     whole = signals.select("id", "symbol", F.explode(F.when(low <= high, F.sequence(low, high))).alias("_g")).join(sums, ["symbol", "_g"]).select("id", "hi", "lo", "n")
     last = F.when(((end + 1) % width != 0) & (grain(end) != grain(F.col("t"))), grain(end))
     ends = signals.select("id", "symbol", "t", F.explode(F.array_compact(F.array(grain(F.col("t")), last))).alias("_g"))
     single = ends.join(ticks.select("symbol", F.col("t").alias("at"), "p", grain(F.col("t")).alias("_g")), ["symbol", "_g"])
-    single = single.where((F.col("at") > F.col("t")) & (F.col("at") <= end)).select("id", F.col("p").alias("hi"), F.col("p").alias("lo"), F.lit(1).cast("long").alias("n"))
+    single = single.where((F.col("at") > F.col("t")) & (F.col("at") <= end)).select("id", F.col("p").alias("hi"), F.col("p").alias("lo"), F.col("p").isNotNull().cast("long").alias("n"))
     path = whole.union(single).groupBy("id").agg(F.max("hi").alias("hi"), F.min("lo").alias("lo"), F.sum("n").alias("ticks"))
     out = signals.join(path, "id", "left")
-    return out.select("id", "symbol", (F.try_divide("hi", "price") - 1).alias("mfe"), (F.try_divide("lo", "price") - 1).alias("mae"), F.coalesce("ticks", F.lit(0)).alias("ticks"))
+    return out.select("id", "symbol", (ratio(F.col("hi"), F.col("price")) - 1).alias("mfe"), (ratio(F.col("lo"), F.col("price")) - 1).alias("mae"), F.coalesce("ticks", F.lit(0)).alias("ticks"))
 
 
 def tail_aligned(series: DataFrame, n: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import quotient
 from .running import running_sum
 
 # Tolerance around a level; shares of delta in volume; moves in percent; ratios of volume.
@@ -45,11 +46,10 @@ def recent(ticks: DataFrame, bucket_ms: int = 86_400_000) -> DataFrame:
     line = Window.partitionBy("symbol", "_run").orderBy("n")
     w = lambda k: line.rowsBetween(1 - k, 0)
     first = F.first("price").over(w(10))
-    from_zero = F.when(F.col("price") > 0, float("inf")).when(F.col("price") < 0, float("-inf")).otherwise(float("nan"))
     mean5 = F.avg("volume").over(w(5))
     rows = rows.withColumns(
         {
-            "change10": F.when(F.col("n") >= 10, F.coalesce(F.try_divide(F.col("price") - first, first) * 100, from_zero)),
+            "change10": F.when(F.col("n") >= 10, quotient(F.col("price") - first, first) * 100),
             "volatility20": F.when(F.col("n") >= 20, F.coalesce(F.try_divide(F.stddev_pop("price").over(w(20)), F.avg("price").over(w(20))), F.lit(0.0)) * 100).otherwise(0.0),
             "momentum5": F.when(F.col("n") >= 5, F.coalesce(F.try_divide(F.avg("delta").over(w(5)), mean5), F.lit(0.0))).otherwise(0.0),
             "_volumes": F.collect_list("volume").over(w(20)),

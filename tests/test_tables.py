@@ -101,3 +101,16 @@ def test_records_have_no_copies_by_any_path():
     """Paths through what is no object, and a field that is both the copy and the original."""
     record = {"volume_compra": 1, "raw_event": {"raw_event": {"x": 1}, "volume_compra": [1]}, "contextual_snapshot": [1], "fluxo_continuo": {"time_index": 0, "liquidity_heatmap": {"clusters": {"a": 1}}}}
     assert compaction.without_copies(record) == 3 and record["raw_event"] == {} and record["fluxo_continuo"] == {"liquidity_heatmap": {"clusters": {"a": 1}}}
+
+
+def test_signals_at_price_0_have_infinite_changes(spark, tmp_path):
+    start = datetime.datetime(2024, 1, 1)
+    prices = [5.0, 0.0, 7.5, None, 12.0, 0.0, 3.0]
+    rows = [(i, start + datetime.timedelta(minutes=50 * i + 500 * (i > 50)), i, ("purchase", "view", "click")[i % 3], 0.0 if i == 51 else prices[i % 7], f'{{"k": {i % 5}}}') for i in range(60)]
+    df = spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string")
+    df.coalesce(1).write.parquet(str(tmp_path / "made"))
+    (tmp_path / "in").mkdir()
+    next((tmp_path / "made").glob("*.parquet")).rename(tmp_path / "in" / "events.parquet")
+    checked(spark, tmp_path / "in", ["price_path_mfe_mae"])
+    found = {str(r["mfe"]) for r in catalog.QUERIES["price_path_mfe_mae"](spark, str(tmp_path / "in")).collect()}
+    assert "inf" in found and "None" in found
