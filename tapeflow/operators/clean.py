@@ -15,13 +15,11 @@ def valid_trades(trades: DataFrame) -> DataFrame:
     return trades.where("p > 0 AND q > 0 AND t > 0")
 
 
-def reject_reason(trades: DataFrame) -> DataFrame:
-    """``trades`` with the first rule that each row breaks, or null."""
-    reason = F.expr(
-        "CASE WHEN p IS NULL THEN 'missing_p' WHEN q IS NULL THEN 'missing_q' WHEN t IS NULL THEN 'missing_t' "
-        "WHEN isnan(p) OR p <= 0 THEN 'invalid_p_value' WHEN isnan(q) OR q <= 0 THEN 'invalid_q_value' WHEN t <= 0 THEN 'invalid_t_value' END"
-    )
-    return trades.withColumn("reason", reason)
+def reject_reason(trades: DataFrame, columns: tuple[str, ...] = ("p", "q", "t")) -> DataFrame:
+    """``trades`` with the first rule that each row breaks, or null: a value for all ``columns``, then a positive one."""
+    missing = [F.when(F.col(c).isNull(), f"missing_{c}") for c in columns]
+    invalid = [F.when(F.isnan(c) | (F.col(c) <= 0), f"invalid_{c}_value") for c in columns]
+    return trades.withColumn("reason", F.coalesce(*missing, *invalid))
 
 
 def infer_side(trades: DataFrame, by: tuple[str, ...] = ("symbol",)) -> DataFrame:

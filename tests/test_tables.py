@@ -114,3 +114,14 @@ def test_signals_at_price_0_have_infinite_changes(spark, tmp_path):
     checked(spark, tmp_path / "in", ["price_path_mfe_mae"])
     found = {str(r["mfe"]) for r in catalog.QUERIES["price_path_mfe_mae"](spark, str(tmp_path / "in")).collect()}
     assert "inf" in found and "None" in found
+
+
+def test_reject_reasons_are_of_planted_sizes_only(spark, tmp_path):
+    start = datetime.datetime(2024, 1, 1)
+    prices, sizes = [5.0, 0.0, None, float("nan"), -1.0], ['{"k": 3}', '{"k": -1}', "{}", '{"k": -9}']
+    rows = [(i, start, i, "ab"[i % 3 == 0], prices[i % 5], sizes[i % 4]) for i in range(200)]
+    df = spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string")
+    df.coalesce(1).write.parquet(str(tmp_path / "made"))
+    (tmp_path / "in").mkdir()
+    next((tmp_path / "made").glob("*.parquet")).rename(tmp_path / "in" / "events.parquet")
+    checked(spark, tmp_path / "in", ["trade_reject_reasons"])
